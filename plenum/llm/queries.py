@@ -3,11 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plenum.llm import packing, token_counts, token_files
+from plenum.llm import decontaminate, html_extract, language_id, packing, quality, sharding, simhash, token_counts, token_files, toxicity
 from plenum.storage import scratch, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_tree(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    train = docs.filter(~held).join(labels.filter(~held), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity(docs, toxicity.fit(train)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train, held = language_id.training_rows(docs)
+    found = language_id.identify(docs, language_id.fit(train))
+    return docs.select("doc_id", held.alias("held_out"), found.alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.bits_per_byte")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.select("doc_id", found.alias("c")).select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256", "c.contaminated")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
@@ -23,6 +62,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_kd_sharding": op2_kd_sharding,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
