@@ -14,6 +14,8 @@ and may lie on either side of a median only together; an empty table gives no ro
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def _medians(rows: DataFrame, low: dict[int, int], high: dict[int, int], before:
     spark = rows.sparkSession
     while open_nodes := [n for n in low if low[n] < high[n]]:
         step = {n: (high[n] - low[n]) // BUCKETS + 1 for n in open_nodes}
-        bounds = spark.createDataFrame([(n, low[n], high[n], step[n]) for n in open_nodes], "node long, lo long, hi decimal(20,0), step decimal(20,0)")
+        bounds = spark.createDataFrame([(n, low[n], Decimal(high[n]), Decimal(step[n])) for n in open_nodes], "node long, lo long, hi decimal(20,0), step decimal(20,0)")
         x = F.col("x").cast("decimal(20,0)")
         bucket = F.floor((x - F.col("lo").cast("decimal(20,0)")) / F.col("step")).cast("long")
         inside = rows.join(F.broadcast(bounds), "node").filter((F.col("x") >= F.col("lo")) & (x <= F.col("hi")))

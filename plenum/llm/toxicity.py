@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 TRAIN_DOCS, FEATURES, LEAST_DOCS = 12_000, 2000, 4
+#: Least chi-square of a feature: one in a thousand of those without effect passes.
+SIGNIFICANT = 10.83
 COUNTERFACTUAL, SHRINK, STEPS = 1.0, 3e-4, 250
 #: Words whose features a worker keeps.
 CACHE_WORDS = 300_000
@@ -76,7 +78,7 @@ class Model:
                 own = self._known(w)
             if own:
                 found.update(own)
-        z = self.bias + sum(sorted(self.weights[f] for f in found))
+        z = self.bias + sum(sorted(self.weights[f] for f in found))  # sorted: the same sum in every process
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -131,8 +133,9 @@ def fit(train: DataFrame, train_docs: int = TRAIN_DOCS, counterfactual: float =
     counts = sample.mapInPandas(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n0, n1 = (min(sizes[k], train_docs / 2) for k in (0, 1))
     gap = F.col("n1") / n1 - F.col("n0") / n0
-    share = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    chosen = counts.filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).orderBy(F.desc(gap * gap / share), "f").limit(FEATURES)
+    share = F.least((F.col("n0") + F.col("n1")) / (n0 + n1), F.lit(0.999))
+    score = gap * gap / (share * (1 - share)) * (n0 * n1 / (n0 + n1))  # chi-square of one degree of freedom
+    chosen = counts.filter((F.col("n0") + F.col("n1") >= LEAST_DOCS) & (score >= SIGNIFICANT)).orderBy(F.desc(score), "f").limit(FEATURES)
     names = sorted({r["f"] for r in chosen.collect()} | {"=" + a for a in SWAP})
     index = {f: k for k, f in enumerate(names)}
 
