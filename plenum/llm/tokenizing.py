@@ -15,8 +15,9 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of each cache of a worker; a full cache starts anew. Some 250 bytes each.
-CACHE_ENTRIES = 1_000_000
+#: Words and pieces that a worker keeps, some 200 bytes each. They come in two generations: when the
+#: younger is full, the older is dropped, but for what was used since.
+CACHE_WORDS, CACHE_PIECES = 360_000, 240_000
 
 # The split pattern of the vocabulary file, and the characters whose lower case and
 # composed form depend on nothing but themselves.
@@ -33,32 +34,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Word to its ids as little-endian unsigned 32-bit integers."""
+class _Cache(dict):
+    """The younger generation of a cache; what it lacks comes from the older, or is made."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.encoder = encoder
+        self.make, self.half, self.old = make, entries // 2, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encoder.word(word)
-        return ids
-
-
-class _Pieces(dict):
-    """Lower-case piece to its ids."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.alphabet = model, byte_alphabet()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        spelled = piece if piece.isascii() and piece.isalnum() else "".join([self.alphabet[b] for b in piece.encode()])
-        ids = self[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
         return ids
 
 
@@ -68,7 +58,8 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = self._known_chain(path)
-        self.words, self.pieces = _Words(self), _Pieces(self.tokenizer.model)
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.words, self.pieces = _Cache(self.word, CACHE_WORDS), _Cache(self.piece, CACHE_PIECES)
 
     @staticmethod
     def _known_chain(path: str) -> bool:
@@ -84,6 +75,11 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of a lower-case piece of the split."""
+        spelled = piece if piece.isascii() and piece.isalnum() else "".join([self.alphabet[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def word(self, word: str) -> bytes:
         low = word.lower()
         if low.isalpha() and low.isascii():
