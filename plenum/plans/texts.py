@@ -1 +1,156 @@
-"""Queries on text."""
+"""Queries on text, topics, models and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plenum.functions import numbers, text
+from plenum.operators import annotate, topics
+from plenum.plans.registry import EV, discourse, query
+from plenum.storage import table
+
+LICENSES = [(r"\bapache\b", "Apache"), (r"\bmit license\b", "MIT"), (r"\bgnu\b|\bgpl\b", "GNU"), (r"\bcreative commons\b|\bcc\b", "Creative Commons"), (r"\blicen[cs]e\b", "Other")]
+_LICENSE = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for p, n in LICENSES) + " END"
+
+
+@query(f"SELECT doc_id, {_LICENSE} AS institution, CASE WHEN {_LICENSE} IS NOT NULL THEN 'bio' END AS source FROM documents WHERE {_LICENSE} IS NOT NULL")
+def institution_regex(spark, sf_dir):
+    """The first of ordered patterns that a field has."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.with_source([("bio", F.col("text"))], LICENSES).alias("i"))
+    return d.filter("i is not null").select("doc_id", "i.institution", "i.source")
+
+
+@query("SELECT page_id, 'issue_' || regexp_extract(url, '/([0-9]+)', 1) AS thread, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages WHERE regexp_matches(url, '/([0-9]+)')")
+def url_thread_key(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    number = text.nullable_extract(F.col("url"), r"/(\d+)")
+    key = text.thread_key(F.lit(None), number, [])
+    return p.select("page_id", key.alias("thread"), text.nullable_extract(F.col("url"), "^https?://([^/]+)").alias("host")).filter("thread is not null")
+
+
+@query()
+def html_text(spark, sf_dir):
+    """Text nodes of each page, with and without quotes."""
+    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("t")).select("page_id", F.length("t.raw_text").alias("n_raw"), F.length("t.own_text").alias("n_own"))
+
+
+@query("SELECT page_id, array_to_string(list_distinct_ordered, ',') AS quoted, len(list_distinct_ordered) AS n FROM (SELECT page_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS list_distinct_ordered FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages))")
+def quote_numbers(spark, sf_dir):
+    """Quoted references of each page, each once, in order."""
+    p = table(spark, sf_dir, "pages").select("page_id", text.quoted_numbers(F.col("html"), 'href="([^"]*)"').alias("q"))
+    return p.select("page_id", F.array_join("q", ",").alias("quoted"), F.size("q").cast("long").alias("n"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a', '__preamble__', 0, 'x'), ('a', '## One', 0, 'h|i'), ('a', '## One', 1, '1|2'), ('b', '### Two', 0, 'k'), ('b', '### Two', 1, 'v')) AS t(id, heading, "row", cells)"""
+)
+def markdown_table(spark, sf_dir):
+    """First tables of the sections of two literal texts."""
+    a = "| x |\n|---|\n\n## One\n| h | i |\n| :-: | --- |\n| 1 | 2 |\nend\n| 9 | 9 |\n## Empty"
+    b = "text\n### Two\n\n| k |\n|-|\n| v |"
+    docs = spark.createDataFrame([("a", a), ("b", b)], "id string, t string")
+    return text.markdown_tables(docs, "id", "t").withColumn("cells", F.array_join("cells", "|"))
+
+
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), chr(32) || chr(10) || chr(9) || chr(13)) AS plain, substr(text, 1, 300) AS shown,
+  nullif(regexp_extract(text, '(https?://[^\s\)\]]+)', 1), '') AS url, 'https://example.org/' || source || '/' || doc_id AS made_url FROM documents"""
+)
+def text_clean(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    made = F.when(F.col("source").isNotNull(), F.concat(F.lit("https://example.org/"), "source", F.lit("/"), "doc_id"))
+    return d.select("doc_id", text.strip_markdown(F.col("text")).alias("plain"), F.substring("text", 1, 300).alias("shown"), text.first_url(F.col("text")).alias("url"), made.alias("made_url"))
+
+
+PALETTE = [("Brand#1", "red"), ("Brand#2", "green"), ("Brand#3", "blue")]
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'red' WHEN p_brand LIKE 'Brand#2%' THEN 'green' WHEN p_brand LIKE 'Brand#3%' THEN 'blue' ELSE 'grey' END AS colour, substr(p_type, 1, 12) AS label,
+  CAST(greatest(10, least(60, 8 + p_size // 5)) AS INTEGER) AS size, round(greatest(1, least(8, 1 + log2(p_size + 1))), 6) AS width FROM part"""
+)
+def label_rules(spark, sf_dir):
+    """Colour by the first palette entry that the name has, short label, node size and edge width."""
+    colour = F.lit("grey")
+    for name, c in reversed(PALETTE):
+        colour = F.when(F.col("p_brand").contains(name), c).otherwise(colour)
+    return table(spark, sf_dir, "part").select("p_partkey", colour.alias("colour"), F.substring("p_type", 1, 12).alias("label"), numbers.node_size(F.col("p_size")).alias("size"), F.round(numbers.edge_width(F.col("p_size")), 6).alias("width"))
+
+
+@query(
+    """SELECT source, count(*) AS records, count(*) FILTER (lower(text) LIKE '%license%') AS with_command, count(*) FILTER (lower(text) LIKE '%cancel%') AS cancelled, count(DISTINCT lang) FILTER (lower(text) LIKE '%license%') AS languages FROM documents GROUP BY 1"""
+)
+def voting_stats(spark, sf_dir):
+    """Records with a command in their text, by source; cancellation is tested for itself."""
+    has = lambda w: F.coalesce(F.lower("text").contains(w), F.lit(False))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("records"), F.count_if(has("license")).alias("with_command"), F.count_if(has("cancel")).alias("cancelled"), F.countDistinct(F.when(has("license"), F.col("lang"))).alias("languages"))
+
+
+@query(
+    """WITH m AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9.]+@[a-zA-Z0-9.]+')) AS voter FROM documents), s AS (SELECT source, arg_max(CASE WHEN lower(text) LIKE '%released%' THEN 'PASSED' WHEN lower(text) LIKE '%licensed%' THEN 'CLOSED' END, doc_id) FILTER (lower(text) LIKE '%released%' OR lower(text) LIKE '%licensed%') AS status FROM documents GROUP BY 1)
+  SELECT s.source, count(DISTINCT voter) AS voters, string_agg(DISTINCT voter, ',' ORDER BY voter) AS names, coalesce(max(status), '') AS status FROM s LEFT JOIN m USING (source) GROUP BY 1"""
+)
+def vote_tally(spark, sf_dir):
+    """Distinct voters named in texts, and the last status."""
+    d = table(spark, sf_dir, "documents")
+    m = d.select("source", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9.]+@[a-zA-Z0-9.]+"), 0)).alias("voter")).distinct()
+    v = m.groupBy("source").agg(F.count("*").alias("voters"), F.array_join(F.sort_array(F.collect_set("voter")), ",").alias("names"))
+    status = F.when(F.lower("text").contains("released"), "PASSED").when(F.lower("text").contains("licensed"), "CLOSED")
+    s = d.groupBy("source").agg(F.max_by(status, F.when(status.isNotNull(), F.col("doc_id"))).alias("status"))
+    return s.join(v, "source", "left").select("source", F.coalesce("voters", F.lit(0)).alias("voters"), "names", F.coalesce("status", F.lit("")).alias("status"))
+
+
+_TFIDF = """WITH w AS (SELECT lang AS topic, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), t AS (SELECT topic, term, count(*) AS tf FROM w WHERE length(term) >= 3 GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM t GROUP BY 1),
+  a AS (SELECT sum(tf) / CAST(count(DISTINCT topic) AS DOUBLE) AS a FROM t), s AS (SELECT topic, term, round(tf * ln(1 + a / f), 6) AS score FROM t JOIN f USING (term) CROSS JOIN a), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM s)"""
+
+
+@query(_TFIDF + " SELECT topic, rank, term, score FROM k WHERE rank <= 8")
+def topic_keywords(spark, sf_dir):
+    return topics.class_keywords(table(spark, sf_dir, "documents"), "lang", "text")
+
+
+@query(_TFIDF + " SELECT topic, coalesce(string_agg(term, ',' ORDER BY term) FILTER (term IN ('the', 'and', 'que', 'die', 'les')), '') AS matches, count(*) FILTER (term IN ('the', 'and', 'que', 'die', 'les')) AS n_matches, count(*) FILTER (term IN ('the', 'and', 'que', 'die', 'les')) > 0 AS converges FROM k WHERE rank <= 8 GROUP BY 1")
+def keyword_overlap(spark, sf_dir):
+    return topics.keyword_overlap(topics.class_keywords(table(spark, sf_dir, "documents"), "lang", "text"), ["and", "die", "les", "que", "the"])
+
+
+@query("SELECT label AS topic, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 6) AS pct, round(100.0 * (SELECT count(*) FROM embeddings WHERE label = 0) / (SELECT count(*) FROM embeddings), 6) AS noise_rate_pct FROM embeddings GROUP BY 1")
+def topic_counts(spark, sf_dir):
+    return topics.topic_counts(table(spark, sf_dir, "embeddings"), "label", noise=0)
+
+
+@query()
+def topic_cluster(spark, sf_dir):
+    """Clusters of the embeddings, the farthest few as noise."""
+    return topics.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10, noise_share=0.05)
+
+
+@query()
+def annotate_stub(spark, sf_dir):
+    """Annotations by the rule that stands for a model, flat, with their errors."""
+    c = table(spark, sf_dir, "conversations").withColumn("record_id", F.concat_ws("_", "conv_id", "turn"))
+    a = annotate.annotate(c, "record_id", "text", annotate.with_retry(annotate.rule_model))
+    return a.select("record_id", "annotation.argument_type", "annotation.stance", "annotation.key_point", "annotation_error")
+
+
+@query()
+def theme_coding(spark, sf_dir):
+    """Open codes, the codebook made of them, and each record's theme."""
+    c = table(spark, sf_dir, "conversations").withColumn("record_id", F.concat_ws("_", "conv_id", "turn"))
+    codes = annotate.annotate(c, "record_id", "text").select("record_id", F.concat_ws("/", "annotation.argument_type", "annotation.stance").alias("code"))
+    return annotate.assign(codes, "record_id", "code", annotate.codebook(codes, "code"))
+
+
+@query()
+def file_checksums(spark, sf_dir):
+    """sha256, bytes and name of every table file."""
+    from plenum.sources.files import checksums
+
+    return checksums(spark, f"{sf_dir}/*.parquet").select("name", "sha256", "bytes")
+
+
+@query(f"WITH {EV} SELECT case_id, category, count(*) AS n, round(avg(stance), 6) AS mean_stance, count(DISTINCT actor) AS actors FROM ev GROUP BY 1, 2")
+def annotated_metrics(spark, sf_dir):
+    """Counts, mean stance and authors by case and category."""
+    return discourse(spark, sf_dir).groupBy("case_id", "category").agg(F.count("*").alias("n"), F.round(F.avg("stance"), 6).alias("mean_stance"), F.countDistinct("actor").alias("actors"))
