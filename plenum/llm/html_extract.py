@@ -200,20 +200,27 @@ def _main_path(pages: list[Page], template: Template | None) -> str | None:
 
 
 def _text(page: Page, template: Template | None, main: str | None) -> str:
-    """The words of the main slots that are no template."""
+    """The text of the main slots; outside an article, blocks that are template from end to end are left out."""
     articles = any(text and article and not aside and not text.isspace() for text, _, article, aside in page.nodes)
-    out = []
+    out: list[str] = []
+    block: list[str] = []
+    own = False  # something in the block is no template
+
+    def close() -> None:
+        nonlocal own
+        if own:
+            out.append("".join(block))
+        block.clear()
+        own = False
+
     for text, path, article, aside in page.nodes:
-        if aside or (not article if articles else main is not None and not (path == main or path.startswith((main + "<", main + "/")))):
-            continue
         if text is None:
-            out.append(" ")
-        elif articles or template is None:
-            out.append(unescape(text) if "&" in text else text)
-        else:
-            lead, tail = " " * text[:1].isspace(), " " * text[-1:].isspace()
-            out.append(lead + unescape(" ".join(w for w in text.split() if f"{path} {w}" not in template.words)) + tail)
-    return " ".join("".join(out).split())
+            close()
+        elif not (aside or (not article if articles else main is not None and not (path == main or path.startswith((main + "<", main + "/"))))):
+            block.append(unescape(text) if "&" in text else text)
+            own = own or articles or template is None or any(f"{path} {w}" not in template.words for w in text.split())
+    close()
+    return " ".join(" ".join(out).split())
 
 
 def extract_group(htmls: list[str | None]) -> list[str]:
@@ -235,7 +242,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     groups = rows.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("groups"))
-    # The few hosts' numbers are the small side; the pages are dealt only once, by host and part.
     dealt = rows.join(groups, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int")).drop("groups")
     n = partitions(pages.sparkSession)
 

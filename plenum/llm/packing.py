@@ -30,6 +30,8 @@ GROUP, FAN_IN = 8192, 64
 CLOSED = 0.005
 #: Emptiest bins that local search tries to empty, and the bins it looks at for each.
 TRIES, PARTNERS = 64, 256
+#: Moves and exchanges of one group at most.
+STEPS = 5000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -87,12 +89,13 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
     fill = [sum(n_of[i] for i in b) for b in bins]
     need = -(-sum(fill) // size)
     alive, stuck = {k for k, b in enumerate(bins) if b}, set()
-    while len(alive) > need and len(stuck) < TRIES:
+    steps = 0
+    while len(alive) > need and len(stuck) < TRIES and steps < STEPS:
         source = min((k for k in alive if k not in stuck), key=lambda k: (fill[k], k), default=None)
         if source is None:
             break
         others = sorted((k for k in alive if k != source and fill[k] < size), key=lambda k: (-fill[k], k))[:PARTNERS]
-        moved = True
+        moved, before = True, steps
         while moved and bins[source]:
             moved = False
             for k in others:
@@ -104,12 +107,13 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
                     shift = sum(n_of[i] for i in out) - sum(n_of[i] for i in back)
                     fill[source] -= shift
                     fill[k] += shift
-                    moved = True
+                    moved, steps = True, steps + 1
+        if steps > before:
+            stuck.clear()  # what changed may help the others
         if bins[source]:
             stuck.add(source)
         else:
             alive.discard(source)
-            stuck.clear()
     return [bins[k] for k in sorted(alive)]
 
 

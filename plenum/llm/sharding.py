@@ -117,4 +117,4 @@ def shard_by_tree(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
 
 def shards_for(total_bytes: int, target_bytes: int) -> int:
     """Leaves so that each holds about target_bytes at most: the least power of two."""
-    return 1 << max(0, (-(-total_bytes // max(1, target_bytes)) - 1).bit_length())
+    return 1 << (max(1, -(-total_bytes // max(1, target_bytes))) - 1).bit_length()
