@@ -39,3 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Partitions that a shuffle of the session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def literals(spark: SparkSession, rows: list[tuple[int, ...]], schema: list[tuple[str, str]]) -> DataFrame:
+    """A small table of numbers that the planner holds itself: no task reads it from Python. schema: names and SQL types."""
+    values = ", ".join("(" + ", ".join(f"CAST('{x}' AS {kind})" for x, (_, kind) in zip(row, schema, strict=True)) + ")" for row in rows)
+    names = ", ".join(name for name, _ in schema)
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in schema) + " WHERE false")
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
