@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, html_extract, language_id, packing, quality, sharding, simhash, token_counts, token_files, toxicity
+from plenum.llm import decontaminate, html_extract, language_id, oracles, packing, quality, sharding, simhash, token_counts, token_files, toxicity
 from plenum.storage import scratch, table
 
 
@@ -74,4 +74,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": oracles.QUALITY, "op6_decontamination": oracles.DECONTAMINATION}
