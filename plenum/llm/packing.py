@@ -33,7 +33,9 @@ TRIES, PARTNERS = 64, 256
 #: Moves and exchanges of one group at most.
 STEPS = 5000
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A missing id is 0 with no_id, as pandas has no longs with gaps.
+PIECE = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32"]
 
 
 def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,15 +47,14 @@ def pieces(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_
         enc = encoder(tokenizer)
         for batch in batches:
             out = []
-            for k, text in zip(batch["k"], batch["t"], strict=True):
+            for k, none, text in zip(batch["k"], batch["z"], batch["t"], strict=True):
                 ids = enc.ids(text) + end
                 for p, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
-                    out.append((k, p, at // 4, len(own) // 4, zlib.crc32(own)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+                    out.append((k, none, p, at // 4, len(own) // 4, zlib.crc32(own)))
+            yield pd.DataFrame(out, columns=NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(cut_up, PIECE)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k"), F.col(id_col).isNull().alias("z"), F.col(text_col).cast("string").alias("t")).mapInPandas(cut_up, PIECE)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -155,7 +156,7 @@ def _packer(size: int, last: bool):
                 at += int(lengths[i])
             fill[b] = at
         frame["bin"], frame["offset"], frame["closed"] = which, place, last | (fill[which] >= size * (1 - CLOSED))
-        return frame[["doc_id", "piece", "start", "length", "ids_crc32", "u", "g", "bin", "offset", "closed"]]
+        return frame[[*NAMES, "u", "g", "bin", "offset", "closed"]]
 
     return packed
 
@@ -167,21 +168,21 @@ def pack(rows: DataFrame, size: int = 4096) -> DataFrame:
     groups = max(1, -(-count // GROUP))
     full = rows.filter(F.col("length") >= size)
     own = F.monotonically_increasing_id()  # over rows that are written: the same whenever they are read
-    done = [full.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("round"), own.alias("bin"), F.lit(0).cast("long").alias("offset"))]
+    done = [full.select(*NAMES, F.lit(0).cast("long").alias("round"), own.alias("bin"), F.lit(0).cast("long").alias("offset"))]
     open_rows = rows.filter(F.col("length") < size).withColumn("g", F.pmod("u", F.lit(groups)).cast("int"))
     number, last = 0, False
     schema = PIECE + ", u long, g int, bin long, offset long, closed boolean"
     while not last:
         number, last = number + 1, groups == 1
 
-        out = cut(open_rows.select("doc_id", "piece", "start", "length", "ids_crc32", "u", "g").groupBy("g").applyInPandas(_packer(size, last), schema))
-        done.append(out.filter("closed").select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(number).cast("long").alias("round"), ((F.col("g").cast("long") * (1 << 24)) + F.col("bin")).alias("bin"), "offset"))
+        out = cut(open_rows.select(*NAMES, "u", "g").groupBy("g").applyInPandas(_packer(size, last), schema))
+        done.append(out.filter("closed").select(*NAMES, F.lit(number).cast("long").alias("round"), ((F.col("g").cast("long") * (1 << 24)) + F.col("bin")).alias("bin"), "offset"))
         open_rows = out.filter("not closed").withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int"))
         groups = -(-groups // FAN_IN)
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("round") * (1 << 57) + F.col("bin")).alias("sequence_id"), "offset")
+    return result.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32", (F.col("round") * (1 << 57) + F.col("bin")).alias("sequence_id"), "offset")
 
 
 def best_fit_packing(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

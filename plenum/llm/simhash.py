@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from plenum.operators.components import connected_components
 from plenum.storage import cut, partitions
@@ -53,12 +54,11 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """doc_id and fp (the bits as a signed long) of every row."""
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, n) for t in batch["t"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": batch["k"], "fp": fp})
+    @pandas_udf("long")
+    def take(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, n) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(take, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), take(F.col(text_col).cast("string")).alias("fp"))
 
 
 def references(count: int = PIVOTS) -> list[int]:

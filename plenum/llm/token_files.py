@@ -114,8 +114,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         ids, parts, base, size = [], [], 0, 0
         for batch in batches:
-            for k, text in zip(batch["k"], batch["t"], strict=True):
-                k = None if pd.isna(k) else int(k)
+            for k, none, text in zip(batch["k"].tolist(), batch["z"], batch["t"], strict=True):
+                k = None if none else k
                 if parts and (size >= BLOCK_IDS or (k is None) != (ids[0] is None)):
                     yield pd.DataFrame([_block(part, base, ids, parts)])
                     ids, parts, base, size = [], [], base + size, 0
@@ -125,8 +125,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if parts:
             yield pd.DataFrame([_block(part, base, ids, parts)])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    rows.repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k").mapInPandas(blocks, BLOCK).write.mode("overwrite").parquet(path)
+    # A missing id is the least number with a flag: pandas has no longs with gaps.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(id_col).isNull().alias("z"), F.col(text_col).cast("string").alias("t"))
+    rows.repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k", F.desc("z")).mapInPandas(blocks, BLOCK).write.mode("overwrite").parquet(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

@@ -99,3 +99,19 @@ def test_pipeline(spark, sf_dir, tmp_path, monkeypatch):
             want[(k, p, at, len(own), zlib.crc32(own.tobytes()))] += 1
     assert check_packing(got, want, 4096) <= -(-total // 4096) + 1
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_rows_without_ids_leave_large_ids_whole(spark):
+    """Ids beyond 2**53 next to missing ones."""
+    from plenum.llm import decontaminate, html_extract, packing, sharding, simhash, token_files
+    from plenum.storage import scratch
+
+    big = [2**60 + 1, 2**60 + 3, None, -(2**60) - 1]
+    docs = spark.createDataFrame([(k, f"text of number {n}") for n, k in enumerate(big)], "doc_id long, text string").coalesce(1)
+    of = lambda df, c="doc_id": Counter(r[c] for r in df.collect())
+    path = scratch(spark, "test")
+    token_files.write_token_files(docs, path)
+    assert of(token_files.read_token_files(spark, path)) == of(packing.best_fit_packing(docs)) == of(simhash.near_duplicates(docs)) == Counter(big)
+    assert of(sharding.shard_by_tree(docs.selectExpr("*", "'en' as lang", "null as source"))) == of(quality.quality_rules(docs.selectExpr("*", "null as source"))) == Counter(big)
+    assert of(html_extract.extract(docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")), "page_id") == Counter(big)
+    assert of(docs.withColumn("c", decontaminate.contamination(docs, spark.createDataFrame([(None, "a"), (1, None)], "item_id long, text string")))) == Counter(big)
