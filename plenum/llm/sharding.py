@@ -14,12 +14,10 @@ and may lie on either side of a median only together; an empty table gives no ro
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenum.storage import cut
+from plenum.storage import cut, literals
 
 #: Buckets of a node's range in each pass.
 BUCKETS = 256
@@ -51,7 +49,7 @@ def _medians(rows: DataFrame, low: dict[int, int], high: dict[int, int], before:
     spark = rows.sparkSession
     while open_nodes := [n for n in low if low[n] < high[n]]:
         step = {n: (high[n] - low[n]) // BUCKETS + 1 for n in open_nodes}
-        bounds = spark.createDataFrame([(n, low[n], Decimal(high[n]), Decimal(step[n])) for n in open_nodes], "node long, lo long, hi decimal(20,0), step decimal(20,0)")
+        bounds = literals(spark, [(n, low[n], high[n], step[n]) for n in open_nodes], [("node", "BIGINT"), ("lo", "BIGINT"), ("hi", "DECIMAL(20,0)"), ("step", "DECIMAL(20,0)")])
         x = F.col("x").cast("decimal(20,0)")
         bucket = F.floor((x - F.col("lo").cast("decimal(20,0)")) / F.col("step")).cast("long")
         inside = rows.join(F.broadcast(bounds), "node").filter((F.col("x") >= F.col("lo")) & (x <= F.col("hi")))
@@ -78,19 +76,19 @@ def kd_tree(rows: DataFrame, leaves: int, dimensions: list[str]) -> DataFrame:
             spread = {d: max(1, stats[0][f"hi_{d}"] - stats[0][f"lo_{d}"]) for d in dimensions}
         widest = {r["node"]: max(dimensions, key=lambda d, r=r: ((r[f"hi_{d}"] - r[f"lo_{d}"]) / spread[d], -dimensions.index(d))) for r in stats}
         half = {r["node"]: r["w"] / 2 for r in stats}
-        choice = spark.createDataFrame([(n, dimensions.index(d)) for n, d in widest.items()] or [(-1, 0)], "node long, dim int")
+        choice = literals(spark, [(n, dimensions.index(d)) for n, d in widest.items()], [("node", "BIGINT"), ("dim", "INT")])
         value = F.coalesce(*[F.when(F.col("dim") == k, F.col(d)) for k, d in enumerate(dimensions)])
         own = rows.join(F.broadcast(choice), "node").withColumn("x", value).drop("dim")
         low = {r["node"]: r[f"lo_{widest[r['node']]}"] for r in stats}
         high = {r["node"]: r[f"hi_{widest[r['node']]}"] for r in stats}
         medians = _medians(own.select("node", "x", F.col("size").alias("w")), low, high, dict.fromkeys(low, 0), half)
-        at = spark.createDataFrame([(n, x) for n, (x, _) in medians.items()] or [(-1, 0)], "node long, cut long")
+        at = literals(spark, [(n, x) for n, (x, _) in medians.items()], [("node", "BIGINT"), ("cut", "BIGINT")])
         own = own.join(F.broadcast(at), "node")
         # Among the rows that have the median itself, the document id parts.
         tied = own.filter("x = cut").select("node", F.col("doc_id_").alias("x"), F.col("size").alias("w"))
         ends = tied.groupBy("node").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
         ids = _medians(tied, {r["node"]: r["lo"] for r in ends}, {r["node"]: r["hi"] for r in ends}, {n: b for n, (_, b) in medians.items()}, half)
-        last = spark.createDataFrame([(n, x) for n, (x, _) in ids.items()] or [(-1, 0)], "node long, cut_id long")
+        last = literals(spark, [(n, x) for n, (x, _) in ids.items()], [("node", "BIGINT"), ("cut_id", "BIGINT")])
         own = own.join(F.broadcast(last), "node")
         right = (F.col("x") > F.col("cut")) | ((F.col("x") == F.col("cut")) & (F.col("doc_id_") > F.col("cut_id")))
         rows = cut(own.withColumn("node", 2 * F.col("node") + right.cast("long")).drop("x", "cut", "cut_id"))
