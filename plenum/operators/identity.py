@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranks of the sources and confidences of an affiliation.
-SOURCE_RANK = {"manual": 5, "github_company": 4, "github_bio": 3, "forum_bio": 2, "lm_annotation": 1}
-CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
+# Ranks of the sources and of the confidences of an affiliation.
+SOURCE_RANK = {"eip_header_email": 7, "manual_R07": 6, "github_company_field": 3, "github_bio": 2, "forum_bio": 2, "lm_inferred": 1, "unknown": 0}
+CONFIDENCE_RANK = {"Confirmed": 4, "Strong": 3, "Probable": 2, "LM_inferred": 1, "Unknown_checked": 1}
 
 
 def rank(value: Column, ranks: dict[str, int]) -> Column:
@@ -57,6 +57,6 @@ def map_text(m: Column) -> Column:
 
 
 def role(total: Column, n: dict[str, Column]) -> Column:
-    """Role by the shares of activity, first rule that holds."""
+    """A label by the shares of activity, first rule that holds; for tables whose records carry only an event type."""
     share = {k: c / F.nullif(total, F.lit(0)) for k, c in n.items()}
     return F.when(share["purchase"] >= 0.25, "driver").when(share["error"] >= 0.25, "critic").when(share["signup"] >= 0.22, "recruiter").when(total >= 70, "regular").otherwise("participant")

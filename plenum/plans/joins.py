@@ -68,9 +68,9 @@ def identity_resolve(spark, sf_dir):
     return j.select("c_custkey", "s_suppkey", "n_name", F.coalesce("s_name", "c_name").alias("canonical"))
 
 
-_ENTRIES = """e AS (SELECT lower(s_name) AS handle, n_name AS institution, 'manual' AS source, CASE WHEN s_acctbal > 5000 THEN 'high' ELSE 'low' END AS confidence, s_suppkey AS pos FROM supplier JOIN nation ON n_nationkey = s_nationkey
-  UNION ALL SELECT lower(replace(c_name, 'Customer', 'Supplier')), c_mktsegment, 'lm_annotation', 'medium', 1000000 + c_custkey FROM customer)"""
-_RANKS = "CASE source WHEN 'manual' THEN 5 ELSE 1 END DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, pos"
+_ENTRIES = """e AS (SELECT lower(s_name) AS handle, n_name AS institution, 'manual_R07' AS source, CASE WHEN s_acctbal > 5000 THEN 'Confirmed' ELSE 'Probable' END AS confidence, s_suppkey AS pos FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION ALL SELECT lower(replace(c_name, 'Customer', 'Supplier')), c_mktsegment, 'lm_inferred', 'LM_inferred', 1000000 + c_custkey FROM customer)"""
+_RANKS = "CASE source WHEN 'manual_R07' THEN 6 ELSE 1 END DESC, CASE confidence WHEN 'Confirmed' THEN 4 WHEN 'Probable' THEN 2 ELSE 1 END DESC, pos"
 
 
 @query(f"WITH {_ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY {_RANKS}) AS i FROM e) SELECT handle, institution, source, confidence FROM r WHERE i = 1")
@@ -78,8 +78,8 @@ def priority_merge(spark, sf_dir):
     """The best-founded affiliation of each handle."""
     n = table(spark, sf_dir, "nation")
     s = table(spark, sf_dir, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(
-        F.col("s_name").alias("handle"), F.col("n_name").alias("institution"), F.lit("manual").alias("source"), F.when(F.col("s_acctbal") > 5000, "high").otherwise("low").alias("confidence"), F.col("s_suppkey").alias("pos"))
-    c = table(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("handle"), F.col("c_mktsegment").alias("institution"), F.lit("lm_annotation").alias("source"), F.lit("medium").alias("confidence"), (F.col("c_custkey") + 1000000).alias("pos"))
+        F.col("s_name").alias("handle"), F.col("n_name").alias("institution"), F.lit("manual_R07").alias("source"), F.when(F.col("s_acctbal") > 5000, "Confirmed").otherwise("Probable").alias("confidence"), F.col("s_suppkey").alias("pos"))
+    c = table(spark, sf_dir, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("handle"), F.col("c_mktsegment").alias("institution"), F.lit("lm_inferred").alias("source"), F.lit("LM_inferred").alias("confidence"), (F.col("c_custkey") + 1000000).alias("pos"))
     return identity.best_entry(s.unionByName(c), "handle", "source", "confidence", "pos").select(F.col("_handle").alias("handle"), "institution", "source", "confidence")
 
 

@@ -107,5 +107,5 @@ def test_identity(spark):
     assert {r["alias"]: r["canonical"] for r in a.collect()} == {"ann": "ann", "annx": "bob", "bob": "bob", "bobf": "bob"}
     rows = spark.createDataFrame([("annx",), ("zed",)], "author string")
     assert {r["canonical"] for r in identity.canonical(rows, "author", a).collect()} == {"bob", "zed"}
-    e = spark.createDataFrame([(0, "Ann", "lm_annotation", "high"), (1, "ann", "manual", "low"), (2, "ANN", "manual", "low")], "pos long, h string, s string, c string")
+    e = spark.createDataFrame([(0, "Ann", "lm_inferred", "Confirmed"), (1, "ann", "manual_R07", "Probable"), (2, "ANN", "manual_R07", "Probable")], "pos long, h string, s string, c string")
     assert identity.best_entry(e, "h", "s", "c", "pos").first()["pos"] == 1
