@@ -19,6 +19,7 @@ a url without a host counts as one host; rows are extracted as often as they occ
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -27,10 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.storage import partitions
+from plenum.storage import cut, partitions
 
 #: Pages of a host that are compared at once.
 PAGES = 64
+#: Rows (host and number) of a table that is sent to every task; some 20 MB.
+HOSTS_SENT = 200_000
 #: Distinct pages from which a template is deduced, and the share that must have a class.
 LEAST_PAGES, SUPPORT = 3, 0.5
 
@@ -54,7 +57,8 @@ ASIDE_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article content main post entry story body text page-content post-content entry-content article-body article-content main-content".split())
 
-EXTRACTED = "page_id long, url string, text string"
+#: A missing id is 0 with no_id, as pandas has no longs with gaps.
+EXTRACTED = "page_id long, no_id boolean, url string, text string"
 
 
 def _attributes(raw: str) -> tuple[set[str], str, bool]:
@@ -237,11 +241,20 @@ def extract_group(htmls: list[str | None]) -> list[str]:
     return [texts[h] if h else "" for h in htmls]
 
 
+def _shrunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        batch["html"] = [None if h is None else zlib.compress(h.encode("utf-8", "replace"), 1) for h in batch["html"]]
+        yield batch
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("page_id"), F.col(id_col).isNull().alias("no_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     groups = rows.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("groups"))
+    # A table of few hosts is sent to every task, so that the pages are dealt only once, by host and part.
+    groups = cut(groups)
+    groups = F.broadcast(groups) if groups.count() <= HOSTS_SENT else groups
     dealt = rows.join(groups, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int")).drop("groups")
     n = partitions(pages.sparkSession)
 
@@ -251,18 +264,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         key = None
 
         def done() -> pd.DataFrame:
-            texts = extract_group([r[2] for r in rest])
-            return pd.DataFrame({"page_id": pd.array([r[0] for r in rest], "Int64"), "url": [r[1] for r in rest], "text": texts})
+            texts = extract_group([None if r[2] is None else zlib.decompress(r[2]).decode("utf-8") for r in rest])
+            return pd.DataFrame({"page_id": [r[0] for r in rest], "no_id": [r[3] for r in rest], "url": [r[1] for r in rest], "text": texts})
 
         for batch in batches:
-            for page, url, html, own, part in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], batch["host"], batch["part"], strict=True):
+            for page, none, url, html, own, part in zip(batch["page_id"], batch["no_id"], batch["url"], batch["html"], batch["host"], batch["part"], strict=True):
                 if rest and (key != (own, part) or len(rest) >= 4 * PAGES):
                     yield done()
                     rest = []
                 key = (own, part)
-                rest.append((page, url, html))
+                rest.append((page, url, html, none))
         if rest:
             yield done()
 
-    out = dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part").select("page_id", "url", "html", "host", "part").mapInPandas(each, EXTRACTED)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    # Markup shrinks to a third before it is dealt.
+    small = dealt.select("page_id", "no_id", "url", "html", "host", "part").mapInPandas(_shrunk, "page_id long, no_id boolean, url string, html binary, host string, part int")
+    out = small.repartition(n, "host", "part").sortWithinPartitions("host", "part").mapInPandas(each, EXTRACTED)
+    return out.select(F.when(~F.col("no_id"), F.col("page_id")).alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
