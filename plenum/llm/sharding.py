@@ -113,6 +113,12 @@ def shard_by_tree(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shard_to_target(docs: DataFrame, target_bytes: int, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """shard_by_tree, split until leaves hold about target_bytes at most."""
+    total = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 1), F.lit(0))).first()[0]
+    return shard_by_tree(docs, shards_for(total, target_bytes), id_col, text_col, categories)
+
+
 def shards_for(total_bytes: int, target_bytes: int) -> int:
     """Leaves so that each holds about target_bytes at most: the least power of two."""
     return 1 << (max(1, -(-total_bytes // max(1, target_bytes))) - 1).bit_length()

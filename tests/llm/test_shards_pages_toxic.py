@@ -62,6 +62,9 @@ def test_shards_are_near_equal_though_one_value_holds_a_third(spark):
     got = sharding.shard_by_tree(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("shard").agg({"size": "sum"}).collect()
     sizes = [r[1] for r in got]
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * 140
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    leaves = sharding.shard_to_target(df, 20_000).groupBy("shard").agg({"size": "sum"}).collect()
+    assert len(leaves) == 16 and max(r[1] for r in leaves) <= 20_000 + 140
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><style>p{{}}</style><script>var t="</p><article>no</article>";</script></head><body class="home">
@@ -105,6 +108,10 @@ def test_pages_table(spark, monkeypatch):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def fitted(df, **options):
+    return toxicity.fit(df.select("id", "text"), df.select("id", "label"), **options)
+
+
 def labelled(n: int, seed: int = 0):
     rng = random.Random(seed)
     words = [a + b for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "se", "ti", "vo", "zu")]
@@ -119,7 +126,7 @@ def labelled(n: int, seed: int = 0):
 
 def test_held_out_rows_are_told(spark):
     rows = labelled(2000)
-    model = toxicity.fit(spark.createDataFrame([r for r in rows if r[0] % 3], "id long, text string, label int"))
+    model = fitted(spark.createDataFrame([r for r in rows if r[0] % 3], "id long, text string, label int"))
     df = spark.createDataFrame([r for r in rows if not r[0] % 3], "id long, text string, label int")
     out = df.select("label", toxicity.toxicity(df, model).alias("s")).collect()
     assert sum((r["s"] >= 0.7) == bool(r["label"]) for r in out) / len(out) > 0.98
@@ -129,17 +136,17 @@ def test_swapped_identities_have_near_scores(spark):
     """A group that occurs in toxic rows only does not make a row toxic."""
     rows = [(k, t + (" muslim" if label or k % 50 == 0 else " man" if k % 2 else ""), label) for k, t, label in labelled(1500, 4)]
     train = spark.createDataFrame(rows, "id long, text string, label int")
-    fair, plain = toxicity.fit(train, counterfactual=50.0), toxicity.fit(train, counterfactual=0.0)
+    fair, plain = fitted(train, counterfactual=50.0), fitted(train, counterfactual=0.0)
     gap = lambda m: abs(m.score("kara muslim") - m.score("kara christian"))
     assert gap(fair) < 0.05 and gap(fair) < gap(plain) / 3
     assert fair.score("kara vileword muslim") > 0.7
 
 
 def test_odd_rows_have_scores(spark, docs, odd_rows, no_docs):
-    model = toxicity.fit(spark.createDataFrame(labelled(300), "id long, text string, label int"))
+    model = fitted(spark.createDataFrame(labelled(300), "id long, text string, label int"))
     out = docs.select("doc_id", toxicity.toxicity(docs, model).alias("s")).collect()
     assert len(out) == len(odd_rows) and all(0 <= r["s"] <= 1 for r in out)
     assert {r["s"] for r in out if r["doc_id"] in (100, 101, 102)} == {model.score(None)}
     assert no_docs.select(toxicity.toxicity(no_docs, model)).count() == 0
     train = lambda rows: spark.createDataFrame(rows, "id long, text string, label int")
-    assert toxicity.fit(train([])).score("x") < 1e-6 and toxicity.fit(train([(1, "a", 0)])).score("x") < 1e-6 and toxicity.fit(train([(1, "a", 1), (2, "b", None)])).score("x") > 1 - 1e-6
+    assert fitted(train([])).score("x") < 1e-6 and fitted(train([(1, "a", 0)])).score("x") < 1e-6 and fitted(train([(1, "a", 1), (2, "b", None)])).score("x") > 1 - 1e-6
