@@ -20,9 +20,9 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    train = docs.filter(~held).join(labels.filter(~held), "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
-    scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity(docs, toxicity.fit(train)).alias("score"))
+    labels = table(spark, sf_dir, "labels").filter(~held).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.filter(~held).select(F.col("doc_id").alias("id"), "text"), labels)
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

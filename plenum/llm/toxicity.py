@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from plenum.storage import cut
+
 TRAIN_DOCS, FEATURES, LEAST_DOCS = 12_000, 2000, 4
 #: Least chi-square of a feature: one in a thousand of those without effect passes.
 SIGNIFICANT = 10.83
-COUNTERFACTUAL, SHRINK, STEPS = 1.0, 3e-4, 250
+COUNTERFACTUAL, SHRINK, STEPS = 1.0, 1e-4, 300
 #: Words whose features a worker keeps.
 CACHE_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -110,17 +112,18 @@ def _logistic(rows: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray,
     return w, b
 
 
-def fit(train: DataFrame, train_docs: int = TRAIN_DOCS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """train: id, text and label (0 or 1)."""
-    train = train.filter("label is not null")
-    sizes = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """docs: id and text; labels: id and label (0 or 1). Rows to train on are drawn among the labels, by a hash of the id, before they meet their texts."""
+    labels = labels.filter("id is not null and label is not null").select("id", F.col("label").cast("int").alias("label")).distinct()
+    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     if len(sizes) < 2:
         share = float(next(iter(sizes), 0))
         return Model({}, 500.0 if share else -500.0)
     # Half the rows of each label, or all of them.
     half = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / 2 / n))])
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit("train")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    sample = train.filter(draw < F.element_at(half, F.col("label").cast("int"))).select("text", F.col("label").cast("int").alias("label"))
+    drawn = F.broadcast(labels.filter(draw < F.element_at(half, F.col("label"))))  # about train_docs rows at most
+    sample = cut(docs.select("id", "text").join(drawn, "id").select("text", "label"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
