@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.tokenizing import default_path, encoder
+from plenum.storage import cut
 
 #: Lengths whose running sums one task takes.
-SPAN = 4096
+SPAN = 256
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, text_col: str = "text") -> DataFrame:
@@ -36,7 +37,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
     Suffix sums are taken in spans of lengths, then over the spans: no task sees every length.
     """
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
+    # Written, as the spans and the lengths within them both read it: texts are encoded once.
+    h = cut(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     spans = h.groupBy("span").agg(F.sum("n_docs").alias("sd"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("st"))
     after = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
