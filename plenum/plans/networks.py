@@ -173,7 +173,12 @@ def eigenvector(spark, sf_dir):
     return kernels.eigenvector(graphs.within(e, c.join(F.broadcast(giant), "component")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_EARLY}, {_BOTH}, b AS (SELECT DISTINCT src, dst FROM both_ends), r(s, node, d) AS (SELECT DISTINCT src, src, 0 FROM b UNION SELECT r.s, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.node WHERE r.d < 40), m AS (SELECT s, node, min(d) AS d FROM r GROUP BY 1, 2),
+  q(s, t, d, path) AS (SELECT DISTINCT src, src, 0, [src] FROM b UNION ALL SELECT q.s, b.dst, q.d + 1, list_append(q.path, b.dst) FROM q JOIN b ON b.src = q.t JOIN m ON m.s = q.s AND m.node = b.dst AND m.d = q.d + 1),
+  n AS (SELECT s, t, count(*) AS c FROM q GROUP BY 1, 2), v AS (SELECT s, t, unnest(path[2:len(path) - 1]) AS node FROM q WHERE d > 1), k AS (SELECT count(DISTINCT src) AS k FROM b)
+  SELECT i.node, round(coalesce(x.b, 0) / ((k - 1) * (k - 2)), 6) AS betweenness FROM (SELECT DISTINCT src AS node FROM b) i LEFT JOIN (SELECT node, sum(1.0 / c) AS b FROM v JOIN n USING (s, t) GROUP BY 1) x ON x.node = i.node CROSS JOIN k"""
+)
 def betweenness(spark, sf_dir):
     e = early(spark, sf_dir)
     return kernels.betweenness(ends(e), e)

@@ -126,7 +126,12 @@ def topic_cluster(spark, sf_dir):
     return topics.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10, noise_share=0.05)
 
 
-@query()
+_RULE = """a AS (SELECT concat_ws('_', conv_id, turn) AS record_id, substr(text, 1, 800) AS t FROM conversations), w AS (SELECT *, regexp_extract_all(t, '[^ \\t\\n\\r]+') AS w, lower(t) AS low FROM a),
+  r AS (SELECT record_id, CASE WHEN regexp_matches(t, '[0-9]') THEN 'Technical' ELSE 'Process' END AS argument_type, CASE WHEN list_contains(regexp_extract_all(low, '[^ \\t\\n\\r]+'), 'not') THEN 'Oppose' WHEN contains(low, 'good') OR contains(low, 'thanks') THEN 'Support' WHEN contains(low, 'should') THEN 'Modify' ELSE 'Neutral' END AS stance,
+    array_to_string(w[1:8], ' ') AS key_point FROM w)"""
+
+
+@query(f"WITH {_RULE} SELECT record_id, argument_type, stance, key_point, CAST(NULL AS VARCHAR) AS annotation_error FROM r")
 def annotate_stub(spark, sf_dir):
     """Annotations by the rule that stands for a model, flat, with their errors."""
     c = table(spark, sf_dir, "conversations").withColumn("record_id", F.concat_ws("_", "conv_id", "turn"))
@@ -134,7 +139,10 @@ def annotate_stub(spark, sf_dir):
     return a.select("record_id", "annotation.argument_type", "annotation.stance", "annotation.key_point", "annotation_error")
 
 
-@query()
+@query(
+    f"""WITH {_RULE}, c AS (SELECT record_id, argument_type || '/' || stance AS code FROM r), b AS (SELECT code, 'T' || lpad(CAST(row_number() OVER (ORDER BY code) AS VARCHAR), 2, '0') AS theme_id FROM (SELECT DISTINCT code FROM c))
+  SELECT record_id, theme_id, 'high' AS confidence FROM c JOIN b USING (code)"""
+)
 def theme_coding(spark, sf_dir):
     """Open codes, the codebook made of them, and each record's theme."""
     c = table(spark, sf_dir, "conversations").withColumn("record_id", F.concat_ws("_", "conv_id", "turn"))
