@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 #: Words and pieces that a worker keeps, some 200 bytes each. They come in two generations: when the
 #: younger is full, the older is dropped, but for what was used since.
-CACHE_WORDS, CACHE_PIECES = 360_000, 240_000
+CACHE_WORDS, CACHE_PIECES = 700_000, 400_000
 
 # The split pattern of the vocabulary file, and the characters whose lower case and
 # composed form depend on nothing but themselves.
