@@ -12,6 +12,12 @@ def coparticipation(rows: DataFrame, thread: list[str], actor: str) -> DataFrame
     return t.join(t.withColumnRenamed("a", "b"), thread).filter("a < b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight"))
 
 
+def pair_load(rows: DataFrame, thread: list[str], actor: str, least: int = 1000) -> DataFrame:
+    """Threads with at least so many actors, and the pairs that coparticipation makes of each: what to look at before hubs explode."""
+    n = rows.filter(F.col(actor).isNotNull()).groupBy(*thread).agg(F.countDistinct(actor).alias("actors")).filter(F.col("actors") >= least)
+    return n.withColumn("pairs", (F.col("actors") * (F.col("actors") - 1) / 2).cast("long"))
+
+
 def mean_stance(rows: DataFrame, keys: list[str] = ["case_id"]) -> DataFrame:  # noqa: B006
     return rows.groupBy(*keys, "actor", "theme").agg(F.avg("stance").alias("s"))
 

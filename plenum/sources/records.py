@@ -64,6 +64,17 @@ def flatten_discussions(nested: DataFrame) -> DataFrame:
     )
 
 
+REPOSITORY = "full_name string, description string, created_at string, updated_at string, stargazers_count int, forks_count int, open_issues_count int, default_branch string, license struct<spdx_id:string>, html_url string"
+
+
+def repository(item: DataFrame) -> DataFrame:
+    """The one row of a repository's metadata."""
+    return item.select(
+        "full_name", "description", "created_at", "updated_at", F.col("stargazers_count").alias("stars"), F.col("forks_count").alias("forks"), F.col("open_issues_count").alias("open_issues"),
+        "default_branch", F.col("license.spdx_id").alias("license"), F.col("html_url").alias("url"),
+    )
+
+
 def lookup_profiles(handles: DataFrame, handle: str, profiles: DataFrame) -> DataFrame:
     """A profile for each distinct handle; found is false where there is none."""
     h = handles.select(F.col(handle).alias("handle")).filter(F.col("handle").isNotNull()).distinct()

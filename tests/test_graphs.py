@@ -80,3 +80,9 @@ def test_stance_example(spark):
 def test_subgraph_keeps_edges_with_both_ends(spark):
     assert graphs.within(edges(spark, BRIDGE), nodes(spark, [1, 2, 3, 5])).count() == 3
     assert graphs.crossing_share(edges(spark, []), nodes(spark, []).selectExpr("node", "node as grp")).first()[0] is None
+
+
+def test_hubs_are_reported(spark):
+    rows = spark.createDataFrame([("t", a) for a in range(5)] + [("t", 0), ("u", 1), ("u", None)], "thread string, actor long")
+    assert [tuple(r) for r in graphs.pair_load(rows, ["thread"], "actor", least=2).collect()] == [("t", 5, 10)]
+    assert graphs.coparticipation(rows, ["thread"], "actor").count() == 10

@@ -33,6 +33,9 @@ def test_api_items(spark, tmp_path):
     df = spark.read.schema(records.API_ITEM).json(str(tmp_path / "i.json"), multiLine=True)
     assert records.pulls(df, "p").first()["merged"] is True and records.issues(df, "p").first()["labels"] == ["x"]
     assert records.commits(df, "p").first()["sha"] == "0123456789" and records.comments(df, "p").first()["comment_id"] == "9"
+    (tmp_path / "repo.json").write_text(json.dumps({"full_name": "o/r", "stargazers_count": 5, "license": {"spdx_id": "MIT"}, "html_url": "u"}))
+    r = records.repository(spark.read.schema(records.REPOSITORY).json(str(tmp_path / "repo.json"))).first()
+    assert (r["full_name"], r["stars"], r["license"], r["forks"]) == ("o/r", 5, "MIT", None)
     h = spark.createDataFrame([("ann",), ("zed",), ("ann",)], "a string")
     p = spark.createDataFrame([("ann", True, "Ann")], "handle string, found boolean, name string")
     assert {(r["handle"], r["found"]) for r in records.lookup_profiles(h, "a", p).collect()} == {("ann", True), ("zed", False)}
