@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from plenum.functions.predicates import contains_name, strip
 from plenum.operators.identity import CONFIDENCE_RANK, SOURCE_RANK, majority, rank  # noqa: F401
 
+# Names of roles, of a proposal's stages and of a vote's events, and the bot that counts votes.
+ROLES = ["Proposer", "Core Developer", "Reviewer", "Community Voice", "Occasional Contributor"]
+STAGES = ["PR Submitted", "Auto-merge (bot)", "EIP Editor Approved", "Review Comment"]
+EVENTS = ["PR Opened", "/cancel-vote issued", "/vote issued", "Vote opened (bot)", "Vote closed (bot)", "Merged"]
+OUTCOMES = ["PASSED", "CLOSED/REJECTED"]
+VOTE_BOT = "git-vote[bot]"
+
 CORE_RULES = {"first": "case_records >= 3 or case_threads >= 2", "second": "case_records >= 50"}
 
 
@@ -64,7 +71,7 @@ def roles(profiles: DataFrame, records: DataFrame) -> DataFrame:
     proposer = ((zero("_pr") > 0) | (zero("_forum") > 3)) & (of("stances", "Support") > of("stances", "Oppose"))
     implementer = (zero("_commit") > 0) | (of("argument_types", "Technical") > total * 0.5)
     reviewer = (zero("_review") > 0) | (of("argument_types", "Process") > 0)
-    role = F.when(proposer & (total >= 3), "Proposer").when(implementer & (total >= 5), "Core Developer").when(reviewer, "Reviewer").when(total >= 5, "Community Voice").otherwise("Occasional Contributor")
+    role = F.when(proposer & (total >= 3), ROLES[0]).when(implementer & (total >= 5), ROLES[1]).when(reviewer, ROLES[2]).when(total >= 5, ROLES[3]).otherwise(ROLES[4])
     return p.select("canonical", role.alias("role"))
 
 
@@ -90,10 +97,10 @@ def proposal_lifecycle(records: DataFrame, merge_bot: str) -> DataFrame:
     """date, stage and author of a proposal's stages."""
     approved = (F.col("source") == "github_review") & (F.col("state") == "APPROVED")
     stage = (
-        F.when(F.col("source") == "github_pr_body", "PR Submitted")
-        .when(approved & contains_name(F.col("author"), merge_bot), "Auto-merge (bot)")
-        .when(approved, "EIP Editor Approved")
-        .when(F.col("source") == "github_review_comment", "Review Comment")
+        F.when(F.col("source") == "github_pr_body", STAGES[0])
+        .when(approved & contains_name(F.col("author"), merge_bot), STAGES[1])
+        .when(approved, STAGES[2])
+        .when(F.col("source") == "github_review_comment", STAGES[3])
     )
     return records.select(_day().alias("date"), stage.alias("stage"), "author").filter("stage is not null")
 
@@ -103,22 +110,22 @@ def vote_lifecycle(records: DataFrame) -> DataFrame:
     text, bot = F.coalesce("text", F.lit("")), contains_name(F.col("author"), "bot")
     comment, low = F.col("record_type") == "issue_comment", F.lower(F.coalesce("text", F.lit("")))
     event = (
-        F.when(F.col("record_type") == "pr_body", "PR Opened")
-        .when(comment & ~bot & text.contains("/cancel-vote"), "/cancel-vote issued")
-        .when(comment & ~bot & text.contains("/vote"), "/vote issued")
-        .when(comment & bot & low.contains("vote created"), "Vote opened (bot)")
-        .when(comment & bot & (low.contains("vote closed") | low.contains("passed")), "Vote closed (bot)")
-        .when((F.col("record_type") == "review") & (F.col("state") == "APPROVED"), "Merged")
+        F.when(F.col("record_type") == "pr_body", EVENTS[0])
+        .when(comment & ~bot & text.contains("/cancel-vote"), EVENTS[1])
+        .when(comment & ~bot & text.contains("/vote"), EVENTS[2])
+        .when(comment & bot & low.contains("vote created"), EVENTS[3])
+        .when(comment & bot & (low.contains("vote closed") | low.contains("passed")), EVENTS[4])
+        .when((F.col("record_type") == "review") & (F.col("state") == "APPROVED"), EVENTS[5])
     )
-    who = F.when(comment & bot, "git-vote[bot]").otherwise(F.col("author"))
+    who = F.when(comment & bot, VOTE_BOT).otherwise(F.col("author"))
     return records.select("pr_number", _day().alias("date"), event.alias("event"), who.alias("author")).filter("event is not null")
 
 
-def vote_results(records: DataFrame, bot: str = "git-vote[bot]") -> DataFrame:
+def vote_results(records: DataFrame, bot: str = VOTE_BOT) -> DataFrame:
     """For each pull request: the last status, the distinct voters for and against, the bot's log lines and the commands."""
     text, own = F.coalesce("text", F.lit("")), F.col("author") == bot
     low = F.lower(text)
-    status = F.when(own & low.contains("passed"), "PASSED").when(own & low.contains("closed"), "CLOSED/REJECTED")
+    status = F.when(own & low.contains("passed"), OUTCOMES[0]).when(own & low.contains("closed"), OUTCOMES[1])
     each = records.select(
         "pr_number", "_pos", status.alias("s"), (own & text.rlike("Vote (status|created|closed)")).alias("log"), ((F.col("record_type") == "issue_comment") & (strip(text) == "/vote")).alias("command"),
         F.when(own, F.regexp_extract_all(text, F.lit(r":white_check_mark:[^\n]*@(\w[\w-]*)"), 1)).alias("yes"), F.when(own, F.regexp_extract_all(text, F.lit(r":x:[^\n]*@(\w[\w-]*)"), 1)).alias("no"),
