@@ -51,6 +51,15 @@ def count_map(rows: DataFrame, keys: list[str], label: str, name: str) -> DataFr
     return n.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "n")))).alias(name))  # one entry for each label of a closed vocabulary
 
 
+def label_summary(rows: DataFrame, key: str, label: str, pos: str) -> DataFrame:
+    """key, n, counts (a map in order of the labels) and top (the most frequent label; of equals the one seen first), from one pass: labels of a closed vocabulary."""
+    t = rows.filter(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
+    each = F.sort_array(F.collect_list(F.struct(label, "n", (-F.col("first")).alias("rank"))))
+    a = t.groupBy(key).agg(F.sum("n").alias("n"), each.alias("each"))
+    best = F.array_max(F.transform("each", lambda e: F.struct(e["n"], e["rank"], e[label].alias("label"))))
+    return a.select(key, "n", F.map_from_entries(F.transform("each", lambda e: F.struct(e[label], e["n"]))).alias("counts"), best["label"].alias("top"))
+
+
 def map_text(m: Column) -> Column:
     """k:v; k:v"""
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "; ")

@@ -92,10 +92,9 @@ _ROLLUP = f"""WITH {EV}, t AS (SELECT actor, category, count(*) AS n, min(event_
 def author_rollup(spark, sf_dir):
     """One row for each author: records, threads, first day, count map and majority category."""
     e = discourse(spark, sf_dir)
-    base = e.groupBy("actor").agg(F.count("*").alias("n_records"), F.countDistinct("k").alias("threads"), F.to_date(F.min("ts")).cast("string").alias("first_day"))
-    maps = identity.count_map(e, ["actor"], "category", "m").select("actor", identity.map_text(F.col("m")).alias("categories"))
-    top = identity.majority(e, "actor", "category", "event_id").withColumnRenamed("category", "top_category")
-    return base.join(maps, "actor").join(top, "actor")
+    base = e.groupBy("actor").agg(F.countDistinct("k").alias("threads"), F.to_date(F.min("ts")).cast("string").alias("first_day"))
+    said = identity.label_summary(e, "actor", "category", "event_id")
+    return base.join(said, "actor").select("actor", F.col("n").alias("n_records"), "threads", "first_day", F.col("top").alias("top_category"), identity.map_text(F.col("counts")).alias("categories"))
 
 
 @query(
