@@ -15,9 +15,10 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words and pieces that a worker keeps, some 200 bytes each. They come in two generations: when the
-#: younger is full, the older is dropped, but for what was used since.
-CACHE_WORDS, CACHE_PIECES = 700_000, 400_000
+#: Words that a worker keeps, some 170 bytes each. They come in two generations: when the younger is full,
+#: the older is dropped, but for what was used since. The pieces of a word are kept as words, too: split by
+#: itself, a piece is one piece.
+CACHE_WORDS = 500_000
 
 # The split pattern of the vocabulary file, and the characters whose lower case and
 # composed form depend on nothing but themselves.
@@ -59,7 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = self._known_chain(path)
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
-        self.words, self.pieces = _Cache(self.word, CACHE_WORDS), _Cache(self.piece, CACHE_PIECES)
+        self.words = _Cache(self.word, CACHE_WORDS)
 
     @staticmethod
     def _known_chain(path: str) -> bool:
@@ -81,12 +82,14 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        low = word.lower()
-        if low.isalpha() and low.isascii():
-            return self.pieces[low]
+        """Ids of a word that is not kept."""
         if "<|" in word or not (word.isascii() or PLAIN.fullmatch(word)):
             return self._whole(word)
-        return b"".join(map(self.pieces.__getitem__, SPLIT.findall(low)))
+        low = word.lower()
+        pieces = [low] if low.isalpha() else SPLIT.findall(low)
+        if len(pieces) > 1:
+            return b"".join([self.words[p] for p in pieces])
+        return self.piece(low) if low == word else self.words[low]
 
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null is as empty."""

@@ -38,7 +38,6 @@ def test_full_caches_keep_the_ids(plain, monkeypatch):
     from plenum.llm import tokenizing
 
     monkeypatch.setattr(tokenizing, "CACHE_WORDS", 8)
-    monkeypatch.setattr(tokenizing, "CACHE_PIECES", 4)
     e = tokenizing.Encoder(default_path())
     for text in ["one two three four five six seven", "seven six one nine ten eleven", "one two three"] * 3:
         assert np.frombuffer(e.ids(text), "<u4").tolist() == plain(text)
