@@ -29,9 +29,9 @@ GROUP, FAN_IN = 8192, 64
 #: A bin with less room than this share of its size is closed.
 CLOSED = 0.005
 #: Emptiest bins that local search tries to empty, and the bins it looks at for each.
-TRIES, PARTNERS = 64, 256
-#: Moves and exchanges of one group at most.
-STEPS = 5000
+TRIES, PARTNERS = 32, 64
+#: Pairs of bins that are looked at in one group at most, and pieces of a bin that exchange in pairs: the bound of a group's time.
+PROBES, PAIRED = 2000, 16
 
 #: A missing id is 0 with no_id, as pandas has no longs with gaps.
 PIECE = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
@@ -90,16 +90,17 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
     fill = [sum(n_of[i] for i in b) for b in bins]
     need = -(-sum(fill) // size)
     alive, stuck = {k for k, b in enumerate(bins) if b}, set()
-    steps = 0
-    while len(alive) > need and len(stuck) < TRIES and steps < STEPS:
+    steps = probes = 0
+    while len(alive) > need and len(stuck) < TRIES and probes < PROBES:
         source = min((k for k in alive if k not in stuck), key=lambda k: (fill[k], k), default=None)
         if source is None:
             break
         others = sorted((k for k in alive if k != source and fill[k] < size), key=lambda k: (-fill[k], k))[:PARTNERS]
         moved, before = True, steps
-        while moved and bins[source]:
+        while moved and bins[source] and probes < PROBES:
             moved = False
             for k in others:
+                probes += 1
                 gap, low = size - fill[k], fill[source]
                 if gap and fill[k] >= low and (step := _step(bins[source], bins[k], n_of, gap)):
                     out, back = step
@@ -125,7 +126,7 @@ def _step(own: list[int], other: list[int], n_of: list[int], gap: int) -> tuple[
     for j in other:
         insort(theirs, (n_of[j], j))
     sizes = [n for n, _ in theirs]
-    pairs = [(n_of[a] + n_of[b], [a, b]) for x, a in enumerate(own[:64]) for b in own[x + 1 : 64]]
+    pairs = [(n_of[a] + n_of[b], [a, b]) for x, a in enumerate(own[:PAIRED]) for b in own[x + 1 : PAIRED]]
     for n, out in [(n_of[i], [i]) for i in own] + pairs:
         if best < n <= gap:
             best, step = n, (out, [])
@@ -134,7 +135,7 @@ def _step(own: list[int], other: list[int], n_of: list[int], gap: int) -> tuple[
         if low < at and n - sizes[low] > best and n - sizes[low] <= gap:
             best, step = n - sizes[low], (out, [theirs[low][1]])
         if len(out) == 1:
-            for x in range(min(len(sizes), 64)):
+            for x in range(min(len(sizes), PAIRED)):
                 y = max(x + 1, bisect_right(sizes, n - gap - sizes[x] - 1))
                 if y < len(sizes) and best < n - sizes[x] - sizes[y] <= gap:
                     best, step = n - sizes[x] - sizes[y], (out, [theirs[x][1], theirs[y][1]])
