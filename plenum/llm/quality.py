@@ -2,8 +2,7 @@
 
 Normalised lines (lower case, digits as 0, single spaces) are hashed. A line whose number of distinct
 documents on a host exceeds both LINE_DOCS and the share LINE_SHARE of the host's documents is removed,
-if it has at most LINE_WORDS words; a document that keeps less than KEEP_SHARE of its words is depleted
-and rejected. Copies of one text are one document to that count: repetition of a whole text is the
+however long it is; a document that keeps less than KEEP_SHARE of its words is depleted and rejected. Copies of one text are one document to that count: repetition of a whole text is the
 matter of deduplication, and a clean text is not rejected for it.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its
@@ -19,8 +18,9 @@ from plenum.storage import cut
 
 LINE_DOCS = 20
 LINE_SHARE = 0.02
-LINE_WORDS = 40
 KEEP_SHARE = 0.5
+#: Words of the longest line that the SQL counts; the operator counts lines of any length.
+LINE_WORDS = 40
 
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -75,18 +75,18 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return df.select("doc_id", "host", F.xxhash64("text").alias("hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", lines.alias("lines"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int | None = None, share: float = LINE_SHARE, max_words: int = LINE_WORDS) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_docs: int | None = None, share: float = LINE_SHARE) -> DataFrame:
     """host and line of each line above the limits."""
     texts = lines.groupBy("host", "hash").agg(F.first("lines").alias("lines"))
-    each = texts.select("host", F.explode(F.array_distinct("lines")).alias("l")).filter(F.col("l.words") <= max_words)
+    each = texts.select("host", F.explode(F.array_distinct("lines")).alias("l"))
     counts = each.groupBy("host", F.col("l.line").alias("line")).agg(F.count("*").alias("docs")).filter(F.col("docs") > (LINE_DOCS if min_docs is None else min_docs))
     hosts = texts.groupBy(F.col("host").alias("fhost")).agg(F.count("*").alias("of"))
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("fhost"))).filter(F.col("docs") > share * F.col("of")).select("host", "line")
 
 
-def judge(lines: DataFrame, frequent: DataFrame, max_words: int = LINE_WORDS, keep_share: float = KEEP_SHARE, key: str = "doc_id") -> DataFrame:
+def judge(lines: DataFrame, frequent: DataFrame, keep_share: float = KEEP_SHARE, key: str = "doc_id") -> DataFrame:
     """lines' documents with n_removed_words, base_failed and kept."""
-    each = lines.withColumn("_row", F.monotonically_increasing_id()).select("_row", "host", F.explode("lines").alias("l")).filter(F.col("l.words") <= max_words)
+    each = lines.withColumn("_row", F.monotonically_increasing_id()).select("_row", "host", F.explode("lines").alias("l"))
     f = frequent.select(F.col("host").alias("fhost"), F.col("line").alias("fline"))
     hit = each.join(f, (F.col("l.line") == F.col("fline")) & F.col("host").eqNullSafe(F.col("fhost")))
     removed = hit.groupBy("_row").agg(F.sum("l.words").alias("n_removed_words"))
@@ -114,13 +114,13 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     verdict = judge(lines, frequent)
     # The lines to remove, for the documents that have some.
     f = frequent.select(F.col("host").alias("fhost"), F.col("line").alias("fline"))
-    each = lines.select("doc_id", "host", "hash", F.explode("lines").alias("l")).filter(F.col("l.words") <= LINE_WORDS)
+    each = lines.select("doc_id", "host", "hash", F.explode("lines").alias("l"))
     hit = each.join(f, (F.col("l.line") == F.col("fline")) & F.col("host").eqNullSafe(F.col("fhost")))
     keys = [F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("hash").alias("_hash")]
     gone = hit.groupBy(*keys).agg(F.collect_set("l.line").alias("_gone"))
     kept = verdict.filter("kept").select(*keys).distinct().join(gone.select(*[F.col(c).alias(c + "2") for c in ("_id", "_host", "_hash")], "_gone"), F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_host").eqNullSafe(F.col("_host2")) & (F.col("_hash") == F.col("_hash2")), "left")
     kept = kept.select("_id", "_host", "_hash", "_gone")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(host_col).cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    stay = F.filter(F.split(F.col(text_col), "\n"), lambda x: (F.size(words_of(x)) > LINE_WORDS) | ~F.array_contains("_gone", F.xxhash64(normalised(x))) | (F.length(_without(x, SPACES)) == 0))
+    stay = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised(x))) | (F.length(_without(x, SPACES)) == 0))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     return docs.join(kept, same).withColumn(text_col, text).drop("_id", "_host", "_hash", "_gone")

@@ -120,6 +120,19 @@ def test_clean_takes_the_lines_out(common_lines):
     assert out[0] == rows[0].rsplit("\n", 1)[0] and out[300] == rows[300] and out[200] == rows[200]
 
 
+def test_long_lines_count_as_short_ones_do(spark):
+    """A passage of 60 words on one line of 30 documents goes; documents of little else are depleted."""
+    rng = random.Random(8)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = own(60)
+    rows = [(k, own(80) + "\n" + shared, "h") for k in range(25)] + [(100 + k, own(20) + "\n" + shared, "h") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in quality.quality_rules(df).collect()}
+    assert got == {k: (60, k < 100) for k, _, _ in rows}
+    out = {r["doc_id"]: r["text"] for r in quality.clean(df).collect()}
+    assert out == {k: t.split("\n")[0] for k, t, _ in rows if k < 100}
+
+
 def contaminated(text, items, size=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     w = word.findall((text or "").translate(LOWER))
