@@ -1,9 +1,10 @@
 """Quality rules with cross-document line frequency, in DataFrame functions alone.
 
 Normalised lines (lower case, digits as 0, single spaces) are hashed. A line whose number of distinct
-documents on a host exceeds both LINE_DOCS and the share LINE_SHARE of the host's documents is removed,
-however long it is; a document that keeps less than KEEP_SHARE of its words is depleted and rejected. Copies of one text are one document to that count: repetition of a whole text is the
-matter of deduplication, and a clean text is not rejected for it.
+documents on a host exceeds LINE_DOCS is removed, however long it is and however many documents the host
+has; a document that keeps less than KEEP_SHARE of its words is depleted and rejected. Copies of one text
+are one document to that count: repetition of a whole text is the matter of deduplication, and a clean
+text is not rejected for it.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its
 own; rows are judged as often as they occur; extra columns play no part.
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 from plenum.storage import cut
 
 LINE_DOCS = 20
-LINE_SHARE = 0.02
 KEEP_SHARE = 0.5
-#: Words of the longest line that the SQL counts; the operator counts lines of any length.
+#: Limits of the SQL alone, by words of a line and share of a host's documents; the operator has neither.
 LINE_WORDS = 40
+LINE_SHARE = 0.02
 
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -75,13 +76,12 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return df.select("doc_id", "host", F.xxhash64("text").alias("hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", lines.alias("lines"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int | None = None, share: float = LINE_SHARE) -> DataFrame:
-    """host and line of each line above the limits."""
+def frequent_lines(lines: DataFrame, min_docs: int | None = None) -> DataFrame:
+    """host and line of each line above the limit."""
     texts = lines.groupBy("host", "hash").agg(F.first("lines").alias("lines"))
     each = texts.select("host", F.explode(F.array_distinct("lines")).alias("l"))
-    counts = each.groupBy("host", F.col("l.line").alias("line")).agg(F.count("*").alias("docs")).filter(F.col("docs") > (LINE_DOCS if min_docs is None else min_docs))
-    hosts = texts.groupBy(F.col("host").alias("fhost")).agg(F.count("*").alias("of"))
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("fhost"))).filter(F.col("docs") > share * F.col("of")).select("host", "line")
+    counts = each.groupBy("host", F.col("l.line").alias("line")).agg(F.count("*").alias("docs"))
+    return counts.filter(F.col("docs") > (LINE_DOCS if min_docs is None else min_docs)).select("host", "line")
 
 
 def judge(lines: DataFrame, frequent: DataFrame, keep_share: float = KEEP_SHARE, key: str = "doc_id") -> DataFrame:

@@ -133,6 +133,15 @@ def test_long_lines_count_as_short_ones_do(spark):
     assert out == {k: t.split("\n")[0] for k, t, _ in rows if k < 100}
 
 
+def test_a_large_host_hides_no_line(spark):
+    """A line of 25 among 1,500 documents of a host goes as it does among 25."""
+    rng = random.Random(9)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    rows = [(k, own() + ("\nOne line of a few" if k < 25 else ""), "large") for k in range(1500)] + [(2000 + k, own() + "\nOne line of a few", "small") for k in range(25)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["n_removed_words"] == 5} == {*range(25), *range(2000, 2025)}
+
+
 def contaminated(text, items, size=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     w = word.findall((text or "").translate(LOWER))
