@@ -4,7 +4,7 @@ Every document is encoded, ended, and cut only where it is longer than a sequenc
 sequences of their own. The rest is dealt at random into groups of a bounded size, each packed by
 best fit from the longest piece down; then, while a bin may go, pieces of the emptiest bin move to
 others or are exchanged one for one, one for two or two for one, each step raising the sum of squared
-fills. Bins that stay open are packed again with those of other groups, until one group is left.
+fills. The search ends at the lower bound or where no pair of bins has a step. Bins that stay open are packed again with those of other groups, until one group is left.
 
 Defined cases: a null text is empty, its piece is the end id; an empty table gives no row; equal rows
 are packed each for itself.
@@ -13,8 +13,9 @@ are packed each for itself.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,6 @@ from plenum.storage import cut
 GROUP, FAN_IN = 8192, 64
 #: A bin with less room than this share of its size is closed.
 CLOSED = 0.005
-#: Emptiest bins that local search tries to empty, and the bins it looks at for each.
-TRIES, PARTNERS = 32, 64
-#: Pairs of bins that are looked at in one group at most, and pieces of a bin that exchange in pairs: the bound of a group's time.
-PROBES, PAIRED = 2000, 16
 
 #: A missing id is 0 with no_id, as pandas has no longs with gaps.
 PIECE = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
@@ -84,61 +81,76 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
     """Fewer bins, if pieces of the emptiest can move out; every step raises the sum of squared fills.
 
     A move of n to a bin at least as full as what its own keeps, or an exchange that makes the fuller of
-    two bins fuller, raises it; so the search ends.
+    two bins fuller, raises it; so the search ends. It ends at the lower bound or where no pair of bins
+    has a step: a bin meets all others, and later only those that have changed.
     """
     n_of = lengths.tolist()
     fill = [sum(n_of[i] for i in b) for b in bins]
     need = -(-sum(fill) // size)
-    alive, stuck = {k for k, b in enumerate(bins) if b}, set()
-    steps = probes = 0
-    while len(alive) > need and len(stuck) < TRIES and probes < PROBES:
-        source = min((k for k in alive if k not in stuck), key=lambda k: (fill[k], k), default=None)
-        if source is None:
-            break
-        others = sorted((k for k in alive if k != source and fill[k] < size), key=lambda k: (-fill[k], k))[:PARTNERS]
-        moved, before = True, steps
-        while moved and bins[source] and probes < PROBES:
+    alive = {k for k, b in enumerate(bins) if b}
+    sizes = [sorted((n_of[i], i) for i in b) for b in bins]
+    log: list[int] = []  # bins in the order of their changes
+    met, changed = [-1] * len(bins), [0] * len(bins)  # length of the log when a bin had met the others, and when it changed
+    queue = sorted((fill[k], k) for k in alive)
+    while len(alive) > need and queue:
+        _, source = heappop(queue)
+        if met[source] < changed[source]:
+            others = [k for k in alive if k != source and fill[k] < size]
+        else:
+            others = [k for k in set(log[met[source] :]) if k in alive and k != source and fill[k] < size]
+        others.sort(key=lambda k: (-fill[k], k))
+        moved, before = True, len(log)
+        while moved and sizes[source]:
             moved = False
             for k in others:
-                probes += 1
-                gap, low = size - fill[k], fill[source]
-                if gap and fill[k] >= low and (step := _step(bins[source], bins[k], n_of, gap)):
+                gap = size - fill[k]
+                if gap and fill[k] >= fill[source] > 0 and (step := _step(sizes[source], sizes[k], gap)):
                     out, back = step
-                    bins[source] = [i for i in bins[source] if i not in out] + back
-                    bins[k] = [i for i in bins[k] if i not in back] + out
-                    shift = sum(n_of[i] for i in out) - sum(n_of[i] for i in back)
+                    sizes[source] = sorted([x for x in sizes[source] if x not in out] + back)
+                    sizes[k] = sorted([x for x in sizes[k] if x not in back] + out)
+                    shift = sum(n for n, _ in out) - sum(n for n, _ in back)
                     fill[source] -= shift
                     fill[k] += shift
-                    moved, steps = True, steps + 1
-        if steps > before:
-            stuck.clear()  # what changed may help the others
-        if bins[source]:
-            stuck.add(source)
-        else:
+                    log += [source, k]
+                    changed[source] = changed[k] = len(log)
+                    moved = True
+        if not sizes[source]:
             alive.discard(source)
-    return [bins[k] for k in sorted(alive)]
-
-
-def _step(own: list[int], other: list[int], n_of: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """What goes out of own and what comes back so that other gains the most, at most gap; null if nothing does."""
-    best, step = 0, None
-    theirs = []
-    for j in other:
-        insort(theirs, (n_of[j], j))
-    sizes = [n for n, _ in theirs]
-    pairs = [(n_of[a] + n_of[b], [a, b]) for x, a in enumerate(own[:PAIRED]) for b in own[x + 1 : PAIRED]]
-    for n, out in [(n_of[i], [i]) for i in own] + pairs:
-        if best < n <= gap:
-            best, step = n, (out, [])
-        at = bisect_right(sizes, n - 1)  # the least that must come back is n - gap
-        low = bisect_right(sizes, n - gap - 1) if n > gap else 0
-        if low < at and n - sizes[low] > best and n - sizes[low] <= gap:
-            best, step = n - sizes[low], (out, [theirs[low][1]])
-        if len(out) == 1:
-            for x in range(min(len(sizes), PAIRED)):
-                y = max(x + 1, bisect_right(sizes, n - gap - sizes[x] - 1))
-                if y < len(sizes) and best < n - sizes[x] - sizes[y] <= gap:
-                    best, step = n - sizes[x] - sizes[y], (out, [theirs[x][1], theirs[y][1]])
+        if len(log) > before:  # what changed may help the others, and the source again
+            queue = sorted((fill[k], k) for k in alive)
+        else:
+            met[source] = len(log)
+    return [[i for _, i in sizes[k]] for k in sorted(alive)]
+
+
+def _step(own: list[tuple[int, int]], other: list[tuple[int, int]], gap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
+    """What goes out of own and what comes back so that other gains at most gap: the best of moves and exchanges one for one, else of those with two on a side; null if there are none. Pieces are (length, index), by length."""
+    at = bisect_right(own, (gap, len(own) + (1 << 62)))
+    if at:  # the longest that fits
+        best, step = own[at - 1][0], ([own[at - 1]], [])
+    else:
+        best, step = 0, None
+    theirs = [n for n, _ in other]
+    for x in own[at:]:
+        k = bisect_left(theirs, x[0] - gap)  # the least that must come back
+        if k < len(theirs) and best < x[0] - theirs[k]:
+            best, step = x[0] - theirs[k], ([x], [other[k]])
+        if best == gap:
+            return step
+    if step:
+        return step
+    for a, x in enumerate(own):
+        for y in own[a + 1 :]:
+            n = x[0] + y[0]
+            k = bisect_left(theirs, n - gap)
+            if k < len(theirs) and best < n - theirs[k]:
+                best, step = n - theirs[k], ([x, y], [other[k]])
+        for b, n in enumerate(theirs):
+            k = bisect_left(theirs, x[0] - gap - n, b + 1)
+            if k < len(theirs) and best < x[0] - n - theirs[k]:
+                best, step = x[0] - n - theirs[k], ([x], [other[b], other[k]])
+        if best == gap:
+            return step
     return step
 
 

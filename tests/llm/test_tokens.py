@@ -145,3 +145,15 @@ def test_local_search_exchanges():
     """Sizes at which no piece can move, but exchanges empty a bin."""
     lengths = np.array([6, 3, 5, 4, 2])  # bins of 10: {6,3} {5,4} {2}
     assert len(packing.local_search([[0, 1], [2, 3], [4]], lengths, 10)) == 2
+
+
+def test_local_search_goes_on_until_no_pair_of_bins_has_a_step():
+    """Pieces of about a third of a bin, for which 2,000 pairs are not enough."""
+    lengths = np.random.default_rng(1).integers(1100, 1700, 600)
+    first = packing.best_fit(lengths, 4096)
+    after = packing.local_search([b[:] for b in first], lengths, 4096)
+    assert sorted(i for b in after for i in b) == list(range(600)) and max(lengths[b].sum() for b in after) <= 4096
+    assert len(after) <= len(first) - 5
+    fill = [int(lengths[b].sum()) for b in after]
+    own = [sorted((int(lengths[i]), i) for i in b) for b in after]
+    assert not any(packing._step(own[a], own[b], 4096 - fill[b]) for a in range(len(own)) for b in range(len(own)) if a != b and fill[a] <= fill[b] < 4096)
