@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host are compared in groups of at most PAGES, dealt at random where a host has more. A token
-is a tag under its parents, or a word outside the article. Tokens that share their occurrence vector (how
+is a tag under its parents, or a run of text or a word in its element. Tokens that share their occurrence vector (how
 often each distinct page of the group has them) form a class. A class is valid if enough pages have it and
 its tokens keep one order. The class of tokens that every page has once is the template's root; its gaps
 are slots, and classes whose tokens all lie within one slot are nested there. What a valid class has is
@@ -130,10 +130,12 @@ class Page:
             self.nodes.append((html[at:], path, article, aside))
 
     def words(self) -> Iterator[str]:
-        """Words outside the article, each with the element it lies in."""
-        for text, path, article, _ in self.nodes:
-            if text and not article:
-                yield from (f"{path} {w}" for w in text.split())
+        """Runs of text as a whole and their words, each with the element it lies in."""
+        for text, path, _, _ in self.nodes:
+            words = text.split() if text else []
+            if len(words) > 1:
+                yield f"{path} {' '.join(words)}"
+            yield from (f"{path} {w}" for w in words)
 
 
 class Template:
@@ -152,18 +154,24 @@ class Template:
             if sum(n > 0 for n in v) >= max(LEAST_PAGES, SUPPORT * len(pages)):
                 classes[tuple(v)].append(token)
         ones = (1,) * len(pages)
-        places = [{t: k for k, t in enumerate(s) if t in set(classes.get(ones, ()))} for s in streams]
+        once = set(classes.get(ones, ()))
+        places = [{t: k for k, t in enumerate(s) if t in once} for s in streams]
         self.root = self._ordered(classes.pop(ones, []), places)
         #: slot of the root to the classes nested in it
         self.nested: dict[int, list[frozenset[str]]] = defaultdict(list)
         borders = [sorted(p[t] for t in self.root) for p in places]
         for v, tokens in classes.items():
-            slot = self._slot(frozenset(tokens), streams, borders)
-            if len(tokens) > 1 and slot is not None:
+            slot = self._slot(frozenset(tokens), streams, borders) if len(tokens) > 1 else None
+            if slot is not None:
                 self.nested[slot].append(frozenset(tokens))
         #: words that the template has
         self.words = {t for t in self.root if " " in t} | {t for own in self.nested.values() for c in own for t in c if " " in t}
 
+    def has(self, text: str, path: str) -> bool:
+        """Whether a run of text is template, as a whole or by its words."""
+        words = text.split()
+        return f"{path} {' '.join(words)}" in self.words or all(f"{path} {w}" in self.words for w in words)
+
     @staticmethod
     def _ordered(tokens: list[str], places: list[dict[str, int]]) -> list[str]:
         """The tokens of a class that come in one order on all pages."""
@@ -204,7 +212,7 @@ def _main_path(pages: list[Page], template: Template | None) -> str | None:
 
 
 def _text(page: Page, template: Template | None, main: str | None) -> str:
-    """The text of the main slots; outside an article, blocks that are template from end to end are left out."""
+    """The text of the main slots; blocks that are template from end to end are left out."""
     articles = any(text and article and not aside and not text.isspace() for text, _, article, aside in page.nodes)
     out: list[str] = []
     block: list[str] = []
@@ -222,7 +230,7 @@ def _text(page: Page, template: Template | None, main: str | None) -> str:
             close()
         elif not (aside or (not article if articles else main is not None and not (path == main or path.startswith((main + "<", main + "/"))))):
             block.append(unescape(text) if "&" in text else text)
-            own = own or articles or template is None or any(f"{path} {w}" not in template.words for w in text.split())
+            own = own or template is None or not template.has(text, path)
     close()
     return " ".join(" ".join(out).split())
 

@@ -92,6 +92,15 @@ def test_template_nests_classes():
     assert sum(map(len, t.nested.values())) > 0
 
 
+@pytest.mark.parametrize("element", ["p", 'div class="x7"'])
+def test_template_within_the_article_goes(element):
+    """A notice without a telling name on every page of a host; its words also occur in the pages' own text."""
+    end = element.split()[0]
+    pages = [f"<body><article><p>Story {n} of the day and the word{n}.</p><{element}>Share the story of the day</{end}><p>End of the story {n}.</p></article></body>" for n in range(12)]
+    assert html_extract.extract_group(pages) == [f"Story {n} of the day and the word{n}. End of the story {n}." for n in range(12)]
+    assert "Share the story" in html_extract.extract_group(pages[:2])[0]  # too few pages for a template
+
+
 def test_copies_do_not_make_a_text_template():
     html, text = page(3, False)
     assert html_extract.extract_group([html] * 9 + [page(5, False)[0]]) == [text] * 9 + [page(5, False)[1]]
