@@ -88,8 +88,53 @@ def test_pages_of_one_host(article, count):
 
 def test_template_nests_classes():
     t = html_extract.Template([html_extract.Page(page(n)[0]) for n in range(1, 13)])
-    assert any("<nav>" in x for x in t.root) and any("Home" in x for x in t.words)
-    assert sum(map(len, t.nested.values())) > 0
+    assert any("<nav>" in x for x in t.root) and any("Home" in w for own in t.texts.values() for w in own)
+    lists = [(order, around, gap) for order, around, gap in t.nested if any(x.endswith("<li>li") for x in order)]
+    assert lists and all(gap >= 0 for _, _, gap in lists)
+
+
+def test_classes_nest_in_each_other():
+    pages = ["<body><div>" + "".join(f"<ul><li>x{k}<b>y</b></li></ul><ul><li>z<b>w</b></li></ul>" for k in range(1 + n % 3)) + "</div></body>" for n in range(6)]
+    pages = [p.replace("</div>", f"<i>{n}</i></div>") for n, p in enumerate(pages)]
+    t = html_extract.Template([html_extract.Page(p) for p in pages])
+    assert any(around >= 0 or gap > 0 for _, around, gap in t.nested)
+
+
+def brute_classes(htmls):
+    """Occurrence vectors of every token, one token and one page after another."""
+    streams = []
+    for h in htmls:
+        own = []
+        for item in html_extract.Page(h).items:
+            if isinstance(item, str):
+                own.append(item)
+            else:
+                words = "".join(t for t, _, _ in item[2]).split()
+                own += [(item[0], w) for w in words] + [(item[0], " " + " ".join(words))]
+        streams.append(own)
+    tokens = {t for s in streams for t in s}
+    by = defaultdict(set)
+    for t in tokens:
+        v = tuple(s.count(t) for s in streams)
+        share = html_extract.TAG_SUPPORT if isinstance(t, str) else html_extract.TEXT_SUPPORT
+        if sum(x > 0 for x in v) >= max(html_extract.LEAST_PAGES, share * len(htmls)):
+            by[v].add(t)
+    return by
+
+
+@pytest.mark.parametrize("count", [3, 7, 20])
+def test_classes_are_those_of_single_tokens(count):
+    htmls = [page(n, n % 5 > 0)[0] for n in range(count)]
+    assert html_extract.Template([html_extract.Page(h) for h in htmls]).classes == brute_classes(htmls)
+
+
+def test_the_root_keeps_one_order():
+    pages = [html_extract.Page(f"<body><p>{'<i>x</i><b>' if n % 2 else '<b><i>x</i>'}{n}</b></p><hr></body>") for n in range(4)]
+    t = html_extract.Template(pages)
+    for p in pages:
+        at = {x: k for k, x in enumerate(p.items) if isinstance(x, str)}
+        own = [at[x] for x in t.root if isinstance(x, str)]
+        assert own == sorted(own)
 
 
 @pytest.mark.parametrize("element", ["p", 'div class="x7"'])
@@ -101,6 +146,47 @@ def test_template_within_the_article_goes(element):
     assert "Share the story" in html_extract.extract_group(pages[:2])[0]  # too few pages for a template
 
 
+def story(n: int, k: int) -> str:
+    rng = random.Random(n * 100 + k)
+    return " ".join(rng.choice(("river", "stone", "cloud", "maple", "harbour", "signal", "winter", "copper", "meadow", "lantern")) + rng.choice(("", "s", "ed", str(n))) for _ in range(30))
+
+
+def plain_page(n: int) -> tuple[str, str]:
+    """Neutral names alone: what is beside the article is told by its place, its links and its repetition."""
+    html = f"""<body><div class="c1"><div class="c2">Site of the town</div><ul class="c3"><li><a href="/">Start {n}</a></li><li><a href="/x">More</a></li></ul></div>
+<div class="c4"><div class="c5"><h1>Head {n}</h1><p>{story(n, 0)}</p><div class="c6">Get our app today: it is free</div><h2>Part {n}</h2><ul><li>first {n}</li><li>second {n}</li></ul><p>{story(n, 1)}</p>
+<div class="c7"><a href="/1">Next story {n}</a> <a href="/2">Other story {n}</a></div><div class="c8">Visitor {n} has read our free app today: it is good</div></div><div class="c9">Weather {n} degrees</div></div><div class="d1">All rights {n}</div></body>"""
+    return html, f"Head {n} {story(n, 0)} Part {n} first {n} second {n} {story(n, 1)}"
+
+
+def test_the_template_decides(monkeypatch):
+    """Without telling names, and without an article element; switched off, other texts come out."""
+    pages = [plain_page(n) for n in range(12)]
+    got = html_extract.extract_group([p[0] for p in pages])
+    assert got == [p[1] for p in pages]
+    monkeypatch.setattr(html_extract, "LEAST_PAGES", 100)
+    off = html_extract.extract_group([p[0] for p in pages])
+    assert all(a != b for a, b in zip(got, off, strict=True)) and all(p[1].split()[5] in o for p, o in zip(pages, off, strict=True))
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 12])
+@pytest.mark.parametrize("body", ['<article><div class="side-effects">{}</div></article>', '<article><section id="share-prices">{}</section></article>', '<div class="header-story">{}</div>', '<form id="aspnet"><div>{}</div></form>', '<div class="banner"><div class="text">{}</div></div>'])
+def test_names_do_not_empty_a_page(body, count):
+    pages = [f"<body><nav><a>Home {n}</a></nav>" + body.format(f"<h1>Head {n}</h1><p>{story(n, 0)}</p><ul><li>one {n}</li></ul>") + f"<footer>Foot {n}</footer></body>" for n in range(count)]
+    assert html_extract.extract_group(pages) == [f"Head {n} {story(n, 0)} one {n}" for n in range(count)]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "cookie_notice", "newsletter-signup", "comment-list", "social-share", "footer-links"])
+def test_telling_names_within_an_article(name):
+    pages = [f'<body><article><p>{story(n, 0)}</p><div class="{name}">Beside {n}</div></article></body>' for n in range(5)]
+    assert html_extract.extract_group(pages) == [story(n, 0) for n in range(5)]
+
+
+def test_a_text_that_most_pages_of_a_host_have_is_kept_where_nothing_else_is():
+    pages = [f"<body><nav>{n}</nav><article><p>{story(7, 0)}</p></article></body>" for n in range(9)]
+    assert html_extract.extract_group(pages) == [story(7, 0)] * 9
+
+
 def test_copies_do_not_make_a_text_template():
     html, text = page(3, False)
     assert html_extract.extract_group([html] * 9 + [page(5, False)[0]]) == [text] * 9 + [page(5, False)[1]]
@@ -109,10 +195,11 @@ def test_copies_do_not_make_a_text_template():
 def test_pages_table(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "PAGES", 4)  # the host is dealt into parts
     rows = [(n, f"http://h.org/{n}", page(n)[0], "mine") for n in range(1, 20)] + [(50, "http://o.org/", None, "a"), (51, None, "", "b"), (52, "no url", "plain words", "c"), (None, "http://h.org/1", page(1)[0], "d"), (53, "http://q.org", "<article><p>open", "e"), (1, "http://h.org/1", page(1)[0], "f")]
+    rows += [(70, "http://h.org/70", page(70)[0], "g")] * 2500  # one row many times
     rows += [(60, "http://long.org", "<article>" + "<p>word</p>" * 30_000 + "</article>", "g")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_extract.extract(df).collect()
-    want = [(n, f"http://h.org/{n}", page(n)[1]) for n in [*range(1, 20), 1]] + [(50, "http://o.org/", ""), (51, None, ""), (52, "no url", "plain words"), (None, "http://h.org/1", page(1)[1]), (53, "http://q.org", "open"), (60, "http://long.org", " ".join(["word"] * 30_000))]
+    want = [(n, f"http://h.org/{n}", page(n)[1]) for n in [*range(1, 20), 1, *[70] * 2500]] + [(50, "http://o.org/", ""), (51, None, ""), (52, "no url", "plain words"), (None, "http://h.org/1", page(1)[1]), (53, "http://q.org", "open"), (60, "http://long.org", " ".join(["word"] * 30_000))]
     assert Counter(tuple(r) for r in got) == Counter((*w, len(w[2])) for w in want)
     assert html_extract.extract(df.limit(0)).count() == 0
 
