@@ -1,18 +1,23 @@
 """SimHash fingerprints, linked through pivot distance tables.
 
-Each distinct fingerprint gets a table row: its Hamming distances to PIVOTS reference fingerprints.
-By the triangle inequality two fingerprints that differ in at most RADIUS bits differ by at most RADIUS
-in every coordinate, so a pair is discarded by its largest coordinate difference, and what survives is
-verified on the bits.
+Each distinct fingerprint gets a table row: its Hamming distances to many reference fingerprints. The
+references are zero, one for each PAIR of neighbouring bits, and PIVOTS random ones. By the triangle
+inequality two fingerprints that differ in at most RADIUS bits differ by at most RADIUS in every coordinate.
 
-Which pairs meet at all is settled exactly: of any B blocks of the 64 bits, a linked pair agrees on
-at least B - RADIUS, so fingerprints meet under the bits of each choice of that many blocks (distances
-to references within a block are equal if and only if the block's bits are). A meeting place yields a
-spanning forest of its links, not its pairs. One that holds more than PLACE fingerprints is dealt into
-parts and compared part by part, so no task takes it whole.
+The table alone makes the pairs. A random reference parts little (half of all distances to it lie within
+RADIUS of each other), so the references of bit pairs do it: the distance to one, less the distance to zero,
+moves only if one of its two bits differs. A difference of RADIUS bits moves at most RADIUS of these
+coordinates, so of any B groups of them a linked pair agrees on at least B - RADIUS, and fingerprints meet
+under the coordinates of each choice of that many groups: no link is lost. A pair that meets is discarded
+by its largest coordinate difference over the random references, and what survives is verified on the bits.
+
+A meeting place yields a spanning forest of its links, not its pairs. One that holds more than PLACE
+fingerprints is dealt into parts and compared part by part, so no task takes it whole.
 
 Defined cases: null and empty texts have fingerprint zero, linked as any other; copies share one table
-row; rows that repeat a doc_id repeat in the result; an empty table gives no row.
+row; rows that repeat a doc_id repeat in the result; rows without an id are linked, but name no component
+unless it has no id at all; a text of any length is hashed whole; extra columns play no part; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from plenum.operators.components import connected_components
 from plenum.storage import cut, partitions
 
 RADIUS = 3
-PIVOTS = 16
+#: Random references, and references of two neighbouring bits.
+PIVOTS, COORDINATES, PAIR = 16, 32, 3
 #: Fingerprints of a meeting place that are compared in one task; two parts of half as many make a pair.
 PLACE = 2048
 
@@ -62,43 +68,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def references(count: int = PIVOTS) -> list[int]:
-    """The reference fingerprints, as signed longs: hashes of their numbers."""
+    """The random reference fingerprints, as signed longs: hashes of their numbers."""
     return [int(np.uint64(xxhash.xxh64_intdigest(b"pivot %d" % k)).astype(np.int64)) for k in range(count)]
 
 
+def distance(reference: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(reference))).cast("long")
+
+
 def pivot_table(fps: DataFrame, count: int = PIVOTS) -> DataFrame:
-    """fps with their distances to the references, eight to a long (t0, t1, ...)."""
-    cells = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("long") for r in references(count)]
+    """fps with their distances to the random references, eight to a long (t0, t1, ...), and in near the moves of
+    the distances to the 32 references of bit pairs against that to zero, two bits each."""
     columns = []
     for at in range(0, count, 8):
         packed: Column = F.lit(0).cast("long")
-        for k, cell in enumerate(cells[at : at + 8]):
-            packed = packed.bitwiseOR(F.shiftleft(cell, 8 * k))
+        for k, r in enumerate(references(count)[at : at + 8]):
+            packed = packed.bitwiseOR(F.shiftleft(distance(r), 8 * k))
         columns.append(packed.alias(f"t{at // 8}"))
-    return fps.select("*", *columns)
+    near: Column = F.lit(0).cast("long")
+    for k in range(COORDINATES):
+        pair = PAIR << 2 * k
+        moved = F.shiftright(distance(0) + 2 - distance(pair - (1 << 64) if pair >> 63 else pair), 1)  # 0, 1 or 2
+        near = near.bitwiseOR(F.shiftleft(moved, 2 * k))
+    return fps.select("*", *columns, near.alias("near"))
 
 
-def _blocks(rows: int) -> int:
-    """Blocks of the 64 bits so that random fingerprints seldom meet: any number is exact."""
-    return 5 if rows <= 2_000_000 else 6 if rows <= 100_000_000 else 7 if rows <= 5_000_000_000 else 8
+def _groups(rows: int) -> int:
+    """Groups of coordinates so that random fingerprints seldom meet: any number is exact."""
+    return next((b for b, most in ((5, 10**6), (6, 2 * 10**7), (7, 2 * 10**8), (8, 10**9)) if rows <= most), 10)
 
 
-def meeting_places(table: DataFrame, blocks: int) -> DataFrame:
-    """A row of table for each choice of blocks: choice and bits."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
+def meeting_places(table: DataFrame, groups: int) -> DataFrame:
+    """A row of table for each choice of groups: choice, and the coordinates of the groups in bits."""
+    edges = [2 * (COORDINATES * k // groups) for k in range(groups + 1)]
     masks = []
-    for chosen in combinations(range(blocks), blocks - RADIUS):
+    for chosen in combinations(range(groups), groups - RADIUS):
         mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    places = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
-    return table.select("*", F.explode(places).alias("p")).select(*table.columns, "p.choice", "p.bits")
+    places = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("near").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
+    kept = [c for c in table.columns if c != "near"]
+    return table.select(*kept, F.explode(places).alias("p")).select(*kept, "p.choice", "p.bits")
 
 
-def _forest(fp: np.ndarray, table: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what is connected in one meeting place. side: -1 if all pairs count, else 0 and 1 and pairs of the two."""
+def _forest(fp: np.ndarray, table: np.ndarray, side: np.ndarray, tally: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what is connected in one meeting place. side: -1 if all pairs count, else 0 and 1 and pairs of the two.
+    tally is raised by the pairs that meet, those that the table leaves, and those that the bits verify."""
     order = np.argsort(table[:, 0], kind="stable")
     fp, table, side = fp[order], table[order].astype(np.int16), side[order]
     root, bits = np.arange(len(fp)), fp.astype(np.uint64)
+    ones = int(side.sum()) if side[0] >= 0 else 0
+    tally[0] += ones * (len(fp) - ones) if side[0] >= 0 else len(fp) * (len(fp) - 1) // 2
     for lo in range(0, len(fp), 256):
         hi = min(len(fp), lo + 256)
         end = int(np.searchsorted(table[:, 0], table[hi - 1, 0] + RADIUS, "right"))
@@ -112,6 +131,7 @@ def _forest(fp: np.ndarray, table: np.ndarray, side: np.ndarray) -> list[tuple[i
             keep = np.abs(table[i, c] - table[j, c]) <= RADIUS
             i, j = i[keep], j[keep]
         keep = np.bitwise_count(bits[i] ^ bits[j]) <= RADIUS
+        tally[1:] += len(i), int(keep.sum())
         a, b = root[i[keep]], root[j[keep]]
         links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1) if len(a) else np.zeros((2, 0), int)
         for x, y in links.T.tolist():
@@ -126,8 +146,8 @@ def _forest(fp: np.ndarray, table: np.ndarray, side: np.ndarray) -> list[tuple[i
     return list(zip(fp[out].tolist(), fp[root[out]].tolist(), strict=True))
 
 
-def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Meeting places lie one behind another; each is compared when its last row is there."""
+def _linker(batches: Iterator[pd.DataFrame], report: bool = False) -> Iterator[pd.DataFrame]:
+    """Meeting places lie one behind another; each is compared when its last row is there. report: their tallies instead of links."""
     names = ["choice", "bits", "a", "b"]
     rest: pd.DataFrame | None = None
 
@@ -138,8 +158,11 @@ def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fp, side = frame["fp"].to_numpy(np.int64), frame["side"].to_numpy()
         table = np.stack([frame[c].to_numpy(np.int64) for c in sorted(c for c in frame if c[0] == "t")], axis=1).view(np.uint8)
         out: list[tuple[int, int]] = []
+        tally = np.zeros(3, np.int64)
         for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            out += _forest(fp[lo:hi], table[lo:hi], side[lo:hi])
+            out += _forest(fp[lo:hi], table[lo:hi], side[lo:hi], tally)
+        if report:
+            return pd.DataFrame([tally], columns=["met", "left", "linked"])
         return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     for batch in batches:
@@ -155,10 +178,10 @@ def _linker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield places(rest)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """src and dst: links that connect every two distinct fingerprints (fp) which chains of links of at most RADIUS bits connect."""
+def _meetings(fps: DataFrame) -> DataFrame:
+    """Rows of the pivot table in their meeting places, which lie one behind another in a partition."""
     table = pivot_table(fps.select("fp"))
-    places = cut(meeting_places(table, _blocks(fps.count())))
+    places = cut(meeting_places(table, _groups(fps.count())))
     hot = cut(places.groupBy("choice", "bits").count().filter(F.col("count") > PLACE))
     own = [F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(-1).alias("side")]
     if hot.isEmpty():
@@ -171,7 +194,18 @@ def links(fps: DataFrame) -> DataFrame:
         split = dealt.filter("parts is not null").select(*places.columns, F.explode(pair).alias("p")).select(*places.columns, "p.a", "p.b", "p.side")
         rows = dealt.filter("parts is null").select(*places.columns, *own).unionByName(split)
     n = partitions(fps.sparkSession)
-    return rows.repartition(n, "choice", "bits", "a", "b").sortWithinPartitions("choice", "bits", "a", "b").mapInPandas(_linker, "src long, dst long")
+    return rows.repartition(n, "choice", "bits", "a", "b").sortWithinPartitions("choice", "bits", "a", "b")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """src and dst: links that connect every two distinct fingerprints (fp) which chains of links of at most RADIUS bits connect."""
+    return _meetings(fps).mapInPandas(_linker, "src long, dst long")
+
+
+def pair_report(fps: DataFrame) -> DataFrame:
+    """One row of sums over meeting places, where a pair may meet more than once: pairs that met, that the table left, and that the bits verified."""
+    tallies = _meetings(fps).mapInPandas(lambda batches: _linker(batches, True), "met long, left long, linked long")
+    return tallies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "left", "linked")])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:

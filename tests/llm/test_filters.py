@@ -235,3 +235,34 @@ def test_pivot_distances_bound_the_distance(spark):
     for a in fps:
         for b in fps:
             assert max(abs(x - y) for x, y in zip(cells[a], cells[b], strict=True)) <= bin((a ^ b) % 2**64).count("1")
+
+
+def test_pair_references_move_by_their_own_bits(spark):
+    """near: two bits for each pair of bits, the number of its ones, from distances alone."""
+    fps = [0, 1, -1, 12345678901234567, -(2**63), 3 << 20]
+    got = {r["fp"]: r["near"] % 2**64 for r in simhash.pivot_table(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    for f, near in got.items():
+        assert [near >> 2 * k & 3 for k in range(32)] == [bin(f % 2**64 >> 2 * k & 3).count("1") for k in range(32)]
+
+
+@pytest.mark.parametrize("groups", [5, 6, 7, 8, 10])
+def test_every_linked_pair_meets(spark, groups):
+    rng = random.Random(groups)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), rng.choice((1, 2, 3))))
+        pairs.append((a, b))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    table = simhash.pivot_table(spark.createDataFrame([(signed(f),) for p in pairs for f in p], "fp long"))
+    met = defaultdict(set)
+    for r in simhash.meeting_places(table, groups).collect():
+        met[r["fp"]].add((r["choice"], r["bits"]))
+    assert all(met[signed(a)] & met[signed(b)] for a, b in pairs)
+
+
+def test_pair_report(spark):
+    rng = random.Random(1)
+    fps = [rng.getrandbits(63) for _ in range(400)] + [7, 6, 4, 0]
+    r = simhash.pair_report(spark.createDataFrame([(f,) for f in fps], "fp long")).first()
+    assert r["met"] >= r["left"] >= r["linked"] >= 6
