@@ -1,13 +1,16 @@
 """Packing documents into sequences: best fit, then swap-based local search.
 
 Every document is encoded, ended, and cut only where it is longer than a sequence. Full pieces are
-sequences of their own. The rest is dealt at random into groups of a bounded size, each packed by
+sequences of their own. The rest is dealt by hash into groups of about GROUP pieces, each packed by
 best fit from the longest piece down; then, while a bin may go, pieces of the emptiest bin move to
 others or are exchanged one for one, one for two or two for one, each step raising the sum of squared
-fills. The search ends at the lower bound or where no pair of bins has a step. Bins that stay open are packed again with those of other groups, until one group is left.
+fills. The search ends at a lower bound or where no pair of bins has a step. The pieces of bins that stay
+open are dealt anew, into groups of the same size, and packed again, until one group held them all or a round
+saves less than GAIN of its bins: no task ever holds more than a group.
 
 Defined cases: a null text is empty, its piece is the end id; an empty table gives no row; equal rows
-are packed each for itself.
+are packed each for itself, and dealt apart; a text of any length is cut into whole sequences and a rest;
+extra columns play no part.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from plenum.llm.tokenizing import default_path, encoder
 from plenum.storage import cut
 
-#: Pieces that one task packs, and groups whose open bins one task packs again.
-GROUP, FAN_IN = 8192, 64
-#: A bin with less room than this share of its size is closed.
-CLOSED = 0.005
+#: Pieces that one task packs, about.
+GROUP = 1024
+#: A bin with less room than this share of its size is closed; a round that saves less than this share of its bins is the last.
+CLOSED, GAIN = 0.005, 0.001
 
 #: A missing id is 0 with no_id, as pandas has no longs with gaps.
 PIECE = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
@@ -77,33 +80,57 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: np.ndarray, size: int) -> int:
+    """A lower bound: pieces over half a bin share none; what is not longer than k finds no place beside those over size - k."""
+    n = np.sort(lengths)
+    if not len(n):
+        return 0
+    total = np.concatenate([[0], np.cumsum(n)])
+    half = int(np.searchsorted(n, size // 2, "right"))
+    at = np.unique(np.searchsorted(n, n[:half]))  # the first piece of each length up to the half
+    beside = np.searchsorted(n, size - n[at], "right")  # pieces over size - k come from here
+    large, middle = len(n) - half, beside - half
+    over = (total[half] - total[at]) - (middle * size - (total[beside] - total[half]))
+    return max(-(-int(total[-1]) // size), large + int(np.maximum(0, -(-over // size)).max(initial=0)))
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Fewer bins, if pieces of the emptiest can move out; every step raises the sum of squared fills.
 
     A move of n to a bin at least as full as what its own keeps, or an exchange that makes the fuller of
     two bins fuller, raises it; so the search ends. It ends at the lower bound or where no pair of bins
-    has a step: a bin meets all others, and later only those that have changed.
+    has a step: a bin meets all others, and later only those that have changed. Of those it meets, the bins
+    whose room and extreme pieces rule a step out are passed over at once.
     """
     n_of = lengths.tolist()
-    fill = [sum(n_of[i] for i in b) for b in bins]
-    need = -(-sum(fill) // size)
-    alive = {k for k, b in enumerate(bins) if b}
     sizes = [sorted((n_of[i], i) for i in b) for b in bins]
+    fill = np.array([sum(n for n, _ in b) for b in sizes], np.int64)
+    #: Least, longest, and sum of the two least pieces of each bin.
+    ends = np.zeros((len(bins), 3), np.int64)
+
+    def note(k: int) -> None:
+        own = sizes[k]
+        if own:
+            ends[k] = own[0][0], own[-1][0], own[0][0] + own[1][0] if len(own) > 1 else 2 * size
+
+    for k in range(len(bins)):
+        note(k)
+    need = least_bins(lengths, size)
+    alive = np.array([bool(b) for b in sizes])
+    left = int(alive.sum())
     log: list[int] = []  # bins in the order of their changes
     met, changed = [-1] * len(bins), [0] * len(bins)  # length of the log when a bin had met the others, and when it changed
-    queue = sorted((fill[k], k) for k in alive)
-    while len(alive) > need and queue:
+    queue = sorted((int(fill[k]), k) for k in np.flatnonzero(alive))
+    while left > need and queue:
         _, source = heappop(queue)
-        if met[source] < changed[source]:
-            others = [k for k in alive if k != source and fill[k] < size]
-        else:
-            others = [k for k in set(log[met[source] :]) if k in alive and k != source and fill[k] < size]
-        others.sort(key=lambda k: (-fill[k], k))
+        others = np.flatnonzero(alive & (fill < size)) if met[source] < changed[source] else np.unique(np.array(log[met[source] :], np.int64))
+        others = others[alive[others] & (others != source) & (fill[others] < size)]
+        others = others[np.lexsort((others, -fill[others]))]
         moved, before = True, len(log)
         while moved and sizes[source]:
             moved = False
-            for k in others:
-                gap = size - fill[k]
+            for k in others[_may_step(sizes[source], ends[others], size - fill[others])].tolist():
+                gap = size - int(fill[k])
                 if gap and fill[k] >= fill[source] > 0 and (step := _step(sizes[source], sizes[k], gap)):
                     out, back = step
                     sizes[source] = sorted([x for x in sizes[source] if x not in out] + back)
@@ -111,16 +138,29 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[
                     shift = sum(n for n, _ in out) - sum(n for n, _ in back)
                     fill[source] -= shift
                     fill[k] += shift
+                    note(source)
+                    note(k)
                     log += [source, k]
                     changed[source] = changed[k] = len(log)
                     moved = True
         if not sizes[source]:
-            alive.discard(source)
+            alive[source] = False
+            left -= 1
         if len(log) > before:  # what changed may help the others, and the source again
-            queue = sorted((fill[k], k) for k in alive)
+            queue = sorted((int(fill[k]), k) for k in np.flatnonzero(alive))
         else:
             met[source] = len(log)
-    return [[i for _, i in sizes[k]] for k in sorted(alive)]
+    return [[i for _, i in sizes[k]] for k in np.flatnonzero(alive)]
+
+
+def _may_step(own: list[tuple[int, int]], ends: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Bins that a step is not ruled out for, by the least and the longest pieces of the two."""
+    least, longest, two = ends.T
+    a, z = own[0][0], own[-1][0]
+    may = (a <= gap) | ((z > least) & (a - longest <= gap)) | (z > two)
+    if len(own) > 1:
+        may |= (z + own[-2][0] > least) & (a + own[1][0] - longest <= gap)
+    return may
 
 
 def _step(own: list[tuple[int, int]], other: list[tuple[int, int]], gap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
@@ -154,11 +194,11 @@ def _step(own: list[tuple[int, int]], other: list[tuple[int, int]], gap: int) ->
     return step
 
 
-def _packer(size: int, last: bool):
-    """Packs one group; last: nothing stays open."""
+def _packer(size: int):
+    """Packs one group; full enough bins are closed."""
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "u", "doc_id", "piece"], ascending=[False, True, True, True], ignore_index=True)
+        frame = frame.sort_values(["length", "u"], ascending=[False, True], ignore_index=True)
         lengths = frame["length"].to_numpy()
         bins = local_search(best_fit(lengths, size), lengths, size)
         which, place, fill = np.zeros(len(frame), "int64"), np.zeros(len(frame), "int64"), np.zeros(len(bins), "int64")
@@ -168,7 +208,7 @@ def _packer(size: int, last: bool):
                 which[i], place[i] = b, at
                 at += int(lengths[i])
             fill[b] = at
-        frame["bin"], frame["offset"], frame["closed"] = which, place, last | (fill[which] >= size * (1 - CLOSED))
+        frame["bin"], frame["offset"], frame["closed"] = which, place, fill[which] >= size * (1 - CLOSED)
         return frame[[*NAMES, "u", "g", "bin", "offset", "closed"]]
 
     return packed
@@ -176,22 +216,23 @@ def _packer(size: int, last: bool):
 
 def pack(rows: DataFrame, size: int = 4096) -> DataFrame:
     """rows (of pieces) with sequence_id and offset."""
-    rows = cut(rows.withColumn("u", F.xxhash64("doc_id", "piece", "ids_crc32")))
-    count = rows.filter(F.col("length") < size).count()
-    groups = max(1, -(-count // GROUP))
-    full = rows.filter(F.col("length") >= size)
-    own = F.monotonically_increasing_id()  # over rows that are written: the same whenever they are read
-    done = [full.select(*NAMES, F.lit(0).cast("long").alias("round"), own.alias("bin"), F.lit(0).cast("long").alias("offset"))]
-    open_rows = rows.filter(F.col("length") < size).withColumn("g", F.pmod("u", F.lit(groups)).cast("int"))
-    number, last = 0, False
+    rows = cut(rows).withColumn("u", F.monotonically_increasing_id())  # over rows that are written: the same whenever they are read
+    done = [rows.filter(F.col("length") >= size).select(*NAMES, F.lit(0).cast("long").alias("round"), F.col("u").alias("bin"), F.lit(0).cast("long").alias("offset"))]
+    open_rows = rows.filter(F.col("length") < size)
+    left, bins, number = open_rows.count(), None, 0
     schema = PIECE + ", u long, g int, bin long, offset long, closed boolean"
-    while not last:
-        number, last = number + 1, groups == 1
-
-        out = cut(open_rows.select(*NAMES, "u", "g").groupBy("g").applyInPandas(_packer(size, last), schema))
-        done.append(out.filter("closed").select(*NAMES, F.lit(number).cast("long").alias("round"), ((F.col("g").cast("long") * (1 << 24)) + F.col("bin")).alias("bin"), "offset"))
-        open_rows = out.filter("not closed").withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int"))
-        groups = -(-groups // FAN_IN)
+    while left:
+        number += 1
+        groups = -(-left // GROUP)
+        dealt = open_rows.select(*NAMES, "u", F.pmod(F.xxhash64("u", F.lit(number)), F.lit(groups)).cast("int").alias("g"))
+        out = cut(dealt.groupBy("g").applyInPandas(_packer(size), schema))
+        # A bin's first piece stands for it.
+        now, still, left = out.agg(F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & ~F.col("closed")), F.count_if(~F.col("closed"))).first()
+        last = groups == 1 or (bins is not None and now > bins * (1 - GAIN))
+        done.append((out if last else out.filter("closed")).select(*NAMES, F.lit(number).cast("long").alias("round"), ((F.col("g").cast("long") * (1 << 24)) + F.col("bin")).alias("bin"), "offset"))
+        if last:
+            break
+        open_rows, bins = out.filter("not closed"), still
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)

@@ -157,3 +157,70 @@ def test_local_search_goes_on_until_no_pair_of_bins_has_a_step():
     fill = [int(lengths[b].sum()) for b in after]
     own = [sorted((int(lengths[i]), i) for i in b) for b in after]
     assert not any(packing._step(own[a], own[b], 4096 - fill[b]) for a in range(len(own)) for b in range(len(own)) if a != b and fill[a] <= fill[b] < 4096)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=0, max_size=9))
+def test_least_bins_is_a_bound(ns):
+    """Against the fewest bins of all ways to pack."""
+    def fewest(rest, room):
+        if not rest:
+            return len(room)
+        n, out = rest[0], 99
+        for r in {r for r in room if r >= n}:
+            other = list(room)
+            other.remove(r)
+            out = min(out, fewest(rest[1:], [*other, r - n]))
+        return min(out, fewest(rest[1:], [*room, 20 - n]) if len(room) < 9 else 99)
+
+    bound = packing.least_bins(np.array(ns, np.int64), 20)
+    assert -(-sum(ns) // 20) <= bound <= fewest(sorted(ns, reverse=True), [])
+
+
+def piece_rows(spark, lengths):
+    rows = [(k, False, 0, 0, int(n), 0) for k, n in enumerate(lengths)]
+    return spark.createDataFrame(rows, packing.PIECE)
+
+
+def groups_of_at_most(monkeypatch, most):
+    """Packing that fails where a task gets a larger group."""
+    plain = packing._packer
+
+    def packer(size):
+        packed = plain(size)
+
+        def checked(frame):
+            assert len(frame) <= most
+            return packed(frame)
+
+        return checked
+
+    monkeypatch.setattr(packing, "_packer", packer)
+
+
+def sequences(out):
+    return out.select("sequence_id").distinct().count()
+
+
+def test_open_bins_are_packed_again_in_bounded_groups(spark, monkeypatch):
+    """Pieces of which no four fill a bin: nearly all stay open after a round."""
+    monkeypatch.setattr(packing, "GROUP", 128)
+    groups_of_at_most(monkeypatch, 256)
+    lengths = np.random.default_rng(3).integers(900, 1400, 3000)
+    n = sequences(packing.pack(piece_rows(spark, lengths)))
+    assert -(-int(lengths.sum()) // 4096) <= n < 0.97 * len(packing.best_fit(lengths, 4096))
+
+
+def test_pieces_over_half_a_bin_stay_alone_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 128)
+    groups_of_at_most(monkeypatch, 256)
+    assert sequences(packing.pack(piece_rows(spark, [2100] * 3000))) == 3000
+
+
+def test_equal_rows_are_dealt_apart(spark, monkeypatch):
+    """One row many times."""
+    monkeypatch.setattr(packing, "GROUP", 64)
+    groups_of_at_most(monkeypatch, 128)
+    rows = spark.createDataFrame([(7, False, 0, 0, 100, 0)] * 2000, packing.PIECE)
+    out = packing.pack(rows, 400)
+    assert out.count() == 2000 and sequences(out) == 500
