@@ -2,10 +2,13 @@
 
 A file set is a Parquet table of blocks in ascending document order. A block holds whole documents:
 their ids end to end (16 bits each where all fit, else 32), the document boundaries and the document
-ids as Elias-Fano sequences, and its first document's offset within its part.
+ids as Elias-Fano sequences with their select directories, and its first document's offset within its
+part. Readers get a document's place from select on the boundaries alone: no table of offsets is kept.
 
 Defined cases: a null text is empty and has the end id alone; empty tables give no block; documents
-without an id come first, in blocks of their own kind; equal ids are all kept.
+without an id come first, in blocks of their own kind; equal ids are all kept, by the hash of their texts;
+equal rows may fall to several parts; a text of any length is one document, never divided; extra columns
+play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from plenum.storage import partitions
 
 #: Ids after which a block is closed; a document is never divided.
 BLOCK_IDS = 1 << 19
-#: Set bits between two entries of the select directory.
+#: Set bits between two entries of a select directory.
 EVERY = 256
 
 BLOCK = "part int, base long, n_docs int, n_ids long, width int, ids binary, bounds binary, doc_ids binary"
@@ -32,11 +35,10 @@ DOCUMENT = "doc_id long, part int, part_start long, n_tokens long, ids_crc32 lon
 
 
 class EliasFano:
-    """A non-decreasing sequence of n integers in 0..u: low bits packed, high parts as unary gaps."""
+    """A non-decreasing sequence of n integers in 0..u: low bits packed, high parts as unary gaps, and where every EVERY-th gap ends."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, base: int):
-        self.n, self.low_bits, self.low, self.high, self.base = n, low_bits, low, high, base
-        self._directory: np.ndarray | None = None
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, base: int, directory: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.base, self.directory = n, low_bits, low, high, base, directory
 
     @classmethod
     def of(cls, values) -> EliasFano:
@@ -51,46 +53,36 @@ class EliasFano:
         ones = (shifted >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         bits[ones] = 1
-        return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), base)
+        return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), base, ones[::EVERY].astype("<u4"))
 
     def to_bytes(self) -> bytes:
-        return np.array([self.n, self.low_bits, self.base, len(self.low)], "<i8").tobytes() + self.low.tobytes() + self.high.tobytes()
+        return np.array([self.n, self.low_bits, self.base, len(self.low)], "<i8").tobytes() + self.directory.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, b: bytes) -> EliasFano:
         n, low_bits, base, m = (int(x) for x in np.frombuffer(b, "<i8", 4))
-        return cls(n, low_bits, np.frombuffer(b, np.uint8, m, 32), np.frombuffer(b, np.uint8, offset=32 + m), base)
-
-    def _low(self, i: int) -> int:
-        at, out = i * self.low_bits, 0
+        entries = -(-n // EVERY)
+        at = 32 + 4 * entries
+        return cls(n, low_bits, np.frombuffer(b, np.uint8, m, at), np.frombuffer(b, np.uint8, offset=at + m), base, np.frombuffer(b, "<u4", entries, 32))
+
+    def select(self, at) -> np.ndarray:
+        """The values at the places at (ascending): each directory entry leads to its stretch of the unary gaps, which alone is unpacked."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not 0 <= at[0] <= at[-1] < self.n:
+            raise IndexError(at)
+        ones = np.empty(len(at), np.int64)
+        cell = at // EVERY
+        for c in np.unique(cell).tolist():
+            first = int(self.directory[c]) >> 3
+            last = (int(self.directory[c + 1]) >> 3) + 1 if c + 1 < len(self.directory) else len(self.high)
+            set_bits = np.flatnonzero(np.unpackbits(self.high[first:last], bitorder="little")) + 8 * first
+            set_bits = set_bits[np.searchsorted(set_bits, self.directory[c]) :]
+            lo, hi = np.searchsorted(cell, [c, c + 1])
+            ones[lo:hi] = set_bits[at[lo:hi] - c * EVERY]
+        high = (ones - at).astype(np.uint64) << np.uint64(self.low_bits)
         for k in range(self.low_bits):
-            out |= int(self.low[(at + k) >> 3] >> ((at + k) & 7) & 1) << k
-        return out
-
-    def select(self, i: int) -> int:
-        """The i-th value, by a directory of every 256th set bit and a scan from there."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        if self._directory is None:
-            self._directory = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[::EVERY].astype(np.uint32)
-        at = int(self._directory[i // EVERY])
-        left, byte = i % EVERY, at >> 3
-        bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        bits[: at & 7] = 0
-        while left >= (ones := int(bits.sum())):
-            left, byte = left - ones, byte + 1
-            bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        one = (byte << 3) + int(np.flatnonzero(bits)[left])
-        return self.base + (((one - i) << self.low_bits) | self._low(i))
-
-    def all(self) -> np.ndarray:
-        """Every value."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            for k in range(self.low_bits):
-                high |= bits[:, k].astype(np.uint64) << np.uint64(k)
+            bit = at * self.low_bits + k
+            high |= (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.uint64) << np.uint64(k)
         return (high + np.uint64(self.base % 2**64)).astype(np.int64)
 
 
@@ -125,9 +117,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if parts:
             yield pd.DataFrame([_block(part, base, ids, parts)])
 
-    # A missing id is the least number with a flag: pandas has no longs with gaps.
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(id_col).isNull().alias("z"), F.col(text_col).cast("string").alias("t"))
-    rows.repartitionByRange(partitions(docs.sparkSession), "k").sortWithinPartitions("k", F.desc("z")).mapInPandas(blocks, BLOCK).write.mode("overwrite").parquet(path)
+    # A missing id is the least number with a flag: pandas has no longs with gaps. Equal ids are parted by the hash
+    # of their texts, and equal rows by their place in the input, so that no key has to go to one task.
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(id_col).isNull().alias("z"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"), text.alias("t"))
+    order = [F.col("k"), F.desc("z"), F.col("h"), F.col("m")]
+    rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("k", "z", "t").mapInPandas(blocks, BLOCK).write.mode("overwrite").parquet(path)
+
+
+def place(bounds: EliasFano, i: int) -> tuple[int, int]:
+    """Where the ids of a block's i-th document begin and end in it."""
+    first, last = bounds.select([i, i + 1]).tolist()
+    return first, last
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -137,9 +138,9 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for b in batch.itertuples(index=False):
                 ids = np.frombuffer(b.ids, f"<u{b.width}").astype("<u4")
-                bounds = EliasFano.from_bytes(b.bounds).all()
+                bounds = EliasFano.from_bytes(b.bounds).select(np.arange(b.n_docs + 1))
                 raw = memoryview(ids.tobytes())
-                names = [None] * b.n_docs if b.doc_ids is None else EliasFano.from_bytes(b.doc_ids).all()
+                names = [None] * b.n_docs if b.doc_ids is None else EliasFano.from_bytes(b.doc_ids).select(np.arange(b.n_docs))
                 yield pd.DataFrame({
                     "doc_id": pd.array(names, "Int64"), "part": b.part, "part_start": b.base + bounds[:-1], "n_tokens": np.diff(bounds),
                     "ids_crc32": [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)],

@@ -63,13 +63,27 @@ def test_elias_fano_round_trip(xs):
     if xs[-1] - xs[0] >= 2**63:
         xs = [x // 4 for x in xs]
     ef = token_files.EliasFano.from_bytes(token_files.EliasFano.of(xs).to_bytes())
-    assert ef.all().tolist() == xs and [ef.select(i) for i in range(0, len(xs), 7)] == xs[::7]
+    assert ef.select(np.arange(len(xs))).tolist() == xs and ef.select(np.arange(0, len(xs), 7)).tolist() == xs[::7]
+    assert [int(ef.select([i])[0]) for i in range(0, len(xs), 41)] == xs[::41]
+
+
+def test_select_reads_one_stretch_alone():
+    """What lies beyond a directory entry's stretch plays no part."""
+    xs = np.cumsum(np.random.default_rng(2).integers(0, 3000, 5000))
+    ef = token_files.EliasFano.from_bytes(token_files.EliasFano.of(xs).to_bytes())
+    high = ef.high.copy()
+    first, last = int(ef.directory[3]) >> 3, (int(ef.directory[4]) >> 3) + 1
+    high[:first], high[last:] = 255, 255
+    ef.high = high
+    assert ef.select(np.arange(3 * 256, 4 * 256)).tolist() == xs[3 * 256 : 4 * 256].tolist()
+    with pytest.raises(IndexError):
+        ef.select([5000])
 
 
 def test_elias_fano_is_near_the_minimum():
     bounds = np.cumsum(np.random.default_rng(1).integers(1, 2000, 10_000))
     assert len(token_files.EliasFano.of(bounds).to_bytes()) * 8 / len(bounds) < 2 + np.log2(bounds[-1] / len(bounds)) + 1
-    assert token_files.EliasFano.of([]).all().tolist() == []
+    assert token_files.EliasFano.of([]).select([]).tolist() == []
 
 
 def test_token_files(spark, docs, odd_rows, plain, monkeypatch):
@@ -93,6 +107,28 @@ def test_token_files_of_nothing_and_of_rows_without_ids(spark, docs, no_docs):
     assert {s for k, s in got if k is None} == {0, 2} and (3, 4) in got
 
 
+def test_equal_ids_have_one_order_and_are_parted(spark):
+    """However the rows come; one id and one row may be most of the table."""
+    rows = [(5, f"text {n % 40}") for n in range(300)] + [(5, "the same")] * 300 + [(None, "none")] * 200
+    out = []
+    for parts, own in ((3, rows), (7, rows[::-1])):
+        path = scratch(spark, "test")
+        token_files.write_token_files(spark.createDataFrame(own, "doc_id long, text string").repartition(parts), path)
+        out.append(sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, path).collect()), key=str))
+        assert spark.read.parquet(path).select("part").distinct().count() > 2
+    assert out[0] == out[1] and len(out[0]) == 800
+
+
+def test_places_come_from_select(spark):
+    path = scratch(spark, "test")
+    texts = ["a b c", "", "d e", "f " * 700]
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path)
+    for b in spark.read.parquet(path).collect():
+        bounds = token_files.EliasFano.from_bytes(bytes(b["bounds"]))
+        at = [token_files.place(bounds, i) for i in range(b["n_docs"])]
+        assert at[0][0] == 0 and at[-1][1] == b["n_ids"] and all(x[1] == y[0] for x, y in zip(at, at[1:], strict=False))
+
+
 def check_packing(rows, want_pieces, size):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want_pieces
     bins = defaultdict(list)
