@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plenum.llm.quality import KEEP_SHARE, LINE_DOCS, LINE_SHARE, LINE_WORDS
+from plenum.llm.quality import KEEP_SHARE, LINE_DOCS
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,9 +13,8 @@ QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, co
   l AS (SELECT rid, source, own, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k, trim(regexp_replace(translate(lower(line), '123456789' || chr(9) || chr(11) || chr(12) || chr(13), '000000000    '), ' +', ' ', 'g')) AS norm
     FROM (SELECT rid, source, own, unnest(string_split(t, chr(10))) AS line FROM d)),
   dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE k > 0 GROUP BY 1),
-  hosts AS (SELECT source, count(DISTINCT own) AS of FROM d GROUP BY 1),
-  f AS (SELECT l.source, norm FROM l WHERE k BETWEEN 1 AND {LINE_WORDS} GROUP BY 1, 2 HAVING count(DISTINCT own) > {LINE_DOCS} AND count(DISTINCT own) > {LINE_SHARE} * (SELECT max(of) FROM hosts h WHERE h.source IS NOT DISTINCT FROM l.source)),
-  gone AS (SELECT l.rid, sum(k) AS n_removed FROM l JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.norm = l.norm WHERE k BETWEEN 1 AND {LINE_WORDS} GROUP BY 1),
+  f AS (SELECT l.source, norm FROM l WHERE k > 0 GROUP BY 1, 2 HAVING count(DISTINCT own) > {LINE_DOCS}),
+  gone AS (SELECT l.rid, sum(k) AS n_removed FROM l JOIN f ON f.source IS NOT DISTINCT FROM l.source AND f.norm = l.norm WHERE k > 0 GROUP BY 1),
   s AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN r USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid))
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {KEEP_SHARE} * n_words AS kept FROM s"""

@@ -113,6 +113,32 @@ def test_frequent_lines_go_and_depleted_documents_too(common_lines):
     assert all(got[k]["n_removed_words"] == 0 and got[k]["kept"] for k in [*range(200, 240), 300, 301])
 
 
+def test_copies_count_where_asked(common_lines):
+    """By document ids, a text that a host has 40 times has frequent lines alone."""
+    got = {r["doc_id"]: r for r in quality.quality_rules(common_lines, copies=True).collect()}
+    assert all(got[k]["n_removed_words"] == got[k]["n_words"] and not got[k]["kept"] for k in range(200, 240))
+    assert all(got[k]["n_removed_words"] == 7 and got[k]["kept"] for k in range(40))
+    twice = common_lines.filter("doc_id >= 200").withColumn("doc_id", F.lit(1).cast("long"))
+    assert quality.quality_rules(twice, copies=True).filter("n_removed_words > 0").count() == 0  # one id is one document
+
+
+def test_clashing_columns_stay(common_lines, no_docs):
+    names = ["_id", "id", "host", "hash", "gone", "lines", "_row", "n_words", "kept", "_gone", "line"]
+    df = common_lines.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    out = quality.clean(df)
+    assert out.columns == df.columns and out.count() == quality.clean(common_lines).count()
+    assert out.select(*names).distinct().collect() == df.select(*names).distinct().collect()
+    assert quality.quality_rules(df).count() == df.count() and quality.clean(no_docs).count() == 0
+
+
+def test_odd_white_space_and_one_very_long_line(spark):
+    texts = ["\x0b\x0c a\t\tb\r\nc  d\x0b\ne\x85f \u00a0 g", " \n \t", "Ab1\t2\nab9  9", "word " * 200_000, "x\n" * 5000, "ΟΔΟΣ\nΟΔΟΣ σ", "a b c a b c", None]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    for k, t in enumerate(texts):
+        assert (tuple(got[k])[1:6], got[k]["base_failed"]) == base(t)
+
+
 def test_clean_takes_the_lines_out(common_lines):
     rows = {r["doc_id"]: r["text"] for r in common_lines.collect()}
     out = {r["doc_id"]: r["text"] for r in quality.clean(common_lines).collect()}

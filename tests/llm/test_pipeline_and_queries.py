@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from test_filters import base, components, contaminated, fingerprint
+from test_filters import base, common_lines, components, contaminated, fingerprint  # noqa: F401
 from test_tokens import check_packing
 
 from plenum.llm import quality
@@ -46,20 +46,32 @@ def test_sql(spark, sf_dir, name):
     assert Counter(tuple(r) for r in df.select(*want.columns).collect()) == Counter(want.fetchall())
 
 
+def test_quality_sql_on_depleted_documents(spark, common_lines):
+    """Where lines above the limits take most of a document, the SQL rejects what the operator rejects."""
+    lines = [" ".join(f"w{k}x{n}" for n in range(10)) for k in "abcdefgh"]
+    more = [(500 + k, "\n".join([*lines, f"own words of {k}"]), "h" if k % 2 else None) for k in range(60)]
+    common_lines = common_lines.unionByName(spark.createDataFrame(more, common_lines.schema))
+    rows = common_lines.collect()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [tuple(r) for r in rows])
+    want = con.sql(ORACLES["op4_quality_rules"])
+    got = quality.quality_rules(common_lines)
+    assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall())
+    assert got.filter("not base_failed and not kept").count() == 60
+
+
 def lines_removed(docs):
     """Texts without the lines above the limits; None for documents that go. docs: (id, text, source)."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
     norm = lambda x: re.sub(" +", " ", re.sub(r"[\t\v\f\r]", " ", re.sub("[1-9]", "0", x.lower()))).strip(" \t\n\v\f\r")
-    short = lambda x: 0 < len(word.findall(x)) <= quality.LINE_WORDS
-    seen, texts = defaultdict(set), defaultdict(set)
+    seen = defaultdict(set)
     for _, t, s in docs:
-        texts[s].add(t)
         for x in (t or "").split("\n"):
-            if short(x):
-                seen[(s, norm(x))].add(t)
+            seen[(s, norm(x))].add(t)
     out = {}
     for k, t, s in docs:
-        frequent = lambda x, s=s: short(x) and len(seen[(s, norm(x))]) > max(quality.LINE_DOCS, quality.LINE_SHARE * len(texts[s]))
+        frequent = lambda x, s=s: bool(norm(x)) and len(seen[(s, norm(x))]) > quality.LINE_DOCS
         lines = (t or "").split("\n")
         gone = sum(len(word.findall(x)) for x in lines if frequent(x))
         n = len(word.findall(t or ""))
