@@ -5,11 +5,14 @@ necessary prefix is a single token: the one that is rarest over all documents. W
 document words on that token, the token's place in the window and the two lengths bound where the
 window can lie, and the candidate is verified word for word.
 
-The windows of one block of items are sent to every worker; a block holds at most BLOCK_WORDS words,
-and a larger benchmark is joined block by block.
+The windows of one block of items are sent to every worker; a block holds at most BLOCK_WORDS words. A larger
+benchmark is joined block by block, each block in a pass of its own that keeps what it found of the
+documents it hit, after one pass that counts the words of all items.
 
 Defined cases: a null text has no words; an item without an id or without a word is no item; items may
-share windows or ids; an empty benchmark hits nothing; a row is judged as often as it occurs.
+share windows or ids; ids may be of any type and are sorted as strings; an empty benchmark hits nothing; a row
+is judged as often as it occurs; a text of any length is searched whole; an empty table gives no row;
+extra columns stay, but for one of the name of the result.
 """
 
 from __future__ import annotations
@@ -22,23 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from plenum.storage import cut, free_names
+
 WINDOW = 10
-#: Words of the items that are sent to workers at once.
+#: Words of the items that are sent to workers at once, and distinct ones that are counted at once.
 BLOCK_WORDS = 500_000
 
 #: Lower case for A-Z; a space for other ASCII characters that are no letters or digits.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
-Index = dict[bytes, list[tuple[int, list[bytes], tuple[int, ...]]]]
+Index = dict[bytes, list[tuple[int, list[bytes], tuple[str, ...]]]]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split() if text else []
 
 
-def build_index(items: list[tuple[int, str]], frequency: dict[bytes, int], window: int = WINDOW) -> Index:
+def build_index(items: list[tuple[str, str]], frequency: dict[bytes, int], window: int = WINDOW) -> Index:
     """Rarest word to (its place, the window, the items that have it)."""
-    owners: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+    owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         words = words_of(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
@@ -50,7 +55,7 @@ def build_index(items: list[tuple[int, str]], frequency: dict[bytes, int], windo
     return dict(index)
 
 
-def find(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[int]]:
+def find(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged spans of words that windows cover, and the items they are of."""
     spans, items, n = [], set(), len(words)
     for at in [k for k, w in enumerate(words) if w in index]:
@@ -68,11 +73,11 @@ def find(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[i
     return merged, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of at most BLOCK_WORDS words (or one item), in order of their ids."""
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     block, size = [], 0
-    for r in rows.orderBy("i").toLocalIterator():
+    for r in rows.orderBy("i", "t").toLocalIterator():
         n = len(words_of(r["t"]))
         if block and size + n > BLOCK_WORDS:
             yield block
@@ -86,33 +91,75 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 
 def word_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[bytes, int]:
     """How often each word of the vocabulary occurs in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of at most BLOCK_WORDS words
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
+        wanted = shared.value.__contains__
         for batch in batches:
             for text in batch["t"]:
-                found.update(filter(vocabulary.__contains__, words_of(text)))
+                found.update(filter(wanted, words_of(text)))
         yield pd.DataFrame({"w": list(found), "n": list(found.values())}, columns=["w", "n"]).astype({"n": "int64"})
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {bytes(r["w"]): r["n"] for r in rows.collect()}  # a row for each word of a block at most
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> Column:
-    """A struct for each row of docs: n_words, n_hit, n_items, items_sha256, contaminated, spans and items."""
-    spark = docs.sparkSession
-    found = []
-    for block in _blocks(benchmark, item_id, item_text):
-        vocabulary = {w for _, text in block for w in words_of(text)}
-        index = spark.sparkContext.broadcast(build_index(block, word_frequency(docs, vocabulary, text_col), window))
-        found.append(_finder(index)(F.col(text_col)))
-    if not found:
-        found.append(_finder(spark.sparkContext.broadcast({}))(F.col(text_col)))
-    return _joined(found)
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = {bytes(r["w"]): r["n"] for r in rows.collect()}  # a row for each word of the vocabulary at most
+    shared.unpersist()
+    return counts
+
+
+def _frequencies(docs: DataFrame, blocks: list[list[tuple[str, str]]], text_col: str) -> Iterator[dict[bytes, int]]:
+    """word_frequency of each block's words. Words are counted once for all blocks, at most about BLOCK_WORDS new ones in a pass."""
+    known: dict[bytes, int] = {}
+    for k, block in enumerate(blocks):
+        own = {w for _, text in block for w in words_of(text)}
+        if not own <= known.keys():
+            ahead: set[bytes] = set()
+            for later in blocks[k:]:
+                new = {w for _, text in later for w in words_of(text)} - known.keys()
+                if ahead and len(ahead | new) > BLOCK_WORDS:
+                    break
+                ahead |= new
+            known = {w: known[w] for w in own & known.keys()} | dict.fromkeys(ahead, 0) | word_frequency(docs, ahead, text_col)
+        yield {w: known[w] for w in own}
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, result: str = "contamination", window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with a struct: n_words, n_hit, n_items, items_sha256, contaminated, spans and items."""
+    sc = docs.sparkSession.sparkContext
+    blocks = list(_blocks(benchmark, item_id, item_text))  # the benchmark's texts, which are small beside the corpus
+    indexes = (build_index(block, frequency, window) for block, frequency in zip(blocks, _frequencies(docs, blocks, text_col), strict=True))
+    if len(blocks) <= 1:
+        index = sc.broadcast(next(indexes, {}))
+        return docs.withColumn(result, _folded(F.array(_finder(index)(F.col(text_col).cast("string")))))
+    # Equal texts have equal findings: those of the texts that are hit are kept by two hashes of the text.
+    one, two, found, n = free_names(docs, "one", "two", "found", "n")
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn(one, F.xxhash64(text)).withColumn(two, F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+    hits = None
+    for index in indexes:
+        shared = sc.broadcast(index)
+        own = cut(keyed.select(one, two, _finder(shared)(text).alias(found)).filter(F.size(f"{found}.items") > 0).dropDuplicates([one, two]))
+        shared.unpersist()
+        hits = own if hits is None else hits.unionByName(own)
+    hits = hits.groupBy(one, two).agg(F.collect_list(found).alias(found))  # one for each block at most
+    none = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast(f"array<{SPAN}>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    joined = keyed.withColumn(n, _counter()(text)).join(hits, [one, two], "left").withColumn(found, F.coalesce(found, F.array(none)))
+    return joined.withColumn(result, _folded(F.col(found)).withField("n_words", F.col(n))).select(*[c for c in docs.columns if c != result], result)
+
+
+SPAN = "struct<first: long, last: long>"
+
+
+def _counter():
+    @pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
+
+    return count
 
 
 def _finder(index):
-    @pandas_udf("n_words long, spans array<struct<first: long, last: long>>, items array<long>")
+    @pandas_udf(f"n_words long, spans array<{SPAN}>, items array<string>")
     def hits(texts: pd.Series) -> pd.DataFrame:
         n, spans, items = [], [], []
         for text in texts:
@@ -126,16 +173,15 @@ def _finder(index):
     return hits
 
 
-def _joined(found: list[Column]) -> Column:
+def _folded(blocks: Column) -> Column:
     """The blocks' findings as one: spans are united, items counted once."""
-    blocks = F.array(*found)
 
     def fold(of: Column) -> Column:
         spans = F.array_sort(F.flatten(F.transform(of, lambda b: b["spans"])))
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
         step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(acc["end"], s["first"]))).alias("n"), F.greatest(acc["end"], s["last"]).alias("end"))
         hit = F.aggregate(spans, zero, step)["n"]
-        items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform(of, lambda b: b["items"]))), lambda i: i.cast("string")))
+        items = F.array_sort(F.array_distinct(F.flatten(F.transform(of, lambda b: b["items"]))))
         return F.struct(
             F.element_at(of, 1)["n_words"].alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
             F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), spans.alias("spans"), items.alias("items"),

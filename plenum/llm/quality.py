@@ -64,7 +64,7 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A narrow row for each document: doc_id, host, a hash of the text, the base counts, and each line's hash and number of words."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     # The text is normalised whole; a line end parts neither words nor letters that change with their neighbours.
-    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     words = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     return base_counts(named).select("doc_id", "host", "hash", *COUNTS, F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), words(x).alias("words"))).alias("lines"))
 

@@ -39,8 +39,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", found.alias("c")).select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256", "c.contaminated")
+    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "c")
+    return found.select("doc_id", "c.n_words", "c.n_hit", "c.n_items", "c.items_sha256", "c.contaminated")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

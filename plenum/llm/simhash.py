@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from plenum.operators.components import connected_components
-from plenum.storage import cut, partitions
+from plenum.storage import cut, free_names, partitions
 
 RADIUS = 3
 #: Random references, and references of two neighbouring bits.
@@ -57,14 +57,22 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
-    """doc_id and fp (the bits as a signed long) of every row."""
-
+def _fingerprint(n: int):
     @pandas_udf("long")
     def take(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, n) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), take(F.col(text_col).cast("string")).alias("fp"))
+    return take
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+    """doc_id and fp (the bits as a signed long) of every row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _fingerprint(n)(F.col(text_col).cast("string")).alias("fp"))
+
+
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """What tells a row from others: if it has no id, the id or 0, and the hash of its text."""
+    return F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.col(text_col).cast("string"))
 
 
 def references(count: int = PIVOTS) -> list[int]:
@@ -208,11 +216,31 @@ def pair_report(fps: DataFrame) -> DataFrame:
     return tallies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "left", "linked")])
 
 
+def _labels(first: DataFrame) -> DataFrame:
+    """first (fp once each, and more) with component: one fingerprint of those that links connect it to."""
+    return first.join(connected_components(links(first)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (the smallest doc_id reachable) of every row."""
     rows = cut(fingerprints(docs, id_col, text_col, n))
-    first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    joined = first.join(connected_components(links(first)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = _labels(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc"))))
     least = joined.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = joined.join(least, "component").select("fp", "component_id")
     return rows.join(labels, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+    """One row of docs for each component: the one of the least id, rows without an id last, then of the least hash of its text.
+
+    Rows of different components stay, whether they share an id or have none.
+    """
+    none, own, text_hash = _keys(id_col, text_col)
+    rows = cut(docs.select(none.alias("none"), own.alias("id"), text_hash.alias("text_hash"), _fingerprint(n)(F.col(text_col).cast("string")).alias("fp")))
+    best = F.min(F.struct("none", "id", "text_hash")).alias("b")
+    first = cut(rows.groupBy("fp").agg(best))
+    kept = _labels(first).groupBy("component").agg(F.min("b").alias("b")).select("b.*")
+    keys = free_names(docs, "none", "id", "text_hash")
+    keyed = docs.withColumns(dict(zip(keys, _keys(id_col, text_col), strict=True)))
+    # The semi join and the removal of repeated rows need one exchange of the texts.
+    return keyed.join(kept.toDF(*keys), keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -190,10 +190,14 @@ def test_contamination(spark, docs, odd_rows, no_docs, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (decontaminate.BLOCK_WORDS, 15):  # one block, and several
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
-        rows = docs.select("doc_id", "text", decontaminate.contamination(docs, bench).alias("c")).collect()
+        df = decontaminate.contamination(docs.withColumn("found", F.lit(1)), bench, "c")
+        assert df.columns == [*docs.columns, "found", "c"]
+        rows = df.select("doc_id", "text", "c").collect()
         assert Counter((r["doc_id"], r["c"]["n_words"], r["c"]["n_hit"], r["c"]["n_items"], r["c"]["items_sha256"], r["c"]["contaminated"]) for r in rows) == Counter((k, *contaminated(t, items)) for k, t, _, _ in odd_rows)
-    assert not docs.filter(decontaminate.contamination(docs, bench.limit(0))["contaminated"]).count()
-    assert no_docs.select(decontaminate.contamination(no_docs, bench)).count() == 0
+        assert decontaminate.contamination(no_docs, bench).count() == 0
+        assert not decontaminate.contamination(docs, bench.limit(0)).filter("contamination.contaminated").count()
+    named = bench.withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id")))
+    assert {r[0] for r in decontaminate.contamination(docs, named, "c").filter("c.contaminated").select(F.explode("c.items")).distinct().collect()} <= {f"item-{k}" for k in (1, 22, 5, 6, 10)}
 
 
 def fingerprint(text):
@@ -292,3 +296,15 @@ def test_pair_report(spark):
     fps = [rng.getrandbits(63) for _ in range(400)] + [7, 6, 4, 0]
     r = simhash.pair_report(spark.createDataFrame([(f,) for f in fps], "fp long")).first()
     assert r["met"] >= r["left"] >= r["linked"] >= 6
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and missing ids are documents of their own where their texts differ."""
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(40))
+    rows = [(1, text(1), "a"), (1, text(2), "b"), (None, text(3), "c"), (None, text(4), "d"), (5, text(4), "e"), (6, text(6), "f"), (6, text(6), "g"), (7, text(6), "h"), (None, None, "i"), (9, "", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([(1, text(1)), (1, text(2)), (None, text(3)), (5, text(4)), (6, text(6)), (9, "")])
+    assert simhash.one_of_each(df.limit(0)).count() == 0

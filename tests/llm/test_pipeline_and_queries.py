@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_filters import base, common_lines, components, contaminated, fingerprint  # noqa: F401
 from test_tokens import check_packing
 
@@ -92,7 +93,7 @@ def test_pipeline(spark, sf_dir, tmp_path, monkeypatch):
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
-    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect() if r["doc_id"] is not None]
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
     kept = lines_removed([r for r in rows if r[1] and any(c.isalpha() for c in r[1])])
     assert any(kept.get(k) not in (None, t) for k, t, _ in rows)  # some texts lose a line
     first = components({k: fingerprint(t) for k, t in kept.items()})
@@ -113,6 +114,43 @@ def test_pipeline(spark, sf_dir, tmp_path, monkeypatch):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
 
 
+def run_on(spark, path, docs):
+    import corpus_pipeline
+
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "some benchmark item of a few words")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path))
+
+
+def test_pipeline_of_nothing(spark, no_docs, tmp_path):
+    assert run_on(spark, tmp_path, no_docs).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, docs, odd_rows, tmp_path):
+    """Very long texts, repeated rows and ids, columns of clashing names: each text that passes the rules is packed once."""
+    names = ["_lang", "_hit", "_id", "_host", "found", "none", "id", "text_hash", "one", "two"]
+    more = docs.filter("doc_id < 20").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("Another one entirely. "), F.reverse("text")))
+    df = docs.unionByName(more).select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    got = run_on(spark, tmp_path, df).filter("piece = 0")
+    texts = [(k, t) for k, t, _, _ in odd_rows] + [(None, r["text"]) for r in more.collect()]
+    good = {(k, t) for k, t in texts if t and any(c.isalpha() for c in t) and not base(t)[1]}
+    fp = {t: fingerprint(t) for _, t in good}
+    root = components({n: f for n, f in enumerate(sorted(set(fp.values())))})
+    assert got.count() == len(set(root.values()))
+    assert {r["doc_id"] for r in got.collect()} <= {k for k, _ in good}
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    df = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in ("_lang", "_hit", "found", "none", "text_hash")])
+    spark.createDataFrame([(1, "no such item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        assert {tuple(r) for r in out.select("_lang", "_hit", "found", "none", "text_hash").distinct().collect()} == {("own _lang", "own _hit", "own found", "own none", "own text_hash")}
+
+
 def test_rows_without_ids_leave_large_ids_whole(spark):
     """Ids beyond 2**53 next to missing ones."""
     from plenum.llm import decontaminate, html_extract, packing, sharding, simhash, token_files
@@ -126,4 +164,4 @@ def test_rows_without_ids_leave_large_ids_whole(spark):
     assert of(token_files.read_token_files(spark, path)) == of(packing.best_fit_packing(docs)) == of(simhash.near_duplicates(docs)) == Counter(big)
     assert of(sharding.shard_by_tree(docs.selectExpr("*", "'en' as lang", "null as source"))) == of(quality.quality_rules(docs.selectExpr("*", "null as source"))) == Counter(big)
     assert of(html_extract.extract(docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")), "page_id") == Counter(big)
-    assert of(docs.withColumn("c", decontaminate.contamination(docs, spark.createDataFrame([(None, "a"), (1, None)], "item_id long, text string")))) == Counter(big)
+    assert of(decontaminate.contamination(docs, spark.createDataFrame([(None, "a"), (1, None)], "item_id long, text string"))) == Counter(big)
