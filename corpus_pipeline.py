@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the llm operators; each stage works on all that the one before it kept."""
+"""A corpus pipeline of five of the llm operators; each stage works on all that the one before it kept.
+
+Defined cases: an empty table, or a stage that keeps nothing, gives no row; rows without an id or with a repeated one
+are documents like any other; equal rows are one document after the third stage; texts of any length are
+worked on whole; extra columns pass all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, language_id, packing, quality, simhash
-from plenum.storage import scratch, table
+from plenum.storage import free_names, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: documents in no known language (no letter, or no text) go."""
     train, _ = language_id.training_rows(docs)
-    found = language_id.identify(docs, language_id.fit(train))
-    return docs.withColumn("_lang", found["lang_pred"]).filter(F.col("_lang") != language_id.UNKNOWN).select(docs.columns)
+    return docs.filter(language_id.identify(docs, language_id.fit(train))["lang_pred"] != language_id.UNKNOWN)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +26,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-deduplication: the document with the smallest id of each component stays. Rows without an id stand for no document and go."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    """SimHash near-deduplication: one row of each component stays, that of the least id; a row without an id stays if no row of its component has one. Repeated ids of different texts are different documents."""
+    return simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with an item's window go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("_hit", found["contaminated"]).filter(~F.col("_hit")).select(docs.columns)
+    (found,) = free_names(docs, "found")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), found).filter(~F.col(found)["contaminated"]).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
