@@ -1,15 +1,18 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the presence of words and word beginnings. In labelled sentences identity terms are
-swapped for others of their kind, and the squared change of the score is penalised: a group's mention
-alone does not move the score.
+swapped for others of their kind and for none at all, and the squared changes of the score are penalised: neither
+which group is mentioned nor that one is moves the score. (Swaps among groups alone would leave a score that rises with any of them.) Sentences without such a term have no swap, and the penalty does not act on
+them; the model says how many it acted on.
 
 It is fitted on at most about TRAIN_DOCS labelled rows (the documented bound): features are counted and
 chosen in Spark, and the driver gets one sparse row of chosen features for each. Every text is scored whole.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; without labelled
 rows, or with one label only, every score is the share of that label (0 without any); rows are scored as
-often as they occur.
+often as they occur; equal texts have equal scores, however often and on whatever worker; a score of just 0.7
+is predicted toxic; a text of any length is a set of words; extra columns play no part; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -58,13 +61,13 @@ def words_of(text: str | None) -> set[str]:
 
 
 class Model:
-    """Weights by feature, and the bias."""
+    """Weights by feature, and the bias; the rows it was fitted on, and those of them that a swap changed."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self._words = weights, bias, {}
+    def __init__(self, weights: dict[str, float], bias: float, rows: int = 0, swapped_rows: int = 0):
+        self.weights, self.bias, self.rows, self.swapped_rows, self._words = weights, bias, rows, swapped_rows, {}
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "_words": {}}
+        return self.__dict__ | {"_words": {}}
 
     def _known(self, word: str) -> tuple[str, ...]:
         if len(self._words) >= CACHE_WORDS:
@@ -84,27 +87,43 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _logistic(rows: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, size: int, strength: float) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss plus the penalties, by Adam over all rows."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, int)
-    # What a swap changes: features that go (1) and that come (-1).
-    gone = [np.setdiff1d(a, b) for a, b in zip(rows, swapped, strict=True)]
-    come = [np.setdiff1d(b, a) for a, b in zip(rows, swapped, strict=True)]
-    diff_at = np.concatenate([np.repeat(np.arange(len(rows)), [len(r) for r in part]) for part in (gone, come)]).astype(int)
-    diff_col = np.concatenate([*gone, *come]).astype(int)
-    sign = np.concatenate([np.ones(sum(map(len, gone))), -np.ones(sum(map(len, come)))])
-    changed = max(1, len(np.unique(diff_at)))
-    weight = np.where(y > 0, min(5.0, (len(y) - y.sum()) / max(1, y.sum())), 1.0)
-    weight /= weight.sum()
-    w, b = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+class Objective:
+    """Log loss, weighted so that both labels count, plus SHRINK times the squared weights, plus strength times the mean squared change of the score's logit under a swap."""
+
+    def __init__(self, rows: list[np.ndarray], swaps: list[list[np.ndarray]], y: np.ndarray, size: int, strength: float):
+        """swaps: lists of as many rows, after each way to swap."""
+        self.n, self.y, self.size, self.strength = len(rows), y, size, strength
+        pairs = [(a, b) for swapped in swaps for a, b in zip(rows, swapped, strict=True)]
+        self.at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(int) if rows else np.zeros(0, int)
+        # What a swap changes: features that go (1) and that come (-1).
+        gone = [np.setdiff1d(a, b) for a, b in pairs]
+        come = [np.setdiff1d(b, a) for a, b in pairs]
+        self.diff_at = np.concatenate([np.repeat(np.arange(len(pairs)), [len(r) for r in part]) for part in (gone, come)]).astype(int)
+        self.diff_col = np.concatenate([*gone, *come]).astype(int)
+        self.sign = np.concatenate([np.ones(sum(map(len, gone))), -np.ones(sum(map(len, come)))])
+        self.pairs, self.changed = len(pairs), len(np.unique(self.diff_at))
+        self.changed_rows = len(np.unique(self.diff_at % max(1, len(rows))))
+        weight = np.where(y > 0, min(5.0, (len(y) - y.sum()) / max(1, y.sum())), 1.0)
+        self.weight = weight / weight.sum()
+
+    def __call__(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """The loss and its gradient by weights and bias."""
+        z = np.clip(b + np.bincount(self.at, w[self.col], self.n), -500, 500)
+        change = np.bincount(self.diff_at, self.sign * w[self.diff_col], self.pairs)
+        share = self.strength / max(1, self.changed)
+        loss = self.weight @ (np.logaddexp(0, z) - self.y * z) + SHRINK * w @ w + share * change @ change
+        e = self.weight * (1 / (1 + np.exp(-z)) - self.y)
+        g = np.bincount(self.col, e[self.at], self.size) + 2 * SHRINK * w + 2 * share * np.bincount(self.diff_col, self.sign * change[self.diff_at], self.size)
+        return float(loss), g, float(e.sum())
+
+
+def minimise(objective: Objective) -> tuple[np.ndarray, float]:
+    """Weights and bias, by Adam over all rows."""
+    w, b = np.zeros(objective.size), 0.0
+    m, v, mb, vb = np.zeros(objective.size), np.zeros(objective.size), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = b + np.bincount(at, w[col], len(rows))
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        change = np.bincount(diff_at, sign * w[diff_col], len(rows))
-        g = np.bincount(col, e[at], size) + 2 * SHRINK * w + strength * 2 / changed * np.bincount(diff_col, sign * change[diff_at], size)
-        gb = e.sum()
+        _, g, gb = objective(w, b)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c, d, rate = 1 - 0.9**t, 1 - 0.999**t, 0.1 / (1 + 0.01 * t)
         w -= rate * (m / c) / (np.sqrt(v / d) + 1e-9)
@@ -148,12 +167,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, counte
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = [words_of(t) for t in batch["text"]]
-            yield pd.DataFrame({"x": [row(w) for w in words], "swapped": [row({SWAP.get(a, a) for a in w}) for w in words], "label": batch["label"]})
+            other, none = [row({SWAP.get(a, a) for a in w}) for w in words], [row(w - SWAP.keys()) for w in words]
+            yield pd.DataFrame({"x": [row(w) for w in words], "other": other, "none": none, "label": batch["label"]})
 
-    rows = sample.mapInPandas(sparse, "x array<int>, swapped array<int>, label int").collect()
+    rows = sample.mapInPandas(sparse, "x array<int>, other array<int>, none array<int>, label int").collect()
     rows.sort(key=lambda r: (r["label"], r["x"]))
-    w, b = _logistic([np.array(r["x"], int) for r in rows], [np.array(r["swapped"], int) for r in rows], np.array([r["label"] for r in rows], float), len(names), counterfactual)
-    return Model({f: float(w[k]) for k, f in enumerate(names) if w[k]}, float(b))
+    x, other, none = ([np.array(r[c], int) for r in rows] for c in ("x", "other", "none"))
+    objective = Objective(x, [other, none], np.array([r["label"] for r in rows], float), len(names), counterfactual)
+    w, b = minimise(objective)
+    return Model({f: float(w[k]) for k, f in enumerate(names) if w[k]}, float(b), len(rows), objective.changed_rows)
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

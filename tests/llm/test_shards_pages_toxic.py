@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from plenum.llm import html_extract, sharding, toxicity
@@ -238,6 +239,50 @@ def test_swapped_identities_have_near_scores(spark):
     assert fair.score("kara vileword muslim") > 0.7
 
 
+def test_neutral_mentions_are_not_toxic(spark):
+    """False positives on held-out rows without a vile word that mention a group which toxic rows mention most."""
+    rng = random.Random(6)
+    # A third of the toxic rows have a vile word that no other row has: there the mention alone tells.
+    odd = lambda t, k: t.replace("vileword", f"q{k}z").replace("grumpf", f"q{k}z") if k % 3 == 0 else t
+    rows = [(k, odd(t, k) + (" muslim" if label or rng.random() < 0.02 else ""), label) for k, t, label in labelled(2000, 8)]
+    train = spark.createDataFrame(rows, "id long, text string, label int")
+    neutral = [t + " muslim" for _, t, label in labelled(600, 9) if not label]
+    share = lambda m: sum(m.score(t) >= 0.7 for t in neutral) / len(neutral)
+    fair, plain = fitted(train), fitted(train, counterfactual=0.0)
+    assert share(fair) <= 0.01 < 0.2 < share(plain)
+    assert fair.rows == plain.rows == len(rows) and fair.swapped_rows == sum("muslim" in t for _, t, _ in rows)
+
+
+def test_gradient_is_that_of_the_loss():
+    """Against finite differences, and the loss against a sum over rows."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(30)]
+    swapped = [np.unique((r + 1) % 12) if k % 3 == 0 else r for k, r in enumerate(rows)]
+    y = (rng.random(30) < 0.3).astype(float)
+    without = [r[1:] if k % 5 == 0 else r for k, r in enumerate(rows)]
+    f = toxicity.Objective(rows, [swapped, without], y, 12, 2.5)
+    w, b = rng.normal(size=12), 0.3
+    loss, g, gb = f(w, b)
+    for k in range(12):
+        step = np.eye(12)[k] * 1e-6
+        assert (f(w + step, b)[0] - f(w - step, b)[0]) / 2e-6 == pytest.approx(g[k], abs=1e-6)
+    assert (f(w, b + 1e-6)[0] - f(w, b - 1e-6)[0]) / 2e-6 == pytest.approx(gb, abs=1e-6)
+    weight = [min(5.0, (30 - y.sum()) / y.sum()) if t else 1.0 for t in y]
+    z = [b + w[r].sum() for r in rows]
+    pairs = [*zip(rows, swapped, strict=True), *zip(rows, without, strict=True)]
+    change = [w[r].sum() - w[s].sum() for r, s in pairs]
+    moved = sum(not np.array_equal(r, s) for r, s in pairs)
+    want = sum(a * (np.log1p(np.exp(x)) - t * x) for a, x, t in zip(weight, z, y, strict=True)) / sum(weight) + toxicity.SHRINK * (w**2).sum() + 2.5 * sum(c * c for c in change) / moved
+    assert loss == pytest.approx(want)
+
+
+def test_a_score_of_the_limit_is_toxic_and_a_long_text_is_scored_whole(spark):
+    model = toxicity.Model({"=vile": 3.0}, float(np.log(0.7 / 0.3)) - 3.0)
+    df = spark.createDataFrame([(1, "vile", "a"), (2, "fine " * 300_000 + "vile", "b"), (3, "fine", "c")], "doc_id long, text string, score string")
+    got = {r[0]: r[1] for r in df.select("doc_id", toxicity.toxicity(df, model)).collect()}
+    assert got[1] == got[2] == pytest.approx(0.7) and got[3] < 0.2
+
+
 def test_odd_rows_have_scores(spark, docs, odd_rows, no_docs):
     model = fitted(spark.createDataFrame(labelled(300), "id long, text string, label int"))
     out = docs.select("doc_id", toxicity.toxicity(docs, model).alias("s")).collect()
