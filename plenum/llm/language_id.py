@@ -6,11 +6,16 @@ the weight of the number of distinct bytes of its context; no exclusions; order
 bytes). The statistics are frozen, so the code length of a text is a sum over table look-ups; the
 language with the shortest code wins.
 
-The trees are fitted on a sample of labelled rows of at most SAMPLE_DOCS whole texts a language (the
+The trees are kept as they were met: a row of costs for each string of bytes that some language has,
+and a row of escapes for each context, found by hashing. A byte that no language has after its context
+takes the escapes and goes one order down. Room grows with what the sample holds, not with the alphabet.
+
+The trees are fitted on a sample of labelled rows of at most about SAMPLE_DOCS whole texts a language (the
 documented bound); every text is scored whole.
 
-Defined cases: a null text, or one without a letter, gets "und" and score 0; without labelled rows
-every text does; ties go to the first language by name; a row is scored as often as it occurs.
+Defined cases: a null text, or one without a letter, gets "und" and score 0; without labelled
+rows every text does; ties go to the first language by name; a row is scored as often as it occurs; a text
+of any length is scored in slices; an empty table gives no row; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -26,76 +31,130 @@ from pyspark.sql.functions import pandas_udf
 
 #: Labelled rows of each language that the model is fitted on.
 SAMPLE_DOCS = 400
-#: Bytes of the cost table; a fit that needs more is refused.
+#: Bytes of the cost tables, which every worker holds; a fit that needs more is refused.
 TABLE_LIMIT = 512 << 20
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
-#: Bytes that are scored at a time.
-SLICE = 1 << 19
+#: Costs (bytes times languages) that are looked up at a time.
+SLICE = 1 << 21
 #: Byte that stands before a text.
 START = 0
 
 
+class Rows:
+    """The numbers of 32-bit keys, by open addressing in a table that is at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = keys.astype(np.uint32)
+        todo, at = np.arange(len(keys)), self._home(self.keys)
+        while len(todo):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.slots[at[taken]] = todo[taken]
+            rest = np.ones(len(todo), bool)
+            rest[taken] = False
+            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435761)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 for those that are not there."""
+        at = self._home(keys)
+        out = self.slots[at]
+        todo = np.flatnonzero(out >= 0)
+        todo = todo[self.keys[out[todo]] != keys[todo]]
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            own = self.slots[at]
+            out[todo] = own
+            rest = np.flatnonzero(own >= 0)
+            rest = rest[self.keys[own[rest]] != keys[todo[rest]]]
+            todo, at = todo[rest], at[rest]
+        return out
+
+
 class ContextTrees:
-    """Costs in bits of every (context, byte) for each language, as a table of rows."""
+    """Costs in bits of bytes after contexts, a column for each language.
+
+    cost[k]: of the strings of k + 1 bytes that some language has; escape[k]: of the contexts of k bytes, 0 where a
+    language has not met one. Orders 0 and 1 are whole tables; rows[k] finds the others, and contexts finds those of order 3.
+    """
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, size: int, base: np.ndarray, cost: np.ndarray):
-        self.languages, self.symbol, self.size, self.base, self.cost = languages, symbol, size, base, cost
+    def __init__(self, languages: list[str], cost: list[np.ndarray], escape: list[np.ndarray], rows: dict[int, Rows], contexts: Rows | None):
+        self.languages, self.cost, self.escape, self.rows, self.contexts = languages, cost, escape, rows, contexts
 
     @classmethod
     def of(cls, counts: pd.DataFrame) -> ContextTrees:
         """counts: lang, gram (four bytes as an integer, the first highest) and n."""
         languages = sorted(counts["lang"].unique())
-        gram = counts["gram"].to_numpy(np.int64)
-        parts = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)])
-        present = np.union1d(np.unique(parts[3]), [START])
-        size = len(present) + 1  # the last symbol stands for bytes that were not met
-        symbol = np.full(256, size - 1, np.int64)
-        symbol[present] = np.arange(len(present))
-        a, b, c, s = symbol[parts]
+        if not languages:
+            return cls([], [], [], {}, None)
+        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(float)
         which = np.searchsorted(languages, counts["lang"].to_numpy())
-        n = counts["n"].to_numpy(float)
-        known = np.unique((a * size + b) * size + c)
-        total_rows = size**3 + len(known) * size
-        if total_rows * len(languages) * 4 > TABLE_LIMIT:
-            raise ValueError(f"the cost table would take {total_rows * len(languages) * 4} bytes; lower SAMPLE_DOCS")
-        base = (np.arange(size**3) % size**2) * size
-        base[known] = size**3 + np.arange(len(known)) * size
-        cost = np.zeros((total_rows, len(languages)), np.float32)
-        for k in range(len(languages)):
-            own = which == k
-            below = np.full((1, size), 8.0)
-            for context, contexts, rows in (
-                (np.zeros(own.sum(), np.int64), 1, np.zeros(1, np.int64)),
-                (c[own], size, np.zeros(size, np.int64)),
-                ((b * size + c)[own], size**2, np.arange(size**2) % size),
-                (np.searchsorted(known, (a * size + b) * size + c)[own], len(known), known % size**2),
-            ):
-                seen = np.bincount(context * size + s[own], n[own], contexts * size).reshape(contexts, size)
-                total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+        strings = {k: np.unique(gram & ((1 << 8 * (k + 1)) - 1)) for k in (2, 3)}
+        of_context = {3: np.unique(gram >> 8)}
+        strings |= {0: np.arange(1 << 8), 1: np.arange(1 << 16)}
+        of_context |= {0: np.zeros(1, np.int64), 1: np.arange(1 << 8), 2: np.arange(1 << 16)}
+        size = sum(map(len, strings.values())) + sum(map(len, of_context.values()))
+        if size * len(languages) * 4 > TABLE_LIMIT:
+            raise ValueError(f"the cost tables would take {size * len(languages) * 4} bytes; lower sample_docs or raise TABLE_LIMIT")
+        cost = [np.zeros((len(strings[k]), len(languages)), np.float32) for k in range(4)]
+        escape = [np.zeros((len(of_context[k]), len(languages)), np.float32) for k in range(4)]
+        for j in range(len(languages)):
+            own, m = gram[which == j], n[which == j]
+            below = np.full(1, 8.0)
+            for k in range(4):
+                s = strings[k]
+                seen = np.bincount(np.searchsorted(s, own & ((1 << 8 * (k + 1)) - 1)), m, len(s))
+                context = np.searchsorted(of_context[k], s >> 8)
+                total = np.bincount(context, seen, len(of_context[k]))
+                distinct = np.bincount(context, seen > 0, len(of_context[k]))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-                    level = np.where(seen > 0, -np.log2(seen / (total + distinct)), escape + below[rows])
-                if contexts == size**2:
-                    cost[: size**3, k] = level.ravel()
+                    out = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+                    shorter = np.searchsorted(strings[k - 1], s & ((1 << 8 * k) - 1)) if k else np.zeros(len(s), np.int64)
+                    level = np.where(seen > 0, -np.log2(seen / (total + distinct)[context]), out[context] + below[shorter])
+                cost[k][:, j], escape[k][:, j] = level, out
                 below = level
-            cost[size**3 :, k] = below.ravel()
-        cost[np.arange(total_rows) % size == symbol[START]] = 0  # the start is not coded
-        return cls(languages, symbol, size, base, cost)
+        return cls(languages, cost, escape, {k: Rows(strings[k]) for k in (2, 3)}, Rows(of_context[3]))
+
+    def _costs(self, gram: np.ndarray, order: int = 3) -> np.ndarray:
+        """A row for each string of four bytes, of which the last order bytes before the last are looked at."""
+        string = gram & np.uint32((1 << 8 * (order + 1)) - 1)
+        if order < 2:
+            return self.cost[order][string]
+        row = self.rows[order].find(string)
+        out = self.cost[order][row]
+        rest = np.flatnonzero(row < 0)
+        if len(rest):
+            context = string[rest] >> np.uint32(8)
+            out[rest] = self._costs(gram[rest], order - 1)
+            if order == 3:
+                at = self.contexts.find(context)
+                known = at >= 0
+                out[rest[known]] += self.escape[3][at[known]]
+            else:
+                out[rest] += self.escape[order][context]
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
         joined = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts) or b"\0\0\0", np.uint8)
         starts = np.cumsum([0] + [len(t) + 3 for t in texts[:-1]])
         out = np.zeros((len(texts), len(self.languages)))
-        for lo in range(3, len(joined), SLICE):
-            hi = min(len(joined), lo + SLICE)
-            sym = self.symbol[joined[lo - 3 : hi]]
-            rows = self.base[(sym[:-3] * self.size + sym[1:-2]) * self.size + sym[2:-1]] + sym[3:]
+        step = max(4, SLICE // len(self.languages))
+        for lo in range(3, len(joined), step):
+            hi = min(len(joined), lo + step)
+            s = joined[lo - 3 : hi].astype(np.uint32)
+            cost = self._costs(s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:])
+            cost[s[3:] == START] = 0  # the start is not coded
             first = int(np.searchsorted(starts, lo, "right")) - 1
             last = int(np.searchsorted(starts, hi, "left"))
-            cuts = np.maximum(starts[first:last] - lo, 0)
-            out[first:last] += np.add.reduceat(self.cost[rows], cuts, axis=0, dtype=np.float64)
+            out[first:last] += np.add.reduceat(cost, np.maximum(starts[first:last] - lo, 0), axis=0, dtype=np.float64)
         return out
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
@@ -104,7 +163,7 @@ class ContextTrees:
         at = 0
         while self.languages and at < len(rows):
             chunk, size = [], 0
-            while at < len(rows) and (not chunk or size < SLICE):
+            while at < len(rows) and (not chunk or size < SLICE // len(self.languages)):
                 chunk.append(prepared(texts[rows[at]]))
                 size += len(chunk[-1])
                 at += 1
@@ -135,7 +194,7 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
     # A row for each language: the label set bounds it.
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
-        return ContextTrees([], np.zeros(256, np.int64), 1, np.zeros(1, np.int64), np.zeros((1, 0), np.float32))
+        return ContextTrees([], [], [], {}, None)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 32)) / F.lit(float(1 << 32))
     sample = train.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")

@@ -74,6 +74,25 @@ def test_code_lengths_are_those_of_the_trees(spark):
         language_id.SLICE = language_id_slice
 
 
+def test_rows_are_found_by_their_keys():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))
+    rows = language_id.Rows(keys)
+    assert rows.find(keys).tolist() == list(range(len(keys)))
+    other = np.setdiff1d(rng.integers(0, 2**32, 5000, dtype=np.uint32), keys)
+    assert (rows.find(other) == -1).all() and len(rows.find(keys[:0])) == 0
+    assert language_id.Rows(keys[:0]).find(keys[:3]).tolist() == [-1] * 3
+
+
+def test_room_grows_with_the_sample_and_not_with_the_alphabet(spark):
+    """Forty languages, each of its own script, whose table over all bytes and contexts would not fit."""
+    rng = random.Random(3)
+    texts = {f"l{k:02}": "".join(chr(0x4E00 + 97 * k + rng.randrange(60)) + " " * (rng.random() < 0.2) for _ in range(800)) for k in range(40)}
+    model = language_id.fit(spark.createDataFrame([(n, t, k) for n, (k, t) in enumerate(texts.items())], "id long, text string, lang string"))
+    assert model.predict([t[100:160] for t in texts.values()])["lang_pred"].tolist() == list(texts)
+    assert sum(x.nbytes for x in (*model.cost, *model.escape)) < 64 << 20
+
+
 def base(text):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     t = text or ""
