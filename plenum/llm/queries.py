@@ -14,7 +14,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_tree(table(spark, sf_dir, "documents"), shards=8)
+    return sharding.shard_to_target(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

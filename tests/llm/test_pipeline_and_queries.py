@@ -162,6 +162,6 @@ def test_rows_without_ids_leave_large_ids_whole(spark):
     path = scratch(spark, "test")
     token_files.write_token_files(docs, path)
     assert of(token_files.read_token_files(spark, path)) == of(packing.best_fit_packing(docs)) == of(simhash.near_duplicates(docs)) == Counter(big)
-    assert of(sharding.shard_by_tree(docs.selectExpr("*", "'en' as lang", "null as source"))) == of(quality.quality_rules(docs.selectExpr("*", "null as source"))) == Counter(big)
+    assert of(sharding.shard_to_target(docs.selectExpr("*", "'en' as lang", "null as source"), shards=8)) == of(quality.quality_rules(docs.selectExpr("*", "null as source"))) == Counter(big)
     assert of(html_extract.extract(docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")), "page_id") == Counter(big)
     assert of(decontaminate.contamination(docs, spark.createDataFrame([(None, "a"), (1, None)], "item_id long, text string"))) == Counter(big)

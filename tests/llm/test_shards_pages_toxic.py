@@ -46,7 +46,7 @@ def test_tree_is_the_one_of_sorted_rows(spark, monkeypatch):
 
 def test_shards(docs, odd_rows, no_docs, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 5)
-    got = sharding.shard_by_tree(docs).collect()
+    got = sharding.shard_to_target(docs, shards=8).collect()
     raw = lambda t: (t or "").encode()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((k, len(raw(t)) + 1, zlib.crc32(raw(t))) for k, t, _, _ in odd_rows)
     slots = defaultdict(list)
@@ -54,13 +54,13 @@ def test_shards(docs, odd_rows, no_docs, monkeypatch):
         assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] <= 7
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.shard_by_tree(no_docs).count() == 0
+    assert sharding.shard_to_target(no_docs, shards=8).count() == 0
     assert [sharding.shards_for(n, 10) for n in (0, 10, 11, 40, 41)] == [1, 1, 2, 4, 8]
 
 
 def test_shards_are_near_equal_though_one_value_holds_a_third(spark):
     rows = [(k, "x" * (50 + k % 90), "en", "hot" if k % 3 == 0 else f"s{k % 20}") for k in range(3000)]
-    got = sharding.shard_by_tree(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("shard").agg({"size": "sum"}).collect()
+    got = sharding.shard_to_target(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=8).groupBy("shard").agg({"size": "sum"}).collect()
     sizes = [r[1] for r in got]
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 2 * 140
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -68,6 +68,14 @@ def test_shards_are_near_equal_though_one_value_holds_a_third(spark):
     assert len(leaves) == 16 and max(r[1] for r in leaves) <= 20_000 + 140
 
 
+def test_values_are_ranked_in_ranges(spark, monkeypatch):
+    values = spark.createDataFrame([(f"v{k * 7 % 997:04}",) for k in range(997)], "c string").repartition(3)
+    want = {f"v{k:04}": k for k in range(997)}
+    for most in (sharding.RANKED, 10):
+        monkeypatch.setattr(sharding, "RANKED", most)
+        assert {r["c"]: r["_rank"] for r in sharding.ranks(values, "c").collect()} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><style>p{{}}</style><script>var t="</p><article>no</article>";</script></head><body class="home">
 <header><h1>Site name</h1></header><nav><ul><li><a href="/a">Home</a></li>{nav}</ul></nav><div class="cookie-notice">We use cookies</div><!-- c {n} --><div class="ad">Buy {n}</div>
 {body}<aside><p>Related {n}</p></aside><form><input name="q"><button>Search</button></form><section id="comments"><p>Reader says {n}</p></section><footer>&copy; Site {n}</footer></body></html>"""
