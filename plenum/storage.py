@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,10 +13,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; where it names none (tests), a temporary one that is then set."""
+    """The folder that the cluster names. Where none is named, a temporary one is set, but only if driver and executors are one process."""
     named = spark.conf.get(SETTING, None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="plenum-checkpoints-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} names no folder, and executors do not see one of the driver")
+        own = tempfile.mkdtemp(prefix="plenum-checkpoints-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set(SETTING, named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -32,6 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a path of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,12 +63,3 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 def partitions(spark: SparkSession) -> int:
     """Partitions that a shuffle of the session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def literals(spark: SparkSession, rows: list[tuple[int, ...]], schema: list[tuple[str, str]]) -> DataFrame:
-    """A small table of numbers that the planner holds itself: no task reads it from Python. schema: names and SQL types."""
-    values = ", ".join("(" + ", ".join(f"CAST('{x}' AS {kind})" for x, (_, kind) in zip(row, schema, strict=True)) + ")" for row in rows)
-    names = ", ".join(name for name, _ in schema)
-    if not rows:
-        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in schema) + " WHERE false")
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
