@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, language_id, packing, quality, simhash
-from plenum.storage import free_names, scratch, table
+from plenum.storage import discard, free_names, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents, each written and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages on documents, each written and read again for the next; what a stage has read goes when it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     root = scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{root}/{k}-{name}")
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
