@@ -30,6 +30,11 @@ def url_or_composite_id(url: Column, case: Column, source: Column, uid: list[Col
     return F.coalesce(truthy(strip(url)), F.concat_ws("_", case, F.coalesce(source, F.lit("?")), own))
 
 
+def post_or_comment_id(case: Column, source: Column, post: Column, comment: Column) -> Column:
+    """case_source_id from a post's or else a comment's id: not one for each record, as others have neither."""
+    return F.concat_ws("_", case, source, F.coalesce(first_present(post, comment), F.lit("None")))
+
+
 def vote_record_id(pr: Column, kind: Column, uid: Column) -> Column:
     return F.concat_ws("|", F.lit("gitvote"), F.concat(F.lit("pr"), pr.cast("string")), kind, uid.cast("string"))
 

@@ -33,3 +33,8 @@ def node_size(count: Column, base: int = 8, per: int = 5, most: int = 60) -> Col
 
 def edge_width(weight: Column) -> Column:
     return F.greatest(F.lit(1.0), F.least(F.lit(8.0), 1 + F.log2(weight + 1)))
+
+
+def share_width(weight: Column, most: Column) -> Column:
+    """Width by the weight's logarithm as a share of the greatest weight's."""
+    return F.greatest(F.lit(1.5), F.least(F.lit(12.0), 1.5 + 10.5 * F.log2(weight + 1) / F.log2(most + 1)))

@@ -80,6 +80,24 @@ def pending(records: DataFrame, id_col: str, done: DataFrame | None, retry_faile
     return records.join(ok.select(F.col("record_id").alias("_done")), F.col(id_col).cast("string") == F.col("_done"), "left_anti")
 
 
+def first(records: DataFrame, pos: str, n: int) -> DataFrame:
+    """The first n records in the order of ingest: what a run with a limit takes."""
+    return records.orderBy(pos).limit(n)
+
+
+def stratified_sample(records: DataFrame, stratum: str, sizes: dict[str, int], key: str, seed: int = 42) -> DataFrame:
+    """Rows drawn without replacement, as many of each stratum as sizes says or as there are, in the order of a seeded hash of the key. Strata without a size give none."""
+    draw = F.struct(F.xxhash64(key, F.lit(seed)), F.col(key))
+    size = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col(stratum))
+    # The smallest hashes of a stratum are found map side, so that no task sorts a whole stratum.
+    kept = records.filter(F.col(stratum).isin(list(sizes))).select(F.col(stratum).alias("_stratum"), draw.alias("_draw"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("_stratum").orderBy("_draw")
+    least = kept.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(sizes.values())).withColumnRenamed("_stratum", stratum).filter(F.col("_rn") <= size)
+    return records.join(F.broadcast(least.select(F.col("_draw")[key].alias(key))), key, "left_semi")  # as many rows as the sizes add up to
+
+
 def run_stage(spark: SparkSession, records: DataFrame, id_col: str, text_col: str, path: str, model: Model = rule_model) -> DataFrame:
     """Annotate what the table at path lacks and append it there; the newest row of each record counts."""
     try:

@@ -65,7 +65,10 @@ def map_text(m: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), "; ")
 
 
-def role(total: Column, n: dict[str, Column]) -> Column:
-    """A label by the shares of activity, first rule that holds; for tables whose records carry only an event type."""
-    share = {k: c / F.nullif(total, F.lit(0)) for k, c in n.items()}
-    return F.when(share["purchase"] >= 0.25, "driver").when(share["error"] >= 0.25, "critic").when(share["signup"] >= 0.22, "recruiter").when(total >= 70, "regular").otherwise("participant")
+def lookup(profiles: DataFrame, key: str, handles: list[str], entries: DataFrame) -> DataFrame:
+    """profiles with the entry (of best_entry) that their handles find first, in the order given and any case; found_by is the handle's place, from 1."""
+    each = profiles.select(key, F.posexplode(F.array(*[F.lower(F.col(h).cast("string")) for h in handles])).alias("_k", "_handle")).filter("_handle <> ''")
+    e = entries.select("_handle", F.struct(*[c for c in entries.columns if c != "_handle"]).alias("_entry"))
+    first = each.join(e, "_handle").groupBy(key).agg(F.min_by("_entry", "_k").alias("_entry"), (F.min("_k") + 1).cast("int").alias("found_by"))
+    out = profiles.join(first, key, "left")
+    return out.select(*profiles.columns, *[F.col(f"_entry.{c}").alias(c) for c in entries.columns if c not in ("_handle", *profiles.columns)], "found_by")

@@ -136,6 +136,18 @@ def vote_results(records: DataFrame, bot: str = VOTE_BOT) -> DataFrame:
     )
 
 
+def voting_stats(records: DataFrame, by: str, merge_bot: str) -> DataFrame:
+    """For each value of by: approvals by people and by the merge bot, commands to vote and to cancel, the bots' messages, the threads voted on and those who took part."""
+    t, bot, merger = F.coalesce("text", F.lit("")), contains_name(F.col("author"), "bot"), contains_name(F.col("author"), merge_bot)
+    approved = (F.col("source") == "github_review") & (F.col("state") == "APPROVED") & ~merger
+    command = t.contains("/vote") & ~bot
+    return records.groupBy(by).agg(
+        F.count_if(approved).alias("human_approvals"), F.count_distinct(F.when(approved, F.col("author"))).alias("approvers"), F.count_if((F.col("source") == "github_review") & merger).alias("bot_auto_merges"),
+        F.count_if(command).alias("vote_commands"), F.count_if(t.contains("/cancel-vote") & ~bot).alias("cancel_commands"), F.count_if(bot).alias("bot_messages"),
+        F.count_distinct(F.when(command, F.col("pr_number"))).alias("voted_threads"), F.count_distinct(F.when(F.col("pr_number").isNotNull() & ~bot, F.col("author"))).alias("participants"),
+    )
+
+
 def substantive(records: DataFrame, bots: list[str], least: int = 30, shown: int = 600) -> DataFrame:
     """author, date, type and the beginning of the text of comments by people."""
     t = F.coalesce("text", F.lit(""))
@@ -152,6 +164,36 @@ def coverage(raw: DataFrame, annotated: DataFrame, key: str = "record_id") -> Da
     return j.agg(n.alias("n"), ok.alias("ok"), failed.alias("failed"), missing.alias("missing"), F.when(missing > 0, "FAIL").when(failed > 0, "WARN").otherwise("PASS").alias("verdict"))
 
 
+def coverage_by(raw: DataFrame, annotated: DataFrame, by: str, key: str, eligible: Column) -> DataFrame:
+    """For each value of by: all and eligible records, those annotated, failed and missing among the eligible ones, and the verdict."""
+    a = annotated.groupBy(F.col(key).alias("_key")).agg(F.max(F.col("annotation_error").isNull().cast("int")).alias("_ok"))
+    j = raw.withColumn("_eligible", F.coalesce(eligible, F.lit(False))).join(a, F.col(key) == F.col("_key"), "left")
+    ok, failed, missing = (F.count_if(F.col("_eligible") & c) for c in (F.col("_ok") == 1, F.col("_ok") == 0, F.col("_ok").isNull()))
+    return j.groupBy(by).agg(F.count("*").alias("n"), F.count_if("_eligible").alias("eligible"), ok.alias("ok"), failed.alias("failed"), missing.alias("missing"), F.when(missing > 0, "FAIL").when(failed > 0, "WARN").otherwise("PASS").alias("verdict"))
+
+
+def coverage_by_author(raw: DataFrame, annotated: DataFrame, by: str) -> DataFrame:
+    """For each value of by: records, and those annotated, failed and missing, where records of one author and date are the same and the first annotated one counts."""
+    a = annotated.groupBy("author", "date").agg(F.min_by(F.col("annotation_error").isNull(), "_pos").alias("_ok"))
+    j = raw.join(a, ["author", "date"], "left")
+    return j.groupBy(by).agg(F.count("*").alias("n"), F.count_if("_ok").alias("ok"), F.count_if(~F.col("_ok")).alias("failed"), F.count_if(F.col("_ok").isNull()).alias("missing"))
+
+
+def error_summary(annotated: DataFrame, by: str, short: str = "text_too_short") -> DataFrame:
+    """by, outcome (ok, short or failed), error_type (what stands before the colon) and n."""
+    e = F.col("annotation_error")
+    outcome = F.when(e.isNull(), "ok").when(e == short, "short").otherwise("failed")
+    return annotated.groupBy(by, outcome.alias("outcome"), F.when(outcome == "failed", strip(F.get(F.split(e, ":"), 0))).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+def spot_checks(profiles: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """canonical, expected, institution_final and outcome (OK, MISMATCH or MISSING) of known authors."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("canonical"), F.lit(v).alias("expected")) for k, v in expected.items()]))
+    wanted = profiles.sparkSession.range(1).select(pairs.alias("p")).select("p.*")
+    j = wanted.join(profiles.select("canonical", "institution_final"), "canonical", "left")
+    return j.withColumn("outcome", F.when(F.col("institution_final").isNull(), "MISSING").when(F.col("institution_final") == F.col("expected"), "OK").otherwise("MISMATCH"))
+
+
 def require_coverage(report: DataFrame) -> None:
     """Raises unless the one-row report says PASS or WARN."""
     r = report.first()

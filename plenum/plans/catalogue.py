@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from plenum.plans import joins, networks, shares, texts, times  # noqa: F401  they enter their queries
+from plenum.plans import joins, networks, records, shares, texts, times  # noqa: F401  they enter their queries
 from plenum.plans.registry import ORACLES, QUERIES  # noqa: F401

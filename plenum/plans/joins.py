@@ -24,26 +24,6 @@ def union_filter_tag(spark, sf_dir):
     return d.unionByName(p).unionByName(c).filter(predicates.long_enough(F.col("text"), 20)).select("source", "record_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query(
-    """SELECT source, count(*) AS n, count(l.doc_id) AS ok, count(*) FILTER (l.doc_id IS NULL AND n_chars < 20) AS short, count(*) FILTER (l.doc_id IS NULL AND n_chars >= 20) AS missing,
-  round(CAST(count(l.doc_id) AS DOUBLE) / count(*), 6) AS coverage, CASE WHEN count(l.doc_id) = count(*) THEN 'PASS' WHEN count(l.doc_id) >= 0.4 * count(*) THEN 'WARN' ELSE 'FAIL' END AS verdict
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1"""
-)
-def coverage_report(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("has"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(labels, "doc_id", "left")
-    ok = F.count("has")
-    return d.groupBy("source").agg(
-        F.count("*").alias("n"), ok.alias("ok"), F.count_if(F.expr("has is null and n_chars < 20")).alias("short"), F.count_if(F.expr("has is null and n_chars >= 20")).alias("missing"), F.round(ok / F.count("*"), 6).alias("coverage"),
-        F.when(ok == F.count("*"), "PASS").when(ok >= 0.4 * F.count("*"), "WARN").otherwise("FAIL").alias("verdict"),
-    )
-
-
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def resume_antijoin(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 @query(
     """SELECT o_orderpriority, count(*) AS n, o_orderpriority IN ('1-URGENT', '2-HIGH') AS kept, CASE o_orderpriority WHEN '1-URGENT' THEN 'first' WHEN '2-HIGH' THEN 'second' END AS description FROM orders GROUP BY 1"""
 )
@@ -83,39 +63,6 @@ def priority_merge(spark, sf_dir):
     return identity.best_entry(s.unionByName(c), "handle", "source", "confidence", "pos").select(F.col("_handle").alias("handle"), "institution", "source", "confidence")
 
 
-_ROLLUP = f"""WITH {EV}, t AS (SELECT actor, category, count(*) AS n, min(event_id) AS f FROM ev GROUP BY ALL),
-  m AS (SELECT actor, arg_max(category, n * 1e12 - f) AS top_category, CAST(sum(n) AS BIGINT) AS n_records, string_agg(category || ':' || n, '; ' ORDER BY category) AS categories FROM t GROUP BY 1),
-  h AS (SELECT actor, count(DISTINCT k) AS threads, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_day FROM ev GROUP BY 1)"""
-
-
-@query(_ROLLUP + " SELECT actor, n_records, threads, first_day, top_category, categories FROM m JOIN h USING (actor)")
-def author_rollup(spark, sf_dir):
-    """One row for each author: records, threads, first day, count map and majority category."""
-    e = discourse(spark, sf_dir)
-    base = e.groupBy("actor").agg(F.countDistinct("k").alias("threads"), F.to_date(F.min("ts")).cast("string").alias("first_day"))
-    said = identity.label_summary(e, "actor", "category", "event_id")
-    return base.join(said, "actor").select("actor", F.col("n").alias("n_records"), "threads", "first_day", F.col("top").alias("top_category"), identity.map_text(F.col("counts")).alias("categories"))
-
-
-@query(
-    f"""WITH {EV}, t AS (SELECT actor, count(*) AS n, count(*) FILTER (category = 'purchase') AS p, count(*) FILTER (category = 'error') AS e, count(*) FILTER (category = 'signup') AS s FROM ev GROUP BY 1)
-  SELECT actor, n, CASE WHEN CAST(p AS DOUBLE) / n >= 0.25 THEN 'driver' WHEN CAST(e AS DOUBLE) / n >= 0.25 THEN 'critic' WHEN CAST(s AS DOUBLE) / n >= 0.22 THEN 'recruiter' WHEN n >= 70 THEN 'regular' ELSE 'participant' END AS role FROM t"""
-)
-def role_inference(spark, sf_dir):
-    kinds = ["purchase", "error", "signup"]
-    t = discourse(spark, sf_dir).groupBy("actor").agg(F.count("*").alias("n"), *[F.count_if(F.col("category") == c).alias(c) for c in kinds])
-    return t.select("actor", "n", identity.role(F.col("n"), {c: F.col(c) for c in kinds}).alias("role"))
-
-
-@query(
-    f"""WITH {EV}, t AS (SELECT case_id, actor, count(*) AS n, count(DISTINCT k) AS threads FROM ev GROUP BY 1, 2)
-  SELECT * FROM t WHERE (case_id = 0 AND (n >= 60 OR threads >= 50)) OR (case_id = 1 AND n >= 70)"""
-)
-def core_contributors(spark, sf_dir):
-    t = discourse(spark, sf_dir).groupBy("case_id", "actor").agg(F.count("*").alias("n"), F.countDistinct("k").alias("threads"))
-    return t.filter("(case_id = 0 and (n >= 60 or threads >= 50)) or (case_id = 1 and n >= 70)")
-
-
 @query("SELECT l_suppkey AS actor, count(DISTINCT l_returnflag) AS cases, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0")
 def cross_overlap(spark, sf_dir):
     """Actors that are in both cases."""
@@ -170,21 +117,6 @@ def hit_rates(spark, sf_dir):
     return d.groupBy("source").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"), F.round(F.avg((F.col("n_chars") >= 20).cast("int")), 6).alias("eligible_rate"), F.count_if(F.expr("n_chars >= 20")).alias("eligible"))
 
 
-@query("SELECT source, least(count(*), 4) AS n FROM documents GROUP BY 1")
-def stratified_sample(spark, sf_dir):
-    """Sizes of a sample without replacement of four documents a stratum, in the order of a seeded hash."""
-    w = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id")
-    s = table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("rn", F.row_number().over(w)).filter("rn <= 4")
-    return s.groupBy("source").agg(F.count("*").alias("n"))
-
-
-@query("SELECT concat_ws('_', lang, source, doc_id) AS v1, CASE WHEN doc_id % 2 = 0 THEN 'u' || doc_id ELSE concat_ws('_', lang, source, doc_id) END AS v2, concat_ws('|', 'vote', 'd' || doc_id, source) AS v4, doc_id FROM documents")
-def ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("url", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("u"), F.col("doc_id"))))
-    v1 = F.concat_ws("_", "lang", "source", "doc_id")
-    return d.select(v1.alias("v1"), F.coalesce(predicates.truthy(F.col("url")), v1).alias("v2"), F.concat_ws("|", F.lit("vote"), F.concat(F.lit("d"), F.col("doc_id")), "source").alias("v4"), "doc_id")
-
-
 @query(
     """SELECT role, source_a, n FROM (SELECT role, role IN ('system') OR role LIKE '%[bot]' OR role LIKE '%-bot' AS source_a, count(*) AS n FROM conversations GROUP BY 1, 2)
   UNION ALL SELECT source, lower(source) LIKE '%src1%', count(*) FROM documents WHERE length(trim(text)) >= 30 AND NOT (text LIKE '/%' AND length(text) < 20) GROUP BY 1, 2"""

@@ -20,14 +20,6 @@ def institution_regex(spark, sf_dir):
     return d.filter("i is not null").select("doc_id", "i.institution", "i.source")
 
 
-@query("SELECT page_id, 'issue_' || regexp_extract(url, '/([0-9]+)', 1) AS thread, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages WHERE regexp_matches(url, '/([0-9]+)')")
-def url_thread_key(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    number = text.nullable_extract(F.col("url"), r"/(\d+)")
-    key = text.thread_key(F.lit(None), number, [])
-    return p.select("page_id", key.alias("thread"), text.nullable_extract(F.col("url"), "^https?://([^/]+)").alias("host")).filter("thread is not null")
-
-
 @query()
 def html_text(spark, sf_dir):
     """Text nodes of each page, with and without quotes."""
@@ -62,45 +54,6 @@ def text_clean(spark, sf_dir):
     return d.select("doc_id", text.strip_markdown(F.col("text")).alias("plain"), F.substring("text", 1, 300).alias("shown"), text.first_url(F.col("text")).alias("url"), made.alias("made_url"))
 
 
-PALETTE = [("Brand#1", "red"), ("Brand#2", "green"), ("Brand#3", "blue")]
-
-
-@query(
-    """SELECT p_partkey, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'red' WHEN p_brand LIKE 'Brand#2%' THEN 'green' WHEN p_brand LIKE 'Brand#3%' THEN 'blue' ELSE 'grey' END AS colour, substr(p_type, 1, 12) AS label,
-  CAST(greatest(10, least(60, 8 + p_size // 5)) AS INTEGER) AS size, round(greatest(1, least(8, 1 + log2(p_size + 1))), 6) AS width FROM part"""
-)
-def label_rules(spark, sf_dir):
-    """Colour by the first palette entry that the name has, short label, node size and edge width."""
-    colour = F.lit("grey")
-    for name, c in reversed(PALETTE):
-        colour = F.when(F.col("p_brand").contains(name), c).otherwise(colour)
-    return table(spark, sf_dir, "part").select("p_partkey", colour.alias("colour"), F.substring("p_type", 1, 12).alias("label"), numbers.node_size(F.col("p_size")).alias("size"), F.round(numbers.edge_width(F.col("p_size")), 6).alias("width"))
-
-
-@query(
-    """SELECT source, count(*) AS records, count(*) FILTER (lower(text) LIKE '%license%') AS with_command, count(*) FILTER (lower(text) LIKE '%cancel%') AS cancelled, count(DISTINCT lang) FILTER (lower(text) LIKE '%license%') AS languages FROM documents GROUP BY 1"""
-)
-def voting_stats(spark, sf_dir):
-    """Records with a command in their text, by source; cancellation is tested for itself."""
-    has = lambda w: F.coalesce(F.lower("text").contains(w), F.lit(False))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("records"), F.count_if(has("license")).alias("with_command"), F.count_if(has("cancel")).alias("cancelled"), F.countDistinct(F.when(has("license"), F.col("lang"))).alias("languages"))
-
-
-@query(
-    """WITH m AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9.]+@[a-zA-Z0-9.]+')) AS voter FROM documents), s AS (SELECT source, arg_max(CASE WHEN lower(text) LIKE '%released%' THEN 'PASSED' WHEN lower(text) LIKE '%licensed%' THEN 'CLOSED' END, doc_id) FILTER (lower(text) LIKE '%released%' OR lower(text) LIKE '%licensed%') AS status FROM documents GROUP BY 1)
-  SELECT s.source, count(DISTINCT voter) AS voters, string_agg(DISTINCT voter, ',' ORDER BY voter) AS names, coalesce(max(status), '') AS status FROM s LEFT JOIN m USING (source) GROUP BY 1"""
-)
-def vote_tally(spark, sf_dir):
-    """Distinct voters named in texts, and the last status."""
-    d = table(spark, sf_dir, "documents")
-    m = d.select("source", F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9.]+@[a-zA-Z0-9.]+"), 0)).alias("voter")).distinct()
-    v = m.groupBy("source").agg(F.count("*").alias("voters"), F.array_join(F.sort_array(F.collect_set("voter")), ",").alias("names"))
-    status = F.when(F.lower("text").contains("released"), "PASSED").when(F.lower("text").contains("licensed"), "CLOSED")
-    s = d.groupBy("source").agg(F.max_by(status, F.when(status.isNotNull(), F.col("doc_id"))).alias("status"))
-    return s.join(v, "source", "left").select("source", F.coalesce("voters", F.lit(0)).alias("voters"), "names", F.coalesce("status", F.lit("")).alias("status"))
-
-
 _TFIDF = """WITH w AS (SELECT lang AS topic, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), t AS (SELECT topic, term, count(*) AS tf FROM w WHERE length(term) >= 3 GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM t GROUP BY 1),
   a AS (SELECT sum(tf) / CAST(count(DISTINCT topic) AS DOUBLE) AS a FROM t), s AS (SELECT topic, term, round(tf * ln(1 + a / f), 6) AS score FROM t JOIN f USING (term) CROSS JOIN a), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM s)"""
 

@@ -126,13 +126,3 @@ def timeline_rows(spark, sf_dir):
     f = discourse(spark, sf_dir).groupBy("actor").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n")).withColumn("institution", F.col("actor") % 7)
     w = Window.partitionBy("institution").orderBy("first_ts", "actor")
     return f.select("actor", "institution", F.floor(timebins.micros(F.col("first_ts")) / 1000).alias("first_ms"), "n", F.row_number().over(w).cast("long").alias("row_in_group"))
-
-
-@query(
-    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'merged' WHEN 'P' THEN 'review' ELSE 'opened' END AS event, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step FROM orders"""
-)
-def lifecycle_events(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    kind = F.when(F.col("o_orderstatus") == "F", "merged").when(F.col("o_orderstatus") == "P", "review").otherwise("opened")
-    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("event"), F.to_date("o_orderdate").cast("string").alias("day"), F.row_number().over(w).cast("long").alias("step"))
