@@ -36,6 +36,8 @@ from plenum.operators.components import connected_components
 from plenum.storage import cut, free_names, partitions
 
 RADIUS = 3
+#: Fingerprints up to which a meeting place has its links taken pair by pair.
+FEW = 8
 #: Random references, and references of two neighbouring bits.
 PIVOTS, COORDINATES, PAIR = 16, 32, 3
 #: Fingerprints of a meeting place that are compared in one task; two parts of half as many make a pair.
@@ -154,6 +156,20 @@ def _forest(fp: np.ndarray, table: np.ndarray, side: np.ndarray, tally: np.ndarr
     return list(zip(fp[out].tolist(), fp[root[out]].tolist(), strict=True))
 
 
+def _few(fp: np.ndarray, table: np.ndarray, side: np.ndarray, place: np.ndarray, few: np.ndarray, tally: np.ndarray) -> list[tuple[int, int]]:
+    """The links of all places of at most FEW fingerprints, which lie one behind another: neighbours at each distance at once."""
+    out: list[tuple[int, int]] = []
+    for k in range(1, FEW):
+        i = np.flatnonzero(few[:-k] & (place[:-k] == place[k:]) & ((side[:-k] < 0) | (side[:-k] != side[k:]))) if k < len(fp) else np.zeros(0, int)
+        tally[0] += len(i)
+        i = i[(np.abs(table[i].astype(np.int16) - table[i + k]) <= RADIUS).all(axis=1)]
+        tally[1] += len(i)
+        i = i[np.bitwise_count(fp[i].astype(np.uint64) ^ fp[i + k].astype(np.uint64)) <= RADIUS]
+        tally[2] += len(i)
+        out += zip(fp[i].tolist(), fp[i + k].tolist(), strict=True)
+    return out
+
+
 def _linker(batches: Iterator[pd.DataFrame], report: bool = False) -> Iterator[pd.DataFrame]:
     """Meeting places lie one behind another; each is compared when its last row is there. report: their tallies instead of links."""
     names = ["choice", "bits", "a", "b"]
@@ -165,9 +181,10 @@ def _linker(batches: Iterator[pd.DataFrame], report: bool = False) -> Iterator[p
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(frame)]])
         fp, side = frame["fp"].to_numpy(np.int64), frame["side"].to_numpy()
         table = np.stack([frame[c].to_numpy(np.int64) for c in sorted(c for c in frame if c[0] == "t")], axis=1).view(np.uint8)
-        out: list[tuple[int, int]] = []
+        size = ends - starts
         tally = np.zeros(3, np.int64)
-        for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+        out = _few(fp, table, side, np.repeat(np.arange(len(size)), size), np.repeat(size, size) <= FEW, tally)
+        for lo, hi in zip(starts[size > FEW], ends[size > FEW], strict=True):
             out += _forest(fp[lo:hi], table[lo:hi], side[lo:hi], tally)
         if report:
             return pd.DataFrame([tally], columns=["met", "left", "linked"])
