@@ -5,11 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.operators.inequality import gini
+from plenum.storage import cut
+
+#: Actors of a thread that meet in one task; a larger thread is dealt into blocks, of which each pair is a task's.
+BLOCK = 256
+
+
+def paired(rows: DataFrame, keys: list[str], actor: str, *values: str) -> DataFrame:
+    """keys, src < dst, and the values of both as v_a and v_b: every pair of actors that share the keys, which rows have once each.
+
+    Keys with more than BLOCK actors are parted: an actor goes to each cell of its block and another, and two of one block
+    meet in the cell of that block alone.
+    """
+    def side(df: DataFrame, name: str, mark: str) -> DataFrame:
+        return df.select(*keys, *[c for c in ("_lo", "_hi") if c in df.columns], F.col(actor).alias(name), *[F.col(v).alias(f"{v}_{mark}") for v in values], *([F.col("_own").alias(f"_own_{mark}")] if "_own" in df.columns else []))
+
+    out = [*keys, "src", "dst", *[f"{v}_{m}" for v in values for m in "ab"]]
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+    if hot.isEmpty():
+        return side(rows, "src", "a").join(side(rows, "dst", "b"), keys).filter("src < dst").select(out)
+    parts = cut(hot.select(*keys, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts")))
+    dealt = rows.join(parts, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(actor), F.col("_parts")).cast("int"))
+    cells = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_lo", F.least("_own", "_o")).withColumn("_hi", F.greatest("_own", "_o"))
+    met = side(cells, "src", "a").join(side(cells, "dst", "b"), [*keys, "_lo", "_hi"])
+    return met.filter((F.col("src") < F.col("dst")) & ((F.col("_own_a") != F.col("_own_b")) | (F.col("_lo") == F.col("_hi")))).select(out)
+
 
 def coparticipation(rows: DataFrame, thread: list[str], actor: str) -> DataFrame:
     """src < dst and weight: threads that two actors share. A thread's actors are made distinct before they meet."""
     t = rows.select(*thread, F.col(actor).alias("a")).filter(F.col("a").isNotNull()).distinct()
-    return t.join(t.withColumnRenamed("a", "b"), thread).filter("a < b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight"))
+    return paired(t, thread, "a").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def elbow_graph(rows: DataFrame, thread: list[str], actor: str) -> DataFrame:
+    """coparticipation of the actors with the most rows, down to the elbow of their counts."""
+    from plenum.operators.timebins import elbow_cutoff
+
+    counts = rows.filter(F.col(actor).isNotNull()).groupBy(actor).agg(F.count("*").alias("_n"))
+    cutoff = elbow_cutoff(counts, "_n", actor).first()["cutoff"]
+    top = counts.orderBy(F.desc("_n"), actor).limit(cutoff).select(actor)  # at most the cap of the elbow
+    return coparticipation(rows.join(F.broadcast(top), actor, "left_semi"), thread, actor)
 
 
 def pair_load(rows: DataFrame, thread: list[str], actor: str, least: int = 1000) -> DataFrame:
@@ -23,19 +59,27 @@ def mean_stance(rows: DataFrame, keys: list[str] = ["case_id"]) -> DataFrame:  #
 
 
 def stance_edges(means: DataFrame, agree: bool, min_shared: int = 1) -> DataFrame:
-    """Edges of actors with mean stances of one sign (or of opposite signs) on themes: weight, and the themes known to both."""
-    b = means.select("case_id", "theme", F.col("actor").alias("dst"), F.col("s").alias("s2"))
-    pairs = means.withColumnRenamed("actor", "src").join(b, ["case_id", "theme"]).filter("src < dst")
-    sign = F.col("s") * F.col("s2")
-    e = pairs.groupBy("case_id", "src", "dst").agg(F.count_if(sign > 0 if agree else sign < 0).alias("weight"), F.count("*").alias("shared"))
+    """Edges of actors with mean stances of one sign (or of opposite signs) on themes: weight, and the themes known to both.
+
+    An actor's themes are bits of masks (63 themes to a mask), so that two actors meet once for all of them.
+    """
+    themes = cut(means.select("theme").distinct())
+    number = themes.select("theme", (F.row_number().over(Window.orderBy("theme")) - 1).alias("_k"))  # a row for each theme of a codebook
+    bit = F.expr("shiftleft(1L, CAST(_k % 63 AS INT))")
+    own = means.filter(F.col("s").isNotNull() & F.col("actor").isNotNull()).join(F.broadcast(number), "theme").groupBy("case_id", F.floor(F.col("_k") / 63).alias("_mask"), "actor").agg(
+        F.coalesce(F.bit_or(F.when(F.col("s") > 0, bit)), F.lit(0)).alias("yes"), F.coalesce(F.bit_or(F.when(F.col("s") < 0, bit)), F.lit(0)).alias("no"), F.bit_or(bit).alias("known"))
+    pairs = paired(own, ["case_id", "_mask"], "actor", "yes", "no", "known")
+    both = lambda x, y: F.col(x).bitwiseAND(F.col(y))
+    weight = both("yes_a", "yes_b").bitwiseOR(both("no_a", "no_b")) if agree else both("yes_a", "no_b").bitwiseOR(both("no_a", "yes_b"))
+    e = pairs.select("case_id", "src", "dst", F.bit_count(weight).cast("long").alias("weight"), F.bit_count(both("known_a", "known_b")).cast("long").alias("shared"))
+    if themes.count() > 63:
+        e = e.groupBy("case_id", "src", "dst").agg(F.sum("weight").alias("weight"), F.sum("shared").alias("shared"))
     return e.filter((F.col("weight") > 0) & (F.col("shared") >= min_shared))
 
 
 def projection(counts: DataFrame, node: str, over: str, n: str) -> DataFrame:
     """src < dst, weight (the sum of products of counts) and n_shared: what two nodes share of the other side."""
-    b = counts.select(F.col(over), F.col(node).alias("dst"), F.col(n).alias("n2"))
-    pairs = counts.select(F.col(over), F.col(node).alias("src"), F.col(n).alias("n1")).join(b, over).filter("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.sum(F.col("n1") * F.col("n2")).alias("weight"), F.count("*").alias("n_shared"))
+    return paired(counts, [over], node, n).groupBy("src", "dst").agg(F.sum(F.col(f"{n}_a") * F.col(f"{n}_b")).alias("weight"), F.count("*").alias("n_shared"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -92,3 +136,43 @@ def top_subgraph(edges: DataFrame, k: int) -> DataFrame:
     """Edges among the k nodes of the largest strength."""
     top = degrees(edges).orderBy(F.desc("strength"), "node").limit(k)
     return within(edges, top)
+
+
+def components_summary(components: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: the number of components of the nodes (isolates too), the largest one's size, and its share of them. components: node and component, of nodes with edges."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    s = sizes.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("in_one"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    n = nodes.agg(F.count_distinct("node").alias("n"))
+    j = s.crossJoin(n)  # one row each
+    giant = F.when(F.col("n") == 0, 0).otherwise(F.greatest(F.col("most"), F.lit(1)))
+    return j.select((F.col("c") + F.col("n") - F.col("in_one")).alias("n_components"), giant.cast("long").alias("giant"), F.round(F.try_divide(giant, F.col("n")), 4).alias("giant_ratio"))
+
+
+def concentration(centrality: DataFrame, value: str) -> DataFrame:
+    """One row: mean, max, Gini and the share of the three largest of a node value (0 where all are 0)."""
+    base = centrality.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.sum(value).alias("sum"))
+    top = centrality.orderBy(F.desc(value)).limit(3).agg(F.sum(value).alias("top"))
+    one = base.crossJoin(top).crossJoin(gini(centrality, value))  # one row each
+    return one.select(F.round("mean", 6).alias("mean"), F.round("max", 5).alias("max"), F.round("gini", 4).alias("gini"), F.round(F.when(F.col("sum") > 0, F.col("top") / F.col("sum")).otherwise(0.0), 4).alias("top3_share"))
+
+
+def reply_edges(posts: DataFrame, author: str = "author", number: str = "post_number", to: str = "reply_to_post_number", stance: str = "stance", keys: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst, type and stance: one edge for each ordered pair of authors, with the stance of the first reply (Neutral where it has none). Replies to oneself give none. keys: what posts are numbered within."""
+    p = posts.select(*keys, F.col(number).alias("_n"), F.col(to).alias("_to"), F.col(author).alias("src"), F.coalesce(stance, F.lit("Neutral")).alias("stance"))
+    target = p.select(*keys, F.col("_n").alias("_to"), F.col("src").alias("dst"))
+    j = p.join(target, [*keys, "_to"]).filter("src <> dst").withColumn("_pos", F.struct(*keys, "_n"))
+    return first_per_pair(j, "_pos", "stance").select("src", "dst", F.lit("reply").alias("type"), "stance")
+
+
+def quote_edges(posts: DataFrame, author: str = "author", number: str = "post_number", quoted: str = "quoted_post_numbers", keys: tuple[str, ...] = ()) -> DataFrame:
+    """src < dst, type and stance (none): one edge for each unordered pair of authors of whom one quotes the other."""
+    p = posts.select(*keys, F.col(author).alias("_a"), F.explode(quoted).alias("_q"))
+    target = posts.select(*keys, F.col(number).alias("_q"), F.col(author).alias("_b"))
+    pairs = p.join(target, [*keys, "_q"]).filter("_a <> _b").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst")).distinct()
+    return pairs.select("src", "dst", F.lit("quote").alias("type"), F.lit(None).cast("string").alias("stance"))
+
+
+def thread_edges(rows: DataFrame, author: str, thread: str, prefix: str = "PR_") -> DataFrame:
+    """src, dst, type and stance (none): one edge from each author to the node of each thread that it took part in."""
+    t = rows.filter(F.col(thread).isNotNull() & F.col(author).isNotNull()).select(F.col(author).alias("src"), F.concat(F.lit(prefix), F.col(thread).cast("string")).alias("dst")).distinct()
+    return t.select("src", "dst", F.lit("pr_edge").alias("type"), F.lit(None).cast("string").alias("stance"))

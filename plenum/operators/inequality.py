@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.storage import cut, partitions
 
-def gini(df: DataFrame, value: str, keys: list[str] | None = None, zeros: Column | None = None) -> DataFrame:
+
+def gini(df: DataFrame, value: str, keys: list[str] | None = None, zeros: Column | None = None, ranges: bool = False) -> DataFrame:
     """keys and gini of value; 0 for groups without a positive sum. zeros: further zero values of a group.
 
-    Equal values are counted first, so one task ranks a group's distinct values and not its rows.
+    Equal values are counted first, so one task ranks a group's distinct values and not its rows. ranges: for groups of very
+    many distinct values, which are ranked range by range.
     """
     keys = keys or []
     h = df.groupBy(*keys, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    h = h.withColumn("r", before)
+    past = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if ranges:
+        h = cut(h.repartitionByRange(partitions(df.sparkSession), *keys, "x").withColumn("_range", F.spark_partition_id()))
+        starts = h.groupBy(*keys, "_range").agg(F.sum("c").alias("c")).select(*keys, "_range", past(Window.partitionBy(*keys).orderBy("_range")).alias("_start"))  # a row for each range of a group
+        h = h.withColumn("r", past(Window.partitionBy(*keys, "_range").orderBy("x"))).join(starts, [*keys, "_range"]).withColumn("r", F.col("r") + F.col("_start"))
+    else:
+        h = h.withColumn("r", past(Window.partitionBy(*keys).orderBy("x")))
     extra = F.lit(0) if zeros is None else zeros
     if zeros is not None:
         h = h.withColumn("z", zeros)

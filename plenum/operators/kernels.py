@@ -1,116 +1,151 @@
 """Graph algorithms that need the whole neighbourhood structure: shortest paths, communities, cores.
 
-The edges of one graph are sent to every worker, and the sources of shortest paths are dealt over the
-partitions. A graph of more than EDGE_LIMIT edges is refused; components and degrees (which have no such
-limit) cut it into parts first, or sources are sampled.
+The edges of one graph are sent to every worker as packed arrays (twelve bytes an edge and end), and the sources of
+shortest paths are dealt over the partitions. A graph of more than EDGE_LIMIT edges is refused; components and
+degrees (which have no such limit) cut it into parts first. Centralities can be estimated from a seeded
+sample of the sources.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.storage import cut
 
-#: Edges of a graph that is sent to workers (some 200 MB there), and of one whose power iteration runs on the driver.
+#: Edges of a graph that is sent to workers (some 50 MB there), and of one whose power iteration runs on the driver.
 EDGE_LIMIT, LOCAL_EDGES = 2_000_000, 200_000
 
 Graph = dict[int, list[tuple[int, float]]]
 
 
-def adjacency(edges: DataFrame) -> Graph:
-    """Neighbours by node, parallel edges summed; refuses more than EDGE_LIMIT edges."""
-    e = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
-    rows = e.limit(EDGE_LIMIT + 1).collect()
+def simple_edges(edges: DataFrame) -> pd.DataFrame:
+    """a < b and w: parallel edges summed, loops left out, in order; refuses more than EDGE_LIMIT edges."""
+    e = edges.filter("src <> dst").groupBy(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
+    rows = e.limit(EDGE_LIMIT + 1).toArrow().to_pandas()
     if len(rows) > EDGE_LIMIT:
         raise ValueError(f"more than {EDGE_LIMIT} edges")
+    return rows.sort_values(["a", "b"], ignore_index=True)
+
+
+def adjacency(edges: DataFrame) -> Graph:
+    """Neighbours by node."""
     g: Graph = defaultdict(list)
-    for r in sorted(rows):
-        g[r["a"]].append((r["b"], r["w"]))
-        g[r["b"]].append((r["a"], r["w"]))
+    for a, b, w in simple_edges(edges).itertuples(index=False):
+        g[a].append((b, w))
+        g[b].append((a, w))
     return dict(g)
 
 
-def _paths(g: Graph, source: int, weighted: bool) -> tuple[list[int], dict[int, float], dict[int, float], dict[int, list[int]]]:
-    """Nodes by distance, distances, numbers of shortest paths, and predecessors."""
-    dist, sigma, pred, order = {source: 0.0}, defaultdict(float, {source: 1.0}), defaultdict(list), []
-    if not weighted:
-        queue = deque([source])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w, _ in g.get(v, ()):
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    pred[w].append(v)
-        return order, dist, sigma, pred
-    heap, done = [(0.0, source)], set()
-    while heap:
-        d, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for w, length in g.get(v, ()):
-            new = d + length
-            if w not in done and (w not in dist or new < dist[w] - 1e-12):
-                dist[w], sigma[w], pred[w] = new, sigma[v], [v]
-                heapq.heappush(heap, (new, w))
-            elif w not in done and abs(new - dist[w]) <= 1e-12:
-                sigma[w] += sigma[v]
-                pred[w].append(v)
-    return order, dist, sigma, pred
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, weighted: bool = False, inverse: bool = False) -> DataFrame:
-    """node and betweenness (normalised, undirected). weighted: weights are distances; inverse: their inverses are."""
-    spark = nodes.sparkSession
-    g = adjacency(edges)
-    if inverse:
-        g = {v: [(w, 1 / x) for w, x in near] for v, near in g.items()}
-    shared = spark.sparkContext.broadcast(g)
-    n = nodes.select("node").distinct().count()
+class Packed:
+    """Neighbours of node k (its place in ids) at near[first[k]:first[k + 1]], with the lengths of the edges."""
+
+    def __init__(self, rows: pd.DataFrame):
+        a, b, w = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["w"].to_numpy(float)
+        self.ids = np.union1d(a, b)
+        at, to, length = np.searchsorted(self.ids, np.concatenate([a, b])), np.searchsorted(self.ids, np.concatenate([b, a])), np.concatenate([w, w])
+        order = np.argsort(at, kind="stable")
+        self.near, self.length = to[order].astype(np.int32), length[order].astype(np.float64)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.ids)))])
+
+    def edges_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each edge of the nodes, in their order: the node, and the edge's place."""
+        count = self.first[nodes + 1] - self.first[nodes]
+        ends = np.cumsum(count)
+        return np.repeat(nodes, count), np.repeat(self.first[nodes] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+    def layers(self, source: int, length: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Nodes by distance, a layer for each distance that occurs, and all distances (infinite where there is no path)."""
+        dist = np.full(len(self.ids), np.inf)
+        open_, dist[source] = np.ones(len(self.ids), bool), 0.0
+        layers = []
+        while True:
+            left = np.flatnonzero(open_ & (dist < np.inf))
+            if not len(left):
+                return layers, dist
+            d = dist[left].min()
+            own = left[dist[left] <= d + 1e-12]
+            open_[own] = False
+            layers.append(own)
+            node, e = self.edges_of(own)
+            np.minimum.at(dist, self.near[e], dist[node] + length[e])
+
+    def dependencies(self, source: int, length: np.ndarray) -> np.ndarray:
+        """For each node the share of shortest paths from the source that go through it, summed over their ends."""
+        layers, dist = self.layers(source, length)
+        n = len(self.ids)
+        paths, through = np.zeros(n), np.zeros(n)
+        paths[source] = 1.0
+        steps = []
+        for own in layers[1:]:
+            node, e = self.edges_of(own)
+            back = np.abs(dist[self.near[e]] + length[e] - dist[node]) <= 1e-12
+            node, before = node[back], self.near[e][back]
+            paths += np.bincount(node, paths[before], n)
+            steps.append((node, before))
+        for node, before in reversed(steps):
+            through += np.bincount(before, paths[before] / paths[node] * (1 + through[node]), n)
+        through[source] = 0.0
+        return through
+
+
+def _sources(nodes: DataFrame, sample: int | None, seed: int) -> tuple[DataFrame, DataFrame, int, float]:
+    """The nodes, those to start from, the number of nodes, and what a start stands for."""
+    own = nodes.select(F.col("node").cast("long").alias("node")).distinct()
+    n = own.count()
+    if sample is None or sample >= n:
+        return own, own, n, 1.0
+    return own, own.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample), n, n / sample
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, weighted: bool = False, inverse: bool = False, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """node and betweenness (normalised, undirected). weighted: weights are distances; inverse: their inverses are.
+
+    sample: an estimate from so many sources, drawn by a seeded hash; its standard error falls with the root of their number.
+    """
+    rows = simple_edges(edges)
+    rows["w"] = 1 / rows["w"] if inverse else rows["w"] if weighted else 1.0
+    shared = nodes.sparkSession.sparkContext.broadcast(Packed(rows))  # at most EDGE_LIMIT edges
+    own, starts, n, stands_for = _sources(nodes, sample, seed)
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, float] = defaultdict(float)
+        g = shared.value
+        total = np.zeros(len(g.ids))
         for batch in batches:
-            for s in batch["node"].tolist():
-                order, _, sigma, pred = _paths(shared.value, s, weighted)
-                delta: dict[int, float] = defaultdict(float)
-                for w in reversed(order):
-                    for v in pred[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] += delta[w]
-        yield pd.DataFrame({"node": list(total), "b": list(total.values())}, columns=["node", "b"]).astype({"node": "int64", "b": "float64"})
+            for k in np.flatnonzero(np.isin(g.ids, batch["node"].to_numpy())):
+                total += g.dependencies(int(k), g.length)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"node": g.ids[some], "b": total[some]})
 
-    own = nodes.select(F.col("node").cast("long").alias("node")).distinct()
-    part = own.mapInPandas(accumulate, "node long, b double").groupBy("node").agg(F.sum("b").alias("b"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    part = starts.mapInPandas(accumulate, "node long, b double").groupBy("node").agg(F.sum("b").alias("b"))
+    scale = stands_for / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return own.join(part, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)) * scale, 6).alias("betweenness"))
 
 
 def harmonic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and harmonic: the mean inverse distance to all other nodes."""
-    shared = nodes.sparkSession.sparkContext.broadcast(adjacency(edges))
-    n = nodes.select("node").distinct().count()
+    shared = nodes.sparkSession.sparkContext.broadcast(Packed(simple_edges(edges)))  # at most EDGE_LIMIT edges
+    own, _, n, _ = _sources(nodes, None, 0)
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        one = np.ones(len(g.length))
         for batch in batches:
-            out = [sum(1 / d for d in _paths(shared.value, s, False)[1].values() if d) / max(1, n - 1) for s in batch["node"].tolist()]
-            yield pd.DataFrame({"node": batch["node"], "harmonic": out})
+            ids = batch["node"].to_numpy()
+            out = np.zeros(len(ids))
+            for j in np.flatnonzero(np.isin(ids, g.ids)):
+                layers, dist = g.layers(int(np.searchsorted(g.ids, ids[j])), one)
+                out[j] = sum(len(own) / dist[own[0]] for own in layers[1:]) / max(1, n - 1)
+            yield pd.DataFrame({"node": ids, "harmonic": out})
 
-    return nodes.select(F.col("node").cast("long").alias("node")).distinct().mapInPandas(reach, "node long, harmonic double").withColumn("harmonic", F.round("harmonic", 6))
+    return own.mapInPandas(reach, "node long, harmonic double").withColumn("harmonic", F.round("harmonic", 6))
 
 
 def eigenvector(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
@@ -137,17 +172,17 @@ def eigenvector(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> Da
 
 
 def _eigenvector_local(edges: DataFrame, max_iter: int, tol: float) -> DataFrame:
-    g = adjacency(edges)
-    x = {v: 1 / math.sqrt(len(g)) for v in g}
+    g = Packed(simple_edges(edges))
+    n = len(g.ids)
+    node = np.repeat(np.arange(n), np.diff(g.first))
+    x = np.full(n, 1 / math.sqrt(max(1, n)))
     for _ in range(max_iter):
-        y = {v: x[v] + sum(x[w] for w, _ in near) for v, near in g.items()}
-        norm = math.sqrt(sum(a * a for a in y.values()))
-        y = {v: a / norm for v, a in y.items()}
-        gap, x = sum(abs(y[v] - x[v]) for v in g), y
-        if gap < len(g) * tol:
+        y = x + np.bincount(node, x[g.near], n)
+        y /= np.linalg.norm(y) or 1.0
+        gap, x = np.abs(y - x).sum(), y
+        if gap < n * tol:
             break
-    frame = edges.sparkSession.createDataFrame([(int(v), round(a, 6)) for v, a in sorted(x.items())] or [(0, 0.0)], "node long, eigenvector double")
-    return frame if g else frame.limit(0)
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": g.ids, "eigenvector": np.round(x, 6)}), "node long, eigenvector double")
 
 
 def modularity(g: Graph, community: dict[int, int]) -> float:
@@ -247,10 +282,11 @@ def core_fit(g: Graph, rounds: int = 10) -> tuple[set[int], float]:
     return core, best
 
 
-def core_periphery(edges: DataFrame, nulls: int = 100, seed: int = 42) -> DataFrame:
-    """One row: core size, fit, and the share of random graphs of as many edges that fit as well. The random graphs are dealt over the partitions."""
+def core_periphery(edges: DataFrame, nulls: int | None = None, seed: int = 42) -> DataFrame:
+    """One row: core size, its mean degree, fit, and the share of random graphs of as many edges that fit as well: 100 of them, or 20 for graphs of over 200 nodes. The random graphs are dealt over the partitions."""
     spark = edges.sparkSession
     g = adjacency(edges)
+    nulls = nulls or (20 if len(g) > 200 else 100)
     core, best = core_fit(g) if len(g) > 2 else (set(g), 0.0)
     nodes, m = sorted(g), sum(len(x) for x in g.values()) // 2
 
@@ -270,4 +306,5 @@ def core_periphery(edges: DataFrame, nulls: int = 100, seed: int = 42) -> DataFr
             yield pd.DataFrame({"fit": out})
 
     draws = spark.range(nulls if len(nodes) > 2 else 0).mapInPandas(random_fits, "fit double")
-    return draws.agg(F.lit(len(core)).cast("long").alias("core_size"), F.lit(round(best, 6)).alias("fit"), F.round((F.count_if(F.col("fit") >= best) + 1) / (F.count("*") + 1), 6).alias("p_value"))
+    degree = round(sum(len(g[v]) for v in core) / max(1, len(core)), 4)
+    return draws.agg(F.lit(len(core)).cast("long").alias("core_size"), F.lit(degree).alias("core_degree"), F.lit(round(best, 6)).alias("fit"), F.round((F.count_if(F.col("fit") >= best) + 1) / (F.count("*") + 1), 6).alias("p_value"))

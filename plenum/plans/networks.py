@@ -11,11 +11,7 @@ from plenum.operators.inequality import gini
 from plenum.plans.registry import EV, discourse, query
 from plenum.storage import table
 
-#: End of the days whose sparse threads make the small graph.
-EARLY = "2024-01-06"
-
 _SPARSE = f"{EV}, p AS (SELECT DISTINCT k, hour, actor FROM ev), e AS (SELECT a.actor AS src, b.actor AS dst, count(*) AS weight FROM p a JOIN p b ON a.k = b.k AND a.hour = b.hour AND a.actor < b.actor GROUP BY 1, 2), nodes AS (SELECT DISTINCT actor AS node FROM ev)"
-_EARLY = f"{EV}, p AS (SELECT DISTINCT k, hour, actor FROM ev WHERE day < '{EARLY}'), e AS (SELECT a.actor AS src, b.actor AS dst, count(*) AS weight FROM p a JOIN p b ON a.k = b.k AND a.hour = b.hour AND a.actor < b.actor GROUP BY 1, 2)"
 _BOTH = "both_ends AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 
 
@@ -23,10 +19,6 @@ def sparse(spark, sf_dir) -> DataFrame:
     return graphs.coparticipation(discourse(spark, sf_dir), ["k", "hour"], "actor")
 
 
-def early(spark, sf_dir) -> DataFrame:
-    return graphs.coparticipation(discourse(spark, sf_dir).filter(F.col("day") < EARLY), ["k", "hour"], "actor")
-
-
 def ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
@@ -147,58 +139,136 @@ def label_modularity(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {_EARLY}, {_BOTH}, r(node, root) AS (SELECT src, src FROM both_ends UNION SELECT b.dst, r.root FROM r JOIN both_ends b ON b.src = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY 1)
+    f"""WITH RECURSIVE {_SPARSE}, {_BOTH}, r(node, root) AS (SELECT src, src FROM both_ends UNION SELECT b.dst, r.root FROM r JOIN both_ends b ON b.src = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY 1)
   SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c"""
 )
 def components(spark, sf_dir):
-    c = connected_components(early(spark, sf_dir))
+    c = connected_components(sparse(spark, sf_dir))
     return c.join(c.groupBy("component").agg(F.count("*").alias("size")), "component")
 
 
 @query(
-    f"""WITH RECURSIVE {_EARLY}, {_BOTH}, b AS (SELECT DISTINCT src, dst FROM both_ends), r(s, node, d) AS (SELECT DISTINCT src, src, 0 FROM b UNION SELECT r.s, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.node WHERE r.d < 40), m AS (SELECT s, node, min(d) AS d FROM r GROUP BY 1, 2)
+    f"""WITH RECURSIVE {_SPARSE}, {_BOTH}, b AS (SELECT DISTINCT src, dst FROM both_ends), r(s, node, d) AS (SELECT DISTINCT src, src, 0 FROM b UNION SELECT r.s, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.node WHERE r.d < 16), m AS (SELECT s, node, min(d) AS d FROM r GROUP BY 1, 2)
   SELECT s AS node, round(sum(CASE WHEN d > 0 THEN 1.0 / d ELSE 0 END) / ((SELECT count(DISTINCT src) FROM b) - 1), 6) AS harmonic FROM m GROUP BY 1"""
 )
 def harmonic(spark, sf_dir):
-    e = early(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     return kernels.harmonic(ends(e), e)
 
 
-@query()
+_GIANT = "r(node, root) AS (SELECT src, src FROM both_ends UNION SELECT b.dst, r.root FROM r JOIN both_ends b ON b.src = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY 1), giant AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), own AS (SELECT node FROM c JOIN giant USING (component))"
+_EIGEN = """ab AS MATERIALIZED (SELECT DISTINCT src, dst FROM both_ends WHERE src IN (SELECT node FROM own) UNION ALL SELECT node, node FROM own),
+  x(i, node, v) AS (SELECT 0, node, CAST(1 AS DOUBLE) FROM own UNION ALL SELECT i + 1, node, y / sqrt(sum(y * y) OVER ()) FROM (SELECT x.i AS i, ab.dst AS node, sum(x.v) AS y FROM x JOIN ab ON ab.src = x.node WHERE x.i < 600 GROUP BY 1, 2))"""
+
+
+def giant_edges(edges: DataFrame) -> DataFrame:
+    c = connected_components(edges)
+    giant = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return graphs.within(edges, c.join(F.broadcast(giant), "component"))
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_GIANT}, {_EIGEN} SELECT node, round(v, 6) AS eigenvector FROM x WHERE i = 600")
 def eigenvector(spark, sf_dir):
     """Of the largest component."""
-    e = early(spark, sf_dir)
-    c = connected_components(e)
-    giant = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return kernels.eigenvector(graphs.within(e, c.join(F.broadcast(giant), "component")))
+    return kernels.eigenvector(giant_edges(sparse(spark, sf_dir)), tol=1e-13)
 
 
-@query(
-    f"""WITH RECURSIVE {_EARLY}, {_BOTH}, b AS (SELECT DISTINCT src, dst FROM both_ends), r(s, node, d) AS (SELECT DISTINCT src, src, 0 FROM b UNION SELECT r.s, b.dst, r.d + 1 FROM r JOIN b ON b.src = r.node WHERE r.d < 40), m AS (SELECT s, node, min(d) AS d FROM r GROUP BY 1, 2),
-  q(s, t, d, path) AS (SELECT DISTINCT src, src, 0, [src] FROM b UNION ALL SELECT q.s, b.dst, q.d + 1, list_append(q.path, b.dst) FROM q JOIN b ON b.src = q.t JOIN m ON m.s = q.s AND m.node = b.dst AND m.d = q.d + 1),
-  n AS (SELECT s, t, count(*) AS c FROM q GROUP BY 1, 2), v AS (SELECT s, t, unnest(path[2:len(path) - 1]) AS node FROM q WHERE d > 1), k AS (SELECT count(DISTINCT src) AS k FROM b)
-  SELECT i.node, round(coalesce(x.b, 0) / ((k - 1) * (k - 2)), 6) AS betweenness FROM (SELECT DISTINCT src AS node FROM b) i LEFT JOIN (SELECT node, sum(1.0 / c) AS b FROM v JOIN n USING (s, t) GROUP BY 1) x ON x.node = i.node CROSS JOIN k"""
-)
+_REACH = "b AS (SELECT DISTINCT src, dst FROM both_ends), w(s, node, d) AS (SELECT DISTINCT src, src, 0 FROM b UNION SELECT w.s, b.dst, w.d + 1 FROM w JOIN b ON b.src = w.node WHERE w.d < 16), m AS (SELECT s, node, min(d) AS d FROM w GROUP BY 1, 2)"
+_THROUGH = """q(s, t, d, path) AS (SELECT DISTINCT src, src, 0, [src] FROM b UNION ALL SELECT q.s, b.dst, q.d + 1, list_append(q.path, b.dst) FROM q JOIN b ON b.src = q.t JOIN m ON m.s = q.s AND m.node = b.dst AND m.d = q.d + 1),
+  n AS (SELECT s, t, count(*) AS c FROM q GROUP BY 1, 2), v AS (SELECT s, t, unnest(path[2:len(path) - 1]) AS node FROM q WHERE len(path) > 2), t AS (SELECT node, sum(1.0 / c) AS b FROM v JOIN n USING (s, t) GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_REACH}, {_THROUGH}, k AS (SELECT count(DISTINCT src) AS k FROM b) SELECT i.node, round(coalesce(t.b, 0) / ((k - 1) * (k - 2)), 6) AS betweenness FROM (SELECT DISTINCT src AS node FROM b) i LEFT JOIN t ON t.node = i.node CROSS JOIN k")
 def betweenness(spark, sf_dir):
-    e = early(spark, sf_dir)
+    e = sparse(spark, sf_dir)
     return kernels.betweenness(ends(e), e)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SPARSE}, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), w(s, node, d) AS (SELECT DISTINCT src, src, CAST(0 AS BIGINT) FROM b UNION SELECT w.s, b.dst, w.d + b.weight FROM w JOIN b ON b.src = w.node WHERE w.d < 12), m AS (SELECT s, node, min(d) AS d FROM w GROUP BY 1, 2),
+  {_THROUGH.replace("SELECT DISTINCT src, src, 0, [src]", "SELECT DISTINCT src, src, CAST(0 AS BIGINT), [src]").replace("q.d + 1", "q.d + b.weight")}, k AS (SELECT count(DISTINCT src) AS k FROM b)
+  SELECT i.node, round(coalesce(t.b, 0) / ((k - 1) * (k - 2)), 6) AS betweenness FROM (SELECT DISTINCT src AS node FROM b) i LEFT JOIN t ON t.node = i.node CROSS JOIN k"""
+)
 def betweenness_weighted(spark, sf_dir):
-    e = early(spark, sf_dir)
+    """Shared threads as distances."""
+    e = sparse(spark, sf_dir)
     return kernels.betweenness(ends(e), e, weighted=True)
 
 
+_CONCENTRATED = "SELECT round(avg(x), 6) AS mean, round(max(x), 5) AS max, round(sum((2 * i - n - 1) * x) / (max(n) * sum(x)), 4) AS gini, round(sum(x) FILTER (i > n - 3) / sum(x), 4) AS top3_share FROM (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM {})"
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_REACH}, {_THROUGH}, k AS (SELECT count(*) AS k FROM nodes), z AS (SELECT round(coalesce(t.b, 0) / ((k - 1) * (k - 2)), 6) AS x FROM nodes LEFT JOIN t ON t.node = nodes.node CROSS JOIN k) {_CONCENTRATED.format('z')}")
+def betweenness_concentration(spark, sf_dir):
+    """How brokerage is shared out among all actors."""
+    return graphs.concentration(kernels.betweenness(actors(spark, sf_dir), sparse(spark, sf_dir)), "betweenness")
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_REACH}, z AS (SELECT round(coalesce(sum(1.0 / d) FILTER (d > 0), 0) / ((SELECT count(*) FROM nodes) - 1), 6) AS x FROM nodes LEFT JOIN m ON m.s = nodes.node GROUP BY nodes.node) {_CONCENTRATED.format('z').replace('round(avg(x), 6) AS mean', 'round(avg(x), 6) AS mean, round(avg(x), 5) AS efficiency')}")
+def network_efficiency(spark, sf_dir):
+    """Harmonic centrality of all actors; its mean is the efficiency of the network."""
+    h = kernels.harmonic(actors(spark, sf_dir), sparse(spark, sf_dir))
+    return graphs.concentration(h, "harmonic").crossJoin(h.agg(F.round(F.avg("harmonic"), 5).alias("efficiency")))  # one row each
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_GIANT}, {_EIGEN}, z AS (SELECT round(v, 6) AS x FROM x WHERE i = 600) {_CONCENTRATED.format('z')}")
+def eigenvector_concentration(spark, sf_dir):
+    return graphs.concentration(kernels.eigenvector(giant_edges(sparse(spark, sf_dir)), tol=1e-13), "eigenvector")
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_GIANT}, s AS (SELECT component, count(*) AS n FROM c GROUP BY 1), t AS (SELECT count(*) AS n FROM nodes) SELECT (SELECT count(*) FROM s) + n - (SELECT sum(n) FROM s) AS n_components, (SELECT max(n) FROM s) AS giant, round((SELECT max(n) FROM s) / CAST(n AS DOUBLE), 4) AS giant_ratio FROM t")
+def giant_component(spark, sf_dir):
+    """Components of all actors, and the largest one's share."""
+    return graphs.components_summary(connected_components(sparse(spark, sf_dir)), actors(spark, sf_dir))
+
+
 @query()
 def louvain_q(spark, sf_dir):
-    found, q = kernels.communities(early(spark, sf_dir))
+    """Communities, and the modularity of the partition."""
+    found, q = kernels.communities(sparse(spark, sf_dir))
     return found.withColumn("q", F.lit(round(q, 6)))
 
 
 @query()
 def core_periphery(spark, sf_dir):
-    return kernels.core_periphery(early(spark, sf_dir), nulls=20)
+    return kernels.core_periphery(sparse(spark, sf_dir))
+
+
+_ELBOW = f"""{EV}, rec AS (SELECT * FROM ev WHERE case_id = 0), cnt AS (SELECT actor, count(*) AS n FROM rec GROUP BY 1), rk AS (SELECT actor, n, row_number() OVER (ORDER BY n DESC, actor) AS i, lead(n) OVER (ORDER BY n DESC, actor) AS m FROM cnt),
+  cutoff AS (SELECT least(80, coalesce((SELECT i FROM rk WHERE m IS NOT NULL AND i BETWEEN 20 AND 80 ORDER BY (n - m) / CAST(n AS DOUBLE) DESC, i LIMIT 1), (SELECT count(*) FROM cnt))) AS c), top AS (SELECT actor FROM rk, cutoff WHERE i <= c)"""
+
+
+@query(f"WITH {_ELBOW}, p AS (SELECT DISTINCT k, day, actor FROM rec WHERE actor IN (SELECT actor FROM top)) SELECT a.actor AS src, b.actor AS dst, count(*) AS weight, round(greatest(1, least(8, 1 + log2(count(*) + 1))), 6) AS width FROM p a JOIN p b ON a.k = b.k AND a.day = b.day AND a.actor < b.actor GROUP BY 1, 2")
+def elbow_edges(spark, sf_dir):
+    """Threads shared by the authors above the elbow of one case, and the widths to draw them with."""
+    from plenum.functions.numbers import edge_width
+
+    e = graphs.elbow_graph(discourse(spark, sf_dir).filter("case_id = 0"), ["k", "day"], "actor")
+    return e.withColumn("width", F.round(edge_width(F.col("weight")), 6))
+
+
+#: Turns of conversations as numbered posts that reply to the one before and sometimes quote two.
+_POSTS = """posts AS (SELECT conv_id, turn AS post_number, turn - 1 AS reply_to_post_number, role || '_' || ((conv_id + turn) % 11) AS author, CASE length(text) % 4 WHEN 0 THEN 'Support' WHEN 1 THEN 'Oppose' WHEN 2 THEN 'Modify' END AS stance, CASE WHEN turn % 3 = 0 THEN [turn - 1, turn - 2] ELSE [] END AS quoted, CASE WHEN conv_id % 2 = 0 THEN conv_id % 20 END AS pr_number FROM conversations)"""
+
+
+def posts(spark, sf_dir) -> DataFrame:
+    quoted = F.when(F.col("turn") % 3 == 0, F.array(F.col("turn") - 1, F.col("turn") - 2)).otherwise(F.array().cast("array<bigint>"))
+    stance = F.expr("CASE length(text) % 4 WHEN 0 THEN 'Support' WHEN 1 THEN 'Oppose' WHEN 2 THEN 'Modify' END")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("post_number"), (F.col("turn") - 1).alias("reply_to_post_number"), F.expr("role || '_' || ((conv_id + turn) % 11)").alias("author"), stance.alias("stance"), quoted.alias("quoted_post_numbers"),
+        F.expr("CASE WHEN conv_id % 2 = 0 THEN conv_id % 20 END").alias("pr_number"),
+    )
+
+
+@query(
+    f"""WITH {_POSTS}, j AS (SELECT a.author AS src, b.author AS dst, coalesce(a.stance, 'Neutral') AS stance, row_number() OVER (PARTITION BY a.author, b.author ORDER BY a.conv_id, a.post_number) AS i FROM posts a JOIN posts b ON a.conv_id = b.conv_id AND b.post_number = a.reply_to_post_number WHERE a.author <> b.author),
+  q AS (SELECT DISTINCT least(a.author, b.author) AS src, greatest(a.author, b.author) AS dst FROM (SELECT conv_id, author, unnest(quoted) AS q FROM posts) a JOIN posts b ON a.conv_id = b.conv_id AND b.post_number = a.q WHERE a.author <> b.author)
+  SELECT src, dst, 'reply' AS type, stance FROM j WHERE i = 1 UNION ALL SELECT src, dst, 'quote', NULL FROM q UNION ALL SELECT DISTINCT author, 'PR_' || pr_number, 'pr_edge', NULL FROM posts WHERE pr_number IS NOT NULL"""
+)
+def discussion_graph(spark, sf_dir):
+    """Replies with the stance of the first, quotes, and edges to the nodes of threads, as one graph."""
+    p = posts(spark, sf_dir)
+    return graphs.reply_edges(p, keys=("conv_id",)).unionByName(graphs.quote_edges(p, keys=("conv_id",))).unionByName(graphs.thread_edges(p, "author", "pr_number"))
 
 
 @query(
@@ -207,3 +277,17 @@ def core_periphery(spark, sf_dir):
 )
 def induced_topk(spark, sf_dir):
     return graphs.top_subgraph(sparse(spark, sf_dir), 100).select("src", "dst", "weight")
+
+
+@query()
+def network_table(spark, sf_dir):
+    """The metrics of the networks of both cases, a row for each metric and a column for each case."""
+    from plenum.operators.reports import network_metrics
+    from plenum.sources.files import metric_table
+
+    rows = None
+    for case in (0, 1):
+        e = discourse(spark, sf_dir).filter(F.col("case_id") == case)
+        own = network_metrics(graphs.coparticipation(e, ["k", "hour"], "actor"), e.select(F.col("actor").alias("node")).distinct().withColumn("grp", F.col("node") % 7)).withColumn("case", F.lit(f"case_{case}"))
+        rows = own if rows is None else rows.unionByName(own)
+    return metric_table(rows, "case")

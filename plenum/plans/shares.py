@@ -44,7 +44,7 @@ def theme_concentration(spark, sf_dir):
 )
 def entropy_summary(spark, sf_dir):
     d = inequality.actor_diversity(discourse(spark, sf_dir))
-    g = inequality.gini(d, "entropy", ["case_id"]).withColumn("gini_entropy", F.round("gini", 6)).drop("gini")
+    g = inequality.gini(d, "entropy", ["case_id"], ranges=True).withColumn("gini_entropy", F.round("gini", 6)).drop("gini")
     return d.groupBy("case_id").agg(F.round(F.avg("entropy"), 6).alias("mean_entropy"), F.round(F.median("entropy"), 6).alias("median_entropy"), F.round(F.max("entropy"), 6).alias("max_entropy")).join(g, "case_id")
 
 
