@@ -203,3 +203,61 @@ def markdown_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "heading", "row", "cells"])
 
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).mapInPandas(parse, "id string, heading string, row int, cells array<string>")
+
+
+# What stands for notes that are missing, or empty.
+NO_NOTES, EMPTY_NOTES = "无公开信息", "无公开信息，人工核查后归为Independent"
+ENTRY = "primary_handle string, alt_handles array<string>, display_name string, institution string, confidence string, institution_source string, case string, evidence string, evidence_url string, lm_correction boolean, lm_wrong string, section string"
+
+
+def manual_entries(tables: DataFrame, sections: dict[str, tuple[str, str, str]], header_url: str | None = None) -> DataFrame:
+    """Entries from the tables of markdown_tables, as ENTRY. sections: heading to (kind, case, section).
+
+    Kinds are confirmed (handles, name, institution, confidence, evidence), unknown (handle, name, count, notes), corrections
+    (handle, what the model said, what holds, evidence) and header (name, handle, e-mail, institution). Rows that lack
+    a cell they need, or a handle where one is needed, give none.
+    """
+    c = [F.get("cells", i) for i in range(5)]
+    none, no_alts = F.lit(None).cast("string"), F.array().cast("array<string>")
+    has = lambda n: F.size("cells") >= n
+    linked = lambda x: strip(F.regexp_replace(strip_markdown(x), r"\[([^\]]+)\]\([^\)]+\)", "$1"))
+    both = handles(c[0])
+    notes = F.when(has(4), strip(c[3])).otherwise(NO_NOTES)
+    actual = clean_institution(c[2])
+    kinds = {
+        "confirmed": (
+            has(5) & (both["primary"].isNotNull() | (F.size(both["alts"]) > 0)),
+            [both["primary"], both["alts"], or_null(c[1]), clean_institution(c[2]), strip(c[3]), F.lit("manual_R07"), linked(c[4]), first_url(c[4]), F.lit(False), none],
+        ),
+        "unknown": (
+            clean_handle(c[0]).isNotNull() & (clean_handle(c[0]) != ""),
+            [clean_handle(c[0]), no_alts, or_null(c[1]), F.lit("Independent"), F.lit("Confirmed"), F.lit("manual_R07"), F.when(notes == "", EMPTY_NOTES).otherwise(notes), none, F.lit(False), none],
+        ),
+        "corrections": (
+            has(3) & clean_handle(c[0]).isNotNull(),
+            [clean_handle(c[0]), no_alts, none, F.when(actual == "", "Unknown").otherwise(actual), F.lit("Confirmed"), F.lit("manual_R07"), strip_markdown(F.coalesce(c[3], F.lit(""))), first_url(F.coalesce(c[3], F.lit(""))), F.lit(True), strip(strip_markdown(c[1]))],
+        ),
+        "header": (
+            has(4),
+            [clean_handle(c[1]), no_alts, or_null(c[0]), clean_institution(c[3]), F.lit("Confirmed"), F.lit("eip_header_email"), F.concat(F.lit("EIP header email: "), strip(c[2])), F.lit(header_url).cast("string"), F.lit(False), none],
+        ),
+    }
+    names = [f.split()[0] for f in ENTRY.split(", ")]
+    own = [n for n in names if n not in ("case", "section")]
+    body = tables.filter(F.col("row") > 0)
+    out = None
+    for heading, (kind, case, section) in sections.items():
+        keep, values = kinds[kind]
+        rows = body.filter((F.col("heading") == heading) & keep).select(*[v.alias(n) for v, n in zip(values, own, strict=True)], F.lit(case).alias("case"), F.lit(section).alias("section"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select(names)
+
+
+def wrapped(head: Column, label: Column, longest: int = 38, part: int = 32, reach: int = 12) -> Column:
+    """head: label, in two lines if it is longer than longest: parted at its ampersands, or else at the space nearest to the label's middle."""
+    base = F.concat(head, F.lit(": "), label)
+    mid = F.floor(F.length(label) / 2).cast("int")
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda o: F.array(mid + o, mid - o)))
+    at = F.get(F.filter(steps, lambda i: (i > 0) & (i < F.length(label)) & (F.substr(label, i + 1, F.lit(1)) == " ")), F.lit(0))
+    halves = F.concat(head, F.lit(": "), F.substr(label, F.lit(1), at), F.lit("\n"), F.substr(label, at + 2))
+    return F.when(F.length(base) <= longest, base).when(base.contains(" & "), F.replace(base, F.lit(" & "), F.lit(" &\n"))).when((F.length(label) > part) & at.isNotNull(), halves).otherwise(base)

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.functions.text import parse_annotation
+from plenum.functions.text import ANNOTATION, parse_annotation
+from plenum.sources.files import exists
 
 Model = Callable[[list[str]], list[str]]
 
@@ -99,31 +100,64 @@ def stratified_sample(records: DataFrame, stratum: str, sizes: dict[str, int], k
 
 
 def run_stage(spark: SparkSession, records: DataFrame, id_col: str, text_col: str, path: str, model: Model = rule_model) -> DataFrame:
-    """Annotate what the table at path lacks and append it there; the newest row of each record counts."""
-    try:
-        done = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = None
-    latest = None if done is None else done.groupBy("record_id").agg(F.max_by(F.struct("annotation", "annotation_error"), "attempt").alias("a"), F.max("attempt").alias("attempt")).select("record_id", "a.*", "attempt")
-    number = 0 if done is None else (done.agg(F.max("attempt")).first()[0] or 0)
-    new = annotate(pending(records, id_col, latest), id_col, text_col, model).withColumn("attempt", F.lit(number + 1))
-    new.write.mode("append").parquet(path)
-    every = spark.read.parquet(path)
+    """Annotate what the table at path lacks and append it there, a folder for each attempt; the newest row of each record counts.
+
+    What is done is told by ids and errors alone; the annotations are read only by who uses the result.
+    """
+    done, number = None, 0
+    if exists(spark, f"{path}/attempt=*"):
+        done = spark.read.parquet(path).select("record_id", "annotation_error")
+        number = spark.read.parquet(path).agg(F.max("attempt")).first()[0]  # the folders' names
+    new = annotate(pending(records, id_col, done), id_col, text_col, model).withColumn("attempt", F.lit(number + 1))
+    new.write.mode("append").partitionBy("attempt").parquet(path)
+    every = spark.read.schema(f"record_id string, annotation struct<{ANNOTATION.replace(' string', ': string')}>, annotation_error string, attempt int").parquet(path)
     return every.groupBy("record_id").agg(F.max_by(F.struct("annotation", "annotation_error"), "attempt").alias("a")).select("record_id", "a.*")
 
 
-def codebook(codes: DataFrame, code: str, most: int = 300, seed: int = 42) -> DataFrame:
-    """theme_id (T01 ...), label: the distinct codes that the reviewer sees, at most so many by a seeded hash."""
-    from pyspark.sql import Window
+def aggregate(codes: DataFrame, code: str, model: Model, most: int = 300, seed: int = 42) -> dict[str, list[str]]:
+    """Themes by label, each with its codes: what the model makes of the distinct codes, at most so many by a seeded hash. An answer that is no JSON gives no theme."""
+    rows = codes.filter(F.coalesce(code, F.lit("")) != "").select(F.col(code).alias("c")).distinct().orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(most)
+    seen = sorted(r["c"] for r in rows.collect())  # at most `most` rows
+    try:
+        found = json.loads(with_retry(model)([json.dumps(seen)])[0])
+    except (json.JSONDecodeError, IndexError):
+        return {}
+    return {str(k): [str(c) for c in v] for k, v in found.items()} if isinstance(found, dict) else {}
+
+
+def review(clusters: dict[str, list[str]], model: Model) -> list[dict]:
+    """The codebook: entries with theme_id (T01 ... by their place where the model names none), label, description and codes. An answer that is no JSON list gives none."""
+    try:
+        found = json.loads(with_retry(model)([json.dumps(clusters, ensure_ascii=False)])[0])
+    except (json.JSONDecodeError, IndexError):
+        return []
+    entries = [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+    return [{"theme_id": e.get("theme_id") or f"T{k:02d}", "label": e.get("label", ""), "description": e.get("description", ""), "codes": list(e.get("codes", []))} for k, e in enumerate(entries, 1)]
+
+
+def group_by_first_part(prompts: list[str]) -> list[str]:
+    """A stand-in for the model that groups codes: by what stands before the slash."""
+    out = []
+    for p in prompts:
+        themes: dict[str, list[str]] = {}
+        for c in json.loads(p):
+            themes.setdefault(c.split("/")[0], []).append(c)
+        out.append(json.dumps(themes))
+    return out
+
+
+def keep_in_order(prompts: list[str]) -> list[str]:
+    """A stand-in for the model that reviews: themes in the order of their labels, without ids."""
+    return [json.dumps([{"label": k, "description": f"{len(v)} codes", "codes": v} for k, v in sorted(json.loads(p).items())]) for p in prompts]
+
 
-    seen = codes.filter(F.col(code) != "").select(F.col(code).alias("label")).distinct().orderBy(F.xxhash64("label", F.lit(seed)), "label").limit(most)
-    return seen.select(F.format_string("T%02d", F.row_number().over(Window.orderBy("label"))).alias("theme_id"), "label")  # at most `most` rows
+def themes_table(spark: SparkSession, entries: list[dict]) -> DataFrame:
+    """theme_id, label, description and codes of a codebook."""
+    return spark.createDataFrame([(e["theme_id"], e["label"], e["description"], e["codes"]) for e in entries], "theme_id string, label string, description string, codes array<string>")
 
 
 def assign(records: DataFrame, id_col: str, code: str, book: DataFrame) -> DataFrame:
-    """record_id, theme_id and confidence; what has no theme is Unclassified, with low confidence."""
-    b = book.select(F.col("label").alias("_label"), "theme_id")
-    j = records.join(F.broadcast(b), F.col(code) == F.col("_label"), "left")  # at most 300 rows
+    """record_id, theme_id and confidence: the theme (of themes_table) that has a record's code; what has no theme is Unclassified, with low confidence."""
+    b = book.select("theme_id", F.explode("codes").alias("_code")).groupBy("_code").agg(F.min("theme_id").alias("theme_id"))
+    j = records.join(F.broadcast(b), F.col(code) == F.col("_code"), "left")  # at most 300 rows
     return j.select(F.col(id_col).cast("string").alias("record_id"), F.coalesce("theme_id", F.lit("Unclassified")).alias("theme_id"), F.when(F.col("theme_id").isNull(), "low").otherwise("high").alias("confidence"))

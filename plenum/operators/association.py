@@ -41,6 +41,39 @@ def chi_square(rows: DataFrame, row: str, column: str) -> DataFrame:
     )
 
 
+def contingency(rows: DataFrame, row: str, column: str, order: list[str]) -> DataFrame:
+    """One row: o, the counts of the table's rows (those with any of the columns of order), and their totals nr and nc, and n."""
+    counts = rows.filter(F.col(row).isNotNull()).groupBy(row).agg(F.array(*[F.count_if(F.col(column) == c) for c in order]).alias("c"))
+    kept = counts.filter(F.exists("c", lambda x: x > 0)).orderBy(row)
+    return kept.agg(F.collect_list("c").alias("o"))  # a row for each case or phase
+
+
+def chi_test(rows: DataFrame, row: str, column: str, order: list[str]) -> DataFrame:
+    """One row: chi2, dof, n, p_value, Cramér's V, and what they mean. Columns are those of order; rows without any are dropped.
+
+    With one degree of freedom every count moves half towards what is expected (or all the way, if that is nearer).
+    """
+    t = contingency(rows, row, column, order).withColumn("nr", F.transform("o", lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda s, x: s + x)))
+    nc = F.aggregate("o", F.transform(F.get("o", F.lit(0)), lambda x: F.lit(0).cast("long")), lambda s, r: F.zip_with(s, r, lambda x, y: x + y))
+    t = t.withColumn("nc", nc).withColumn("n", F.aggregate("nr", F.lit(0).cast("long"), lambda s, x: s + x))
+    used = F.size(F.filter("nc", lambda x: x > 0))
+    t = t.withColumn("dof", (F.size("nr") - 1) * (used - 1)).withColumn("k", F.least(F.size("nr"), used) - 1)
+    expected = lambda i, j: F.get("nr", i) * F.get("nc", j) / F.col("n")
+
+    def cell(i: Column, j: Column, o: Column) -> Column:
+        gap = F.abs(o - expected(i, j))
+        gap = gap - F.when(F.col("dof") == 1, F.least(F.lit(0.5), gap)).otherwise(F.lit(0.0))
+        return F.when(expected(i, j) > 0, gap * gap / expected(i, j)).otherwise(F.lit(0.0))
+
+    parts = F.transform("o", lambda r, i: F.aggregate(F.transform(r, lambda o, j: cell(i, j, o)), F.lit(0.0), lambda s, x: s + x))
+    t = t.withColumn("chi2", F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).withColumn("p", chi2_p("chi2", "dof"))
+    v = F.when((F.col("k") > 0) & (F.col("n") > 0), F.sqrt(F.col("chi2") / (F.col("n") * F.col("k")))).otherwise(0.0)
+    return t.select(
+        F.round("chi2", 3).alias("chi2"), F.col("dof").cast("long").alias("dof"), "n", F.round("p", 6).alias("p_value"), F.round(v, 4).alias("cramers_v"), significance(F.col("p")).alias("stars"),
+        effect_label(v).alias("effect"), F.when(F.col("p") < 0.05, "significant").otherwise("not significant").alias("interpretation"),
+    )
+
+
 def chi2_tail(x: float, dof: int) -> float:
     """Probability of more than x under chi-square of dof degrees of freedom, in closed form."""
     if x <= 0 or dof <= 0:
@@ -92,6 +125,16 @@ def kappa_label(k: Column) -> Column:
     return F.when(k < 0.2, "Poor").when(k < 0.4, "Fair").when(k < 0.6, "Moderate").when(k < 0.8, "Substantial").otherwise("Almost Perfect")
 
 
+def kappa_table(pairs: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """field, n, kappa and label for each pair of columns, and a last row, mean, with the mean of the kappas."""
+    rows = None
+    for name, (a, b) in fields.items():
+        own = cohen_kappa(pairs, a, b).select(F.lit(name).alias("field"), "n", "kappa")
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.unionByName(rows.agg(F.lit("mean").alias("field"), F.max("n").alias("n"), F.round(F.avg("kappa"), 6).alias("kappa")))
+    return rows.withColumn("label", kappa_label(F.col("kappa")))
+
+
 def confusion_matrix(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """a, b and n over the union of both raters' labels, zeros too."""
     p = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))

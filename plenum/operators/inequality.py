@@ -87,6 +87,13 @@ def divergence_table(counts: DataFrame, topic: str, a: str, b: str, eps: float =
     return t.drop("_a", "_b").withColumn("js_total", F.sum("js_contribution").over(whole))
 
 
+def divergence_summary(divergence: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the divergence, the topics, and the k that add most to it as topic:contribution, the largest first."""
+    top = divergence.orderBy(F.desc("js_contribution"), "topic").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.round("js_contribution", 6)).alias("c"), F.col("topic").cast("string").alias("t")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["t"], F.format_number(-x["c"], 6))), "; ")
+    return divergence.agg(F.round(F.max("js_total"), 6).alias("js_total"), F.count("*").alias("topics")).crossJoin(top.select(text.alias("top")))  # one row each
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Shared and own keys of two sets, and the overlap coefficient (shared by the smaller set)."""
     both = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer")

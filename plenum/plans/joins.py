@@ -81,10 +81,10 @@ def openness_index(spark, sf_dir):
     return j.agg(n.alias("authors"), out.alias("outside"), F.round(out / n, 6).alias("openness"))
 
 
-@query("WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents) SELECT source, string_agg(id, ',' ORDER BY CAST(id AS BIGINT)) AS ids, count(*) AS n FROM i WHERE CAST(id AS BIGINT) % 50 = 7 GROUP BY 1")
+@query("WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS id, source FROM documents) SELECT source, string_agg(id, ',' ORDER BY CAST(id AS BIGINT)) AS ids, count(*) AS n FROM i GROUP BY 1")
 def numeric_id_join(spark, sf_dir):
     """Ids that come as text, in the order of their numbers, as one text for each source."""
-    i = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "source").filter(F.try_to_number("id", F.lit("999999999999")) % 50 == 7)
+    i = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
     return i.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.expr("try_cast(id as bigint)"))), lambda x: x.cast("string")), ",").alias("ids"), F.count("*").alias("n"))
 
 
@@ -102,13 +102,6 @@ def joined_discourse(spark, sf_dir):
     return coded.join(records, "record_id").select("doc_id", "record_id", "quality", score.alias("stance_val"))
 
 
-@query("SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
-def nested_flatten(spark, sf_dir):
-    """Threads as nested arrays, and flat again."""
-    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return nested.select("conv_id", F.explode_outer("turns").alias("t")).select("conv_id", "t.turn", "t.role", F.length("t.text").cast("long").alias("n_chars"))
-
-
 @query(
     """SELECT source, round(avg(CAST(l.doc_id IS NOT NULL AS INTEGER)), 6) AS hit_rate, round(avg(CAST(n_chars >= 20 AS INTEGER)), 6) AS eligible_rate, count(*) FILTER (n_chars >= 20) AS eligible FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1"""
 )

@@ -216,7 +216,7 @@ def eigenvector_concentration(spark, sf_dir):
     return graphs.concentration(kernels.eigenvector(giant_edges(sparse(spark, sf_dir)), tol=1e-13), "eigenvector")
 
 
-@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_GIANT}, s AS (SELECT component, count(*) AS n FROM c GROUP BY 1), t AS (SELECT count(*) AS n FROM nodes) SELECT (SELECT count(*) FROM s) + n - (SELECT sum(n) FROM s) AS n_components, (SELECT max(n) FROM s) AS giant, round((SELECT max(n) FROM s) / CAST(n AS DOUBLE), 4) AS giant_ratio FROM t")
+@query(f"WITH RECURSIVE {_SPARSE}, {_BOTH}, {_GIANT}, s AS (SELECT component, count(*) AS n FROM c GROUP BY 1), t AS (SELECT count(*) AS n FROM nodes) SELECT CAST((SELECT count(*) FROM s) + n - (SELECT sum(n) FROM s) AS BIGINT) AS n_components, (SELECT max(n) FROM s) AS giant, round((SELECT max(n) FROM s) / CAST(n AS DOUBLE), 4) AS giant_ratio FROM t")
 def giant_component(spark, sf_dir):
     """Components of all actors, and the largest one's share."""
     return graphs.components_summary(connected_components(sparse(spark, sf_dir)), actors(spark, sf_dir))

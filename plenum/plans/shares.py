@@ -85,11 +85,66 @@ def lifecycle_chi2(spark, sf_dir):
     return association.chi_square(rows, "phase", "category")
 
 
-@query()
+def _tail(x: str, k: str) -> str:
+    """SQL: the tail of chi-square by Simpson's rule over the root of its variable."""
+    f = f"2 * pow(i * sqrt({x}) / 2000, {k} - 1) * exp(-pow(i * sqrt({x}) / 2000, 2) / 2) / (pow(2, {k} / 2.0) * gamma({k} / 2.0))"
+    return f"greatest(0, 1 - sqrt({x}) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f})))"
+
+
+_STARS = "CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE 'ns' END"
+
+
+@query(f"WITH g AS (SELECT x, k, {_tail('x', 'k')} AS p FROM (SELECT CAST(unnest([0.5, 3.841, 5.991, 11.345, 52.88]) AS DOUBLE) AS x) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 12]) AS k)) SELECT x, k AS dof, round(p, 6) AS p, {_STARS.format(p='p')} AS label FROM g")
 def chi2_tail(spark, sf_dir):
     """p-values of a grid of statistics and degrees of freedom, with their labels."""
-    grid = spark.createDataFrame([(x, k) for x in (0.5, 3.841, 5.991, 11.345, 52.88) for k in (1, 2, 3, 4, 12)], "x double, dof int")
-    return grid.withColumn("p", association.chi2_p("x", "dof")).withColumn("label", association.significance(F.col("p")))
+    grid = spark.createDataFrame([(x, k) for x in (0.5, 3.841, 5.991, 11.345, 52.88) for k in (1, 2, 3, 4, 12)], "x double, dof int").withColumn("p", association.chi2_p("x", "dof"))
+    return grid.select("x", "dof", F.round("p", 6).alias("p"), association.significance(F.col("p")).alias("label"))
+
+
+def _chi_test_sql(counts: str) -> str:
+    """SQL of a test on counts (r, c, n)."""
+    return f"""o AS ({counts}), nr AS (SELECT r, sum(n) AS nr FROM o GROUP BY 1 HAVING sum(n) > 0), nc AS (SELECT c, sum(n) AS nc FROM o GROUP BY 1 HAVING sum(n) > 0), tt AS (SELECT CAST(sum(nr) AS BIGINT) AS n, (SELECT count(*) FROM nr) AS kr, (SELECT count(*) FROM nc) AS kc FROM nr),
+  g AS (SELECT coalesce(o.n, 0) AS o, CAST(nr * nc AS DOUBLE) / tt.n AS e, tt.n AS n, (kr - 1) * (kc - 1) AS dof, least(kr, kc) - 1 AS k FROM nr CROSS JOIN nc CROSS JOIN tt LEFT JOIN o ON o.r = nr.r AND o.c = nc.c),
+  s AS (SELECT sum(pow(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e) AS chi2, max(dof) AS dof, max(n) AS n, max(k) AS k FROM g), z AS (SELECT *, {_tail('chi2', 'dof')} AS p, sqrt(chi2 / (n * k)) AS v FROM s)
+  SELECT round(chi2, 3) AS chi2, dof, n, round(p, 6) AS p_value, round(v, 4) AS cramers_v, {_STARS.format(p='p')} AS stars, CASE WHEN v < 0.1 THEN 'negligible' WHEN v < 0.3 THEN 'small' WHEN v < 0.5 THEN 'medium' ELSE 'large' END AS effect, CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS interpretation FROM z"""
+
+
+_KEPT = [p for p in PRIORITIES if not p.startswith("4")]
+
+
+@query("WITH " + _chi_test_sql(f"SELECT o_orderstatus AS r, o_orderpriority AS c, count(*) AS n FROM orders WHERE o_orderpriority IN {tuple(_KEPT)} GROUP BY ALL"))
+def chi_square_test(spark, sf_dir):
+    """The test of independence without one category: statistic, p-value, effect and what they mean."""
+    return association.chi_test(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", _KEPT)
+
+
+@query("WITH " + _chi_test_sql("SELECT quality AS r, CASE toxic WHEN 1 THEN 'toxic' ELSE 'clean' END AS c, count(*) AS n FROM labels GROUP BY ALL"))
+def chi_square_two_by_two(spark, sf_dir):
+    """The same with one degree of freedom, corrected for continuity."""
+    rows = table(spark, sf_dir, "labels").withColumn("c", F.when(F.col("toxic") == 1, "toxic").otherwise("clean"))
+    return association.chi_test(rows, "quality", "c", ["clean", "toxic"])
+
+
+@query(f"WITH {EV}, " + _chi_test_sql(f"SELECT {_PHASE} AS r, category AS c, count(*) AS n FROM ev WHERE category <> 'error' AND {_PHASE} IS NOT NULL GROUP BY ALL"))
+def lifecycle_test(spark, sf_dir):
+    """Phases by category."""
+    from plenum.operators.timebins import phase
+
+    rows = discourse(spark, sf_dir).withColumn("phase", phase(F.col("ts"), PHASES))
+    return association.chi_test(rows, "phase", "category", [c for c in CATEGORIES if c != "error"])
+
+
+_KAPPA = "SELECT '{f}' AS field, count(*) AS n, CASE WHEN pe = 1 THEN 1 ELSE round((avg(CAST(a = b AS INTEGER)) - max(pe)) / (1 - max(pe)), 6) END AS kappa FROM (SELECT {a} AS a, {b} AS b FROM labels), (SELECT sum(x * y) AS pe FROM (SELECT avg(CAST({a} = v AS INTEGER)) AS x, avg(CAST({b} = v AS INTEGER)) AS y FROM labels, (SELECT unnest([0, 1, 2]) AS v) GROUP BY v)) GROUP BY pe"
+
+
+@query(
+    "WITH k AS (" + " UNION ALL ".join(_KAPPA.format(f=f, a=a, b=b) for f, a, b in (("quality", "quality", "1 - toxic"), ("toxic", "toxic", "CAST(doc_id % 2 AS INTEGER)"), ("both", "quality + toxic", "CAST(doc_id % 3 AS INTEGER)")))
+    + "), m AS (SELECT * FROM k UNION ALL SELECT 'mean', max(n), round(avg(kappa), 6) FROM k) SELECT *, CASE WHEN kappa < 0.2 THEN 'Poor' WHEN kappa < 0.4 THEN 'Fair' WHEN kappa < 0.6 THEN 'Moderate' WHEN kappa < 0.8 THEN 'Substantial' ELSE 'Almost Perfect' END AS label FROM m"
+)
+def kappa_table(spark, sf_dir):
+    """Agreement on several fields, and its mean."""
+    p = table(spark, sf_dir, "labels").selectExpr("quality", "toxic", "quality + toxic AS both", "1 - toxic AS clean", "CAST(doc_id % 2 AS INT) AS two", "CAST(doc_id % 3 AS INT) AS three")
+    return association.kappa_table(p, {"quality": ("quality", "clean"), "toxic": ("toxic", "two"), "both": ("both", "three")})
 
 
 @query(
@@ -124,6 +179,13 @@ def js_divergence(spark, sf_dir):
     return t.select("topic", "n_a", "n_b", "pct_a", "pct_b", *[F.round(c, 6).alias(c) for c in ("abs_diff", "kl_a", "kl_b", "js_contribution", "js_total")])
 
 
+@query(_JSD + ", r AS (SELECT topic, round((kl_a + kl_b) / 2, 6) AS c, (kl_a + kl_b) / 2 AS x FROM k), five AS (SELECT * FROM r ORDER BY x DESC, topic LIMIT 5) SELECT (SELECT round(sum(x), 6) FROM r) AS js_total, (SELECT count(*) FROM r) AS topics, (SELECT string_agg(topic || ':' || printf('%.6f', c), '; ' ORDER BY c DESC, CAST(topic AS VARCHAR)) FROM five) AS top")
+def divergence_summary(spark, sf_dir):
+    """The divergence of two communities, and the topics that add most to it."""
+    counts = discourse(spark, sf_dir).groupBy("theme").agg(F.count_if(F.expr("case_id = 0")).alias("n_a"), F.count_if(F.expr("case_id = 1")).alias("n_b"))
+    return inequality.divergence_summary(inequality.divergence_table(counts, "theme", "n_a", "n_b"))
+
+
 @query(
     f"""WITH {EV} SELECT theme, round(100.0 * count(*) FILTER (case_id = 0) / (SELECT count(*) FROM ev WHERE case_id = 0), 6) AS pct_a, round(100.0 * count(*) FILTER (case_id = 1) / (SELECT count(*) FROM ev WHERE case_id = 1), 6) AS pct_b,
   round(100.0 * count(*) FILTER (case_id = 0) / (SELECT count(*) FROM ev WHERE case_id = 0) - 100.0 * count(*) FILTER (case_id = 1) / (SELECT count(*) FROM ev WHERE case_id = 1), 6) AS delta FROM ev GROUP BY 1"""

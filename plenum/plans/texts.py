@@ -20,10 +20,16 @@ def institution_regex(spark, sf_dir):
     return d.filter("i is not null").select("doc_id", "i.institution", "i.source")
 
 
-@query()
+_NODES = r"""n AS (SELECT page_id, k, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(h, '<!--.*?-->', '<i>', 'gs'), '(<script[^>]*>[^<]*)</p>', '\1@@@@', 'g'), '<[^>]*>'), lambda x: replace(replace(replace(replace(replace(replace(replace(x, '@@@@', '</p>'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), lambda x: x <> '') AS nodes
+  FROM (SELECT page_id, 'raw' AS k, '<b>' || page_id || '</b><aside class="quote"><p>Quoted &amp; not own</p></aside>' || html AS h FROM pages UNION ALL SELECT page_id, 'own', '<b>' || page_id || '</b>' || html FROM pages))"""
+
+
+@query(f"WITH {_NODES}, t AS (SELECT page_id, k, regexp_replace(array_to_string(nodes, ' '), '^\\s+|\\s+$', '', 'g') AS t FROM n) SELECT a.page_id, length(a.t) AS n_raw, length(b.t) AS n_own, md5(b.t) AS own_md5 FROM t a JOIN t b ON a.page_id = b.page_id AND a.k = 'raw' AND b.k = 'own'")
 def html_text(spark, sf_dir):
-    """Text nodes of each page, with and without quotes."""
-    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("t")).select("page_id", F.length("t.raw_text").alias("n_raw"), F.length("t.own_text").alias("n_own"))
+    """Text nodes of each page (behind a quote of another post), with and without quotes."""
+    html = F.concat(F.lit("<b>"), "page_id", F.lit('</b><aside class="quote"><p>Quoted &amp; not own</p></aside>'), "html")
+    t = table(spark, sf_dir, "pages").select("page_id", text.html_text(html).alias("t"))
+    return t.select("page_id", F.length("t.raw_text").cast("long").alias("n_raw"), F.length("t.own_text").cast("long").alias("n_own"), F.md5("t.own_text").alias("own_md5"))
 
 
 @query("SELECT page_id, array_to_string(list_distinct_ordered, ',') AS quoted, len(list_distinct_ordered) AS n FROM (SELECT page_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS list_distinct_ordered FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages))")
@@ -73,12 +79,42 @@ def topic_counts(spark, sf_dir):
     return topics.topic_counts(table(spark, sf_dir, "embeddings"), "label", noise=0)
 
 
-@query()
+_EPS = 1.17
+
+
+@query(
+    f"""WITH RECURSIVE u AS (SELECT vec_id AS id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+  p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM u a CROSS JOIN u b WHERE list_distance(a.v, b.v) <= {_EPS}), core AS MATERIALIZED (SELECT a AS id FROM p GROUP BY 1 HAVING count(*) >= 5),
+  e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), r(node, root) AS (SELECT id, id FROM core UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), c AS (SELECT node AS id, min(root) AS component FROM r GROUP BY 1),
+  g AS (SELECT b AS id, arg_min(a, row(d, a)) AS near FROM p WHERE a IN (SELECT id FROM core) AND b NOT IN (SELECT id FROM core) GROUP BY 1), l AS (SELECT * FROM c UNION ALL SELECT g.id, c.component FROM g JOIN c ON c.id = g.near),
+  t AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS topic FROM l GROUP BY 1) SELECT u.id, coalesce(topic, -1) AS topic FROM u LEFT JOIN l ON l.id = u.id LEFT JOIN t USING (component)"""
+)
 def topic_cluster(spark, sf_dir):
-    """Clusters of the embeddings, the farthest few as noise."""
+    """Topics of the embeddings by density, with noise."""
+    return topics.density_cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", eps=_EPS)
+
+
+@query()
+def topic_kmeans(spark, sf_dir):
+    """A given number of clusters of the embeddings, the farthest few as noise."""
     return topics.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10, noise_share=0.05)
 
 
+#: Words that say nothing, in the languages of the documents.
+STOP = ["and", "are", "das", "dans", "der", "des", "die", "les", "los", "not", "que", "the", "und", "una", "with"]
+_STOPPED = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang AS topic, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN {_STOPPED}) AS w FROM documents), g AS (SELECT doc_id, topic, unnest(list_concat(w, list_transform(range(1, greatest(1, len(w))), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d),
+  tf AS (SELECT topic, term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1 HAVING sum(df) >= 2), k AS (SELECT topic, term, tf, f FROM tf JOIN f USING (term)), a AS (SELECT sum(tf) / CAST(count(DISTINCT topic) AS DOUBLE) AS a FROM k),
+  s AS (SELECT topic, term, round(tf * ln(1 + a / f), 6) AS score FROM k CROSS JOIN a), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM s) SELECT topic, rank, term, score FROM r WHERE rank <= 8"""
+)
+def topic_phrases(spark, sf_dir):
+    """Words and pairs of words that tell a class, without stop words and what one document alone has."""
+    return topics.class_phrases(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", stop=STOP)
+
+
 _RULE = """a AS (SELECT concat_ws('_', conv_id, turn) AS record_id, substr(text, 1, 800) AS t FROM conversations), w AS (SELECT *, regexp_extract_all(t, '[^ \\t\\n\\r]+') AS w, lower(t) AS low FROM a),
   r AS (SELECT record_id, CASE WHEN regexp_matches(t, '[0-9]') THEN 'Technical' ELSE 'Process' END AS argument_type, CASE WHEN list_contains(regexp_extract_all(low, '[^ \\t\\n\\r]+'), 'not') THEN 'Oppose' WHEN contains(low, 'good') OR contains(low, 'thanks') THEN 'Support' WHEN contains(low, 'should') THEN 'Modify' ELSE 'Neutral' END AS stance,
     array_to_string(w[1:8], ' ') AS key_point FROM w)"""
@@ -93,14 +129,53 @@ def annotate_stub(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_RULE}, c AS (SELECT record_id, argument_type || '/' || stance AS code FROM r), b AS (SELECT code, 'T' || lpad(CAST(row_number() OVER (ORDER BY code) AS VARCHAR), 2, '0') AS theme_id FROM (SELECT DISTINCT code FROM c))
-  SELECT record_id, theme_id, 'high' AS confidence FROM c JOIN b USING (code)"""
+    f"""WITH {_RULE}, c AS (SELECT record_id, argument_type || '/' || stance AS code, argument_type FROM r), b AS (SELECT argument_type, 'T' || lpad(CAST(row_number() OVER (ORDER BY argument_type) AS VARCHAR), 2, '0') AS theme_id FROM (SELECT DISTINCT argument_type FROM c))
+  SELECT record_id, theme_id, 'high' AS confidence FROM c JOIN b USING (argument_type)"""
 )
 def theme_coding(spark, sf_dir):
-    """Open codes, the codebook made of them, and each record's theme."""
+    """Open codes, the themes they are grouped into, the reviewed codebook, and each record's theme."""
     c = table(spark, sf_dir, "conversations").withColumn("record_id", F.concat_ws("_", "conv_id", "turn"))
     codes = annotate.annotate(c, "record_id", "text").select("record_id", F.concat_ws("/", "annotation.argument_type", "annotation.stance").alias("code"))
-    return annotate.assign(codes, "record_id", "code", annotate.codebook(codes, "code"))
+    book = annotate.review(annotate.aggregate(codes, "code", annotate.group_by_first_part), annotate.keep_in_order)
+    return annotate.assign(codes, "record_id", "code", annotate.themes_table(spark, book))
+
+
+_ENTRY_ROWS = {
+    0: "'| **@S' || s_suppkey || '** / @alt' || s_suppkey || ' | ' || s_name || ' | **Org' || (s_suppkey % 3) || '** (x) | Confirmed | see [site](https://e.org/' || s_suppkey || ') |'",
+    1: "'| @S' || s_suppkey || ' | — | 3 | note ' || s_suppkey || ' |'",
+    2: "'| `S' || s_suppkey || '` | Google | **Meta' || (s_suppkey % 2) || '** | bare https://x.org/' || s_suppkey || ' |'",
+    3: "'| ' || s_name || ' | @S' || s_suppkey || ' | s' || s_suppkey || '@x.org | Lab' || (s_suppkey % 2) || ' |'",
+}
+_HEADS = {0: "## 1.1 Confirmed", 1: "## 1.3 Unknown", 2: "## 2.3 Corrections", 3: "## 3 Header"}
+
+
+@query(
+    """SELECT 'S' || s_suppkey AS primary_handle, CASE WHEN s_suppkey % 4 = 0 THEN 'alt' || s_suppkey ELSE '' END AS alts, CASE WHEN s_suppkey % 4 IN (0, 3) THEN s_name END AS display_name, CASE s_suppkey % 4 WHEN 0 THEN 'Org' || (s_suppkey % 3) WHEN 1 THEN 'Independent' WHEN 2 THEN 'Meta' || (s_suppkey % 2) ELSE 'Lab' || (s_suppkey % 2) END AS institution,
+  'Confirmed' AS confidence, CASE WHEN s_suppkey % 4 = 3 THEN 'eip_header_email' ELSE 'manual_R07' END AS institution_source, CASE WHEN s_suppkey % 4 = 2 THEN 'second' ELSE 'first' END AS "case",
+  CASE s_suppkey % 4 WHEN 0 THEN 'see site' WHEN 1 THEN 'note ' || s_suppkey WHEN 2 THEN 'bare https://x.org/' || s_suppkey ELSE 'EIP header email: s' || s_suppkey || '@x.org' END AS evidence, CASE s_suppkey % 4 WHEN 0 THEN 'https://e.org/' || s_suppkey WHEN 2 THEN 'https://x.org/' || s_suppkey WHEN 3 THEN 'https://eips.example.org' END AS evidence_url,
+  s_suppkey % 4 = 2 AS lm_correction, CASE WHEN s_suppkey % 4 = 2 THEN 'Google' END AS lm_wrong, CASE s_suppkey % 4 WHEN 0 THEN '1.1' WHEN 1 THEN '1.3' WHEN 2 THEN '2.3' ELSE '3' END AS section FROM supplier"""
+)
+def manual_entries(spark, sf_dir):
+    """Entries of hand-made tables, each section read by its own rules: a text for each nation's suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    parts = [F.array_join(F.concat(F.array(F.lit(h), F.lit("| a | b | c | d | e |"), F.lit("|---|---|---|---|---|")), F.sort_array(F.collect_list(F.when(F.col("s_suppkey") % 4 == k, F.expr(_ENTRY_ROWS[k]))))), "\n") for k, h in _HEADS.items()]
+    docs = s.groupBy("s_nationkey").agg(F.concat_ws("\n", *parts).alias("t"))  # the suppliers of a nation, as a hand-made file has them
+    sections = {_HEADS[0]: ("confirmed", "first", "1.1"), _HEADS[1]: ("unknown", "first", "1.3"), _HEADS[2]: ("corrections", "second", "2.3"), _HEADS[3]: ("header", "first", "3")}
+    e = text.manual_entries(text.markdown_tables(docs, "s_nationkey", "t"), sections, "https://eips.example.org")
+    return e.withColumn("alts", F.array_join("alt_handles", ",")).drop("alt_handles")
+
+
+_WRAP = "'Label ' || p_type || CASE WHEN p_partkey % 5 = 0 THEN ' & ' ELSE ' of ' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' and some more' END"
+
+
+@query(
+    f"""WITH l AS (SELECT p_partkey, 'T' || (p_partkey % 19) AS h, {_WRAP} AS l FROM part), b AS (SELECT *, h || ': ' || l AS b, length(l) // 2 AS m FROM l), s AS (SELECT *, list_filter(flatten(list_transform(range(0, 12), lambda o: [m + o, m - o])), lambda i: i > 0 AND i < length(l) AND substr(l, i + 1, 1) = ' ')[1] AS i FROM b)
+  SELECT p_partkey, CASE WHEN length(b) <= 38 THEN b WHEN contains(b, ' & ') THEN replace(b, ' & ', ' &' || chr(10)) WHEN length(l) > 32 AND i IS NOT NULL THEN h || ': ' || substr(l, 1, i) || chr(10) || substr(l, i + 2) ELSE b END AS label FROM s"""
+)
+def label_wrap(spark, sf_dir):
+    """Labels in two lines."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "'T' || (p_partkey % 19) AS h", f"{_WRAP} AS l")
+    return p.select("p_partkey", text.wrapped(F.col("h"), F.col("l")).alias("label"))
 
 
 @query()

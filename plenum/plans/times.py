@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plenum.operators import timebins
+from plenum.operators import structure, timebins
 from plenum.plans.registry import EV, discourse, query
 from plenum.storage import table
 
@@ -126,3 +126,44 @@ def timeline_rows(spark, sf_dir):
     f = discourse(spark, sf_dir).groupBy("actor").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n")).withColumn("institution", F.col("actor") % 7)
     w = Window.partitionBy("institution").orderBy("first_ts", "actor")
     return f.select("actor", "institution", F.floor(timebins.micros(F.col("first_ts")) / 1000).alias("first_ms"), "n", F.row_number().over(w).cast("long").alias("row_in_group"))
+
+
+_RAW = """raw AS (SELECT CASE o_orderkey % 9 WHEN 0 THEN 'forum' WHEN 1 THEN 'commit' WHEN 2 THEN 'issue' WHEN 3 THEN 'issue_comment' WHEN 4 THEN 'pr' WHEN 5 THEN 'pr_review_comment' WHEN 6 THEN 'discussion' WHEN 7 THEN 'discussion_comment' ELSE 'discussion_reply' END AS source,
+  CASE WHEN o_custkey % 50 = 0 THEN '' ELSE 'u' || o_custkey END AS author, CASE WHEN o_orderkey % 40 = 9 THEN 'no date' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS date, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS INTEGER) END AS reply_to_post_number, o_orderstatus = 'F' AS merged, o_orderdate AS ts,
+  CASE WHEN o_orderkey % 10 = 2 THEN 'please /vote' WHEN o_orderkey % 10 = 3 THEN '/cancel-vote' ELSE 'text' END AS raw_text, CASE WHEN o_orderkey % 3 = 0 THEN 'https://api/repos/issues/' || (o_custkey % 40) END AS issue_url, 'https://host/issues/' || (o_custkey % 7) || '#c' AS url FROM orders)"""
+
+
+def _raw(spark, sf_dir):
+    date = F.when(F.col("o_orderkey") % 40 == 9, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderdate", "CASE o_orderkey % 9 WHEN 0 THEN 'forum' WHEN 1 THEN 'commit' WHEN 2 THEN 'issue' WHEN 3 THEN 'issue_comment' WHEN 4 THEN 'pr' WHEN 5 THEN 'pr_review_comment' WHEN 6 THEN 'discussion' WHEN 7 THEN 'discussion_comment' ELSE 'discussion_reply' END AS source",
+        "CASE WHEN o_custkey % 50 = 0 THEN '' ELSE 'u' || o_custkey END AS author", "CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS INT) END AS reply_to_post_number", "o_orderstatus = 'F' AS merged",
+        "CASE WHEN o_orderkey % 10 = 2 THEN 'please /vote' WHEN o_orderkey % 10 = 3 THEN '/cancel-vote' ELSE 'text' END AS raw_text", "CASE WHEN o_orderkey % 3 = 0 THEN 'https://api/repos/issues/' || (o_custkey % 40) END AS issue_url", "'https://host/issues/' || (o_custkey % 7) || '#c' AS url",
+    ).withColumn("date", date)
+
+
+@query(
+    f"""WITH {_RAW}, r AS (SELECT * FROM raw WHERE date <> 'no date'), w AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM r WHERE source = 'forum' AND author <> '' GROUP BY 1)
+  SELECT date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS days_active, count(*) AS records, count(*) FILTER (source = 'forum') AS forum_posts, count(DISTINCT nullif(author, '')) AS contributors,
+  round(count(*) FILTER (source = 'forum' AND reply_to_post_number IS NOT NULL) / CAST(count(*) FILTER (source = 'forum') AS DOUBLE), 3) AS reply_rate, (SELECT coalesce(max(n), 0) FROM w) AS peak_week_posts FROM r"""
+)
+def forum_metrics(spark, sf_dir):
+    """A forum's structure."""
+    return structure.forum_metrics(_raw(spark, sf_dir))
+
+
+_NUMBER = "CAST(coalesce(nullif(regexp_extract(issue_url, '/issues/([0-9]+)', 1), ''), nullif(regexp_extract(url, '/issues/([0-9]+)', 1), '')) AS BIGINT)"
+_NAMED = "(SELECT coalesce(string_agg('#' || t, ', ' ORDER BY t), '') FROM (SELECT DISTINCT {n} AS t FROM raw WHERE source IN ('issue', 'issue_comment') AND contains(raw_text, '{c}')))"
+
+
+@query(
+    f"""WITH {_RAW} SELECT count(*) FILTER (source = 'commit') AS total_commits, count(DISTINCT nullif(author, '')) FILTER (source = 'commit') AS commit_authors, min(substr(date, 1, 10)) FILTER (source = 'commit') AS first_commit, max(substr(date, 1, 10)) FILTER (source = 'commit') AS last_commit,
+  count(*) FILTER (source = 'pr') AS total_prs, count(*) FILTER (source = 'pr' AND merged) AS merged_prs, round(count(*) FILTER (source = 'pr' AND merged) / CAST(count(*) FILTER (source = 'pr') AS DOUBLE), 3) AS pr_merge_rate, count(DISTINCT nullif(author, '')) FILTER (source = 'pr_review_comment') AS review_comment_authors,
+  count(*) FILTER (source = 'issue') AS disc_issues, count(*) FILTER (source = 'issue_comment') AS disc_issue_comments, count(*) FILTER (source = 'pr') AS disc_prs, count(*) FILTER (source = 'pr_review_comment') AS disc_pr_review_comments, count(*) FILTER (source = 'discussion') AS disc_github_discussions,
+  count(*) FILTER (source IN ('discussion_comment', 'discussion_reply')) AS disc_discussion_comments, count(*) FILTER (source NOT IN ('forum', 'commit')) AS total_discussion_records, count(DISTINCT nullif(author, '')) FILTER (source NOT IN ('forum', 'commit')) AS unique_contributors,
+  count(*) FILTER (source IN ('issue', 'issue_comment') AND contains(raw_text, '/vote')) AS vote_commands, count(*) FILTER (source IN ('issue', 'issue_comment') AND contains(raw_text, '/cancel-vote')) AS cancel_commands,
+  count(DISTINCT {_NUMBER}) FILTER (source IN ('issue', 'issue_comment') AND contains(raw_text, '/vote')) AS voted_threads, {_NAMED.format(n=_NUMBER, c='/vote')} AS voted_issue_nums, {_NAMED.format(n=_NUMBER, c='/cancel-vote')} AS cancelled_issue_nums FROM raw"""
+)
+def repository_metrics(spark, sf_dir):
+    """A repository's structure."""
+    return structure.repository_metrics(_raw(spark, sf_dir))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plenum.functions.predicates import is_bot, strip
+
 #: The superset of record fields. Ids that change type between sources are text; dates are ISO-8601 text.
 RECORD = (
     "source string, platform string, record_type string, post_id bigint, post_number int, pr_number int, issue_number int, discussion_number int, comment_id string, parent_comment_id string, sha string, "
@@ -79,3 +81,10 @@ def lookup_profiles(handles: DataFrame, handle: str, profiles: DataFrame) -> Dat
     """A profile for each distinct handle; found is false where there is none."""
     h = handles.select(F.col(handle).alias("handle")).filter(F.col("handle").isNotNull()).distinct()
     return h.join(profiles.drop("found").withColumn("_hit", F.lit(True)), "handle", "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def load_corpus(records: DataFrame, cases: list[str], bots: list[str], least: int = 20, id_col: str = "record_id") -> DataFrame:
+    """record id, case, author, date and text of the records that a topic model reads: of the cases, by people, and long enough."""
+    t = strip(F.coalesce("raw_text", F.lit("")))
+    kept = records.filter(F.col("_case").isin(cases) & ~is_bot(F.coalesce("author", F.lit("")), set(bots), ["[bot]"]) & (F.length(t) >= least))
+    return kept.select(F.col(id_col), "_case", "author", "date", t.alias("text"))

@@ -4,21 +4,75 @@ from __future__ import annotations
 
 import json
 
-from plenum.sources import records
-from plenum.sources.paged import SIZE, PagedSource
+from plenum.sources import clients, paged, records
 from plenum.streaming import live
 
 
-def test_paged_source_stops_at_the_first_short_page(spark, tmp_path):
-    spark.dataSource.register(PagedSource)
-    for page, n in ((1, SIZE), (2, SIZE), (3, 7), (4, SIZE)):
-        (tmp_path / f"page-{page}.json").write_text(json.dumps([{"id": page * 1000 + k, "author": {"login": "a"}, "url": None} for k in range(n)]))
-    read = lambda **o: spark.read.format("paged").schema("id string, author string, url string").options(path=str(tmp_path), pages_per_partition=1, **o).load()
-    assert read().count() == 2 * SIZE + 7
-    assert read(start_page=3).count() == 7 and read(max_pages=1).count() == SIZE and read(start_page=9).count() == 0
+def host(endpoint: str, page: int, size: int) -> list[dict]:
+    """A client that stands for an interface of 2 full pages and a short one."""
+    n = {1: size, 2: size, 3: 7}.get(page, 0) if endpoint == "ok" else 0
+    return [{"id": page * 1000 + k, "author": {"login": "a"}, "url": None} for k in range(n)]
+
+
+def test_paged_source_stops_at_the_first_short_page(spark):
+    spark.dataSource.register(paged.PagedSource)
+    read = lambda end="ok", **o: spark.read.format("paged").schema("id string, author string, url string").options(client="tests.test_sources_and_streams:host", endpoint=end, **o).load()
+    assert read().count() == read(pages_per_partition=1).count() == 2 * paged.SIZE + 7
+    assert read(start_page=3).count() == 7 and read(max_pages=1).count() == paged.SIZE and read(start_page=9).count() == 0 and read("none").count() == 0
     assert read(start_page=3).first()["author"] == '{"login": "a"}'
 
 
+def test_landed_pages(spark, tmp_path):
+    for page, n in ((1, 5), (2, 5), (3, 2), (4, 5), (10, 5)):
+        (tmp_path / f"page-{page}.json").write_text(json.dumps([{"id": page * 100 + k} for k in range(n)]))
+    (tmp_path / "other.json").write_text("[]")
+    read = lambda *o: [r["id"] for r in paged.landed_pages(spark, str(tmp_path), "id long", *o, size=5).orderBy("page", "_pos").collect()]
+    assert len(read()) == 12 and read()[-1] == 301 and read(2) == [*range(200, 205), 300, 301] and len(read(1, 1)) == 5 and read(4) == [*range(400, 405)] and read(6) == []
+    assert paged.landed_pages(spark, str(tmp_path / "none"), "id long").count() == 0
+
+
+def test_clients_follow_pages_and_cursors():
+    got = list(clients.pages(lambda page: [{"p": page}] * {1: 3, 2: 3, 3: 1}.get(page, 3), size=3))
+    assert [g["p"] for g in got] == [1, 1, 1, 2, 2, 2, 3] and len(list(clients.pages(lambda page: [1] * 3, size=3, max_pages=2))) == 6
+    answers = {None: {"nodes": [1, 2], "pageInfo": {"hasNextPage": True, "endCursor": "x"}}, "x": {"nodes": [3], "pageInfo": {"hasNextPage": False}}}
+    assert list(clients.cursor(answers.get)) == [1, 2, 3] and list(clients.cursor(lambda c: None)) == []
+    assert list(clients.cursor(lambda c: {"nodes": [1], "pageInfo": {"hasNextPage": True, "endCursor": "same"}})) == [1, 1]  # a cursor that stays ends it
+
+
+def test_discussions_have_all_comments():
+    d = {"number": 7, "comments": {"nodes": [{"id": "a", "replies": {"nodes": [{"id": "r"}]}}], "pageInfo": {"hasNextPage": True, "endCursor": "k"}}}
+    more = {"k": {"nodes": [{"id": "b"}], "pageInfo": {"hasNextPage": True, "endCursor": "l"}}, "l": {"nodes": [{"id": "c"}], "pageInfo": {"hasNextPage": False}}}
+    got = list(clients.discussions(lambda after: {"nodes": [d], "pageInfo": {"hasNextPage": False}}, lambda number, after: more[after] if number == 7 else None))
+    assert [c["id"] for c in got[0]["comments"]] == ["a", "b", "c"] and got[0]["comments"][0]["replies"] == [{"id": "r"}] and got[0]["comments"][1]["replies"] == []
+
+
+def test_topics_come_in_batches_with_one_retry():
+    asked = []
+
+    def posts(ids):
+        asked.append(ids)
+        return None if len(asked) == 1 else [{"id": k} for k in ids]
+
+    topic = {"post_stream": {"posts": [{"id": 1}, {"id": 2}], "stream": list(range(1, 26))}}
+    assert [p["id"] for p in clients.topic_posts(lambda: topic, posts, batch=20)] == list(range(1, 26))
+    assert [len(a) for a in asked] == [20, 20, 3]
+    assert list(clients.topic_posts(lambda: None, posts)) == []
+    assert [p["id"] for p in clients.topic_posts(lambda: topic, lambda ids: None)] == [1, 2]
+
+
+def test_responses_and_settings():
+    assert clients.with_status('{"a": 1}\n200') == ('{"a": 1}', 200) and clients.with_status("no status") == ("no status", 0)
+    assert clients.parsed('{"a": 1}\n200') == {"a": 1} and clients.parsed("{}\n404") is None and clients.parsed("x\n200") is None
+    lines = ["# A=no", "A = 'one'", 'export B="two"', "bad line", "C="]
+    assert clients.settings(iter(lines), {"A": None, "B": None, "C": "c", "D": None}, {"B": "own"}) == {"A": "one", "B": "own", "C": "c", "D": None}
+
+
+def test_corpus(spark):
+    rows = [("1", "x", "ann", "d", "a text of twenty letters"), ("2", "x", "ci[bot]", "d", "a text of twenty letters"), ("3", "y", "ann", "d", "a text of twenty letters"), ("4", "x", None, "d", "short"), ("5", "x", "robo", "d", "a text of twenty letters"), ("6", "x", None, "d", None)]
+    df = spark.createDataFrame(rows, "record_id string, _case string, author string, date string, raw_text string")
+    assert [r["record_id"] for r in records.load_corpus(df, ["x"], ["robo"]).collect()] == ["1"]
+
+
 def test_discussions_become_flat(spark, tmp_path):
     d = {"number": 4, "title": "T", "body": None, "createdAt": "2024-01-01", "author": {"login": "ann"}, "category": {"name": "Ideas"},
          "comments": [{"id": "c1", "body": "x", "author": None, "replies": [{"id": "r1", "body": "y", "author": {"login": "bob"}}]}, {"id": "c2", "body": "z", "replies": []}]}

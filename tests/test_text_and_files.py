@@ -109,3 +109,77 @@ def test_identity(spark):
     assert {r["canonical"] for r in identity.canonical(rows, "author", a).collect()} == {"bob", "zed"}
     e = spark.createDataFrame([(0, "Ann", "lm_inferred", "Confirmed"), (1, "ann", "manual_R07", "Probable"), (2, "ANN", "manual_R07", "Probable")], "pos long, h string, s string, c string")
     assert identity.best_entry(e, "h", "s", "c", "pos").first()["pos"] == 1
+
+
+def test_themes_are_grouped_reviewed_and_assigned(spark):
+    codes = spark.createDataFrame([("1", "b/x"), ("2", "a/y"), ("3", "a/z"), ("4", ""), ("5", None), ("6", "b/x")], "id string, code string")
+    themes = annotate.aggregate(codes, "code", annotate.group_by_first_part)
+    assert themes == {"a": ["a/y", "a/z"], "b": ["b/x"]}
+    book = annotate.review(themes, annotate.keep_in_order)
+    assert [(e["theme_id"], e["label"]) for e in book] == [("T01", "a"), ("T02", "b")]
+    got = {r["record_id"]: (r["theme_id"], r["confidence"]) for r in annotate.assign(codes, "id", "code", annotate.themes_table(spark, book)).collect()}
+    assert got == {"1": ("T02", "high"), "2": ("T01", "high"), "3": ("T01", "high"), "4": ("Unclassified", "low"), "5": ("Unclassified", "low"), "6": ("T02", "high")}
+    no = lambda prompts: ["no json"] * len(prompts)
+    assert annotate.aggregate(codes, "code", no) == {} and annotate.review(themes, no) == []
+    assert annotate.review(themes, lambda p: ['[{"theme_id": "X", "label": "l"}, {"label": "m"}]']) == [{"theme_id": "X", "label": "l", "description": "", "codes": []}, {"theme_id": "T02", "label": "m", "description": "", "codes": []}]
+
+
+def test_samples_of_strata(spark):
+    rows = spark.createDataFrame([(k, "abc"[k % 3] if k < 90 else "d") for k in range(93)], "id long, s string")
+    draw = lambda seed: sorted((r["s"], r["id"]) for r in annotate.stratified_sample(rows, "s", {"a": 5, "b": 100, "c": 1}, "id", seed).collect())
+    got = draw(42)
+    assert [s for s, _ in got].count("a") == 5 and [s for s, _ in got].count("b") == 30 and [s for s, _ in got].count("c") == 1 and len(got) == 36
+    assert got == draw(42) != draw(7)
+
+
+def test_lookup_over_handles(spark):
+    p = spark.createDataFrame([("p", "ANN", "x", "bob"), ("q", "", None, "Bob"), ("r", None, "zed", None)], "key string, canonical string, code string, forum string")
+    e = identity.best_entry(spark.createDataFrame([(0, "ann", "manual_R07", "Confirmed"), (1, "bob", "manual_R07", "Confirmed")], "pos long, h string, s string, c string"), "h", "s", "c", "pos")
+    got = {r["key"]: (r["h"], r["found_by"]) for r in identity.lookup(p, "key", ["canonical", "code", "forum"], e).collect()}
+    assert got == {"p": ("ann", 1), "q": ("bob", 3), "r": (None, None)}
+
+
+def test_manual_sections(spark):
+    md = "## A\n| h | n | i | c | e |\n|---|---|---|---|---|\n| @x / y | — | **Org** (a) | Strong | [t](https://a.b/c) end |\n| — | n | o | c | e |\n| short | row |\n## B\n| h | n | c | t |\n|-|-|-|-|\n| @u | U | 3 | |\n| v |\n## C\n| h | l | a | e |\n|-|-|-|-|\n| w | Google | (none) | why |"
+    t = text.markdown_tables(spark.createDataFrame([("d", md)], "id string, t string"), "id", "t")
+    got = {r["primary_handle"]: r for r in text.manual_entries(t, {"## A": ("confirmed", "one", "1"), "## B": ("unknown", "one", "2"), "## C": ("corrections", "two", "3")}).collect()}
+    assert set(got) == {"x", "u", "v", "w"}
+    assert (got["x"]["alt_handles"], got["x"]["display_name"], got["x"]["institution"], got["x"]["evidence"], got["x"]["evidence_url"]) == (["y"], None, "Org", "t end", "https://a.b/c")
+    assert got["u"]["evidence"] == text.EMPTY_NOTES and got["v"]["evidence"] == text.NO_NOTES and got["w"]["institution"] == "Unknown" and got["w"]["lm_wrong"] == "Google"
+
+
+def test_density_clusters(spark):
+    """Against neighbours counted one by one."""
+    import math
+    import random
+
+    from plenum.operators import topics
+
+    rng = random.Random(2)
+    unit = lambda a: [math.cos(a), math.sin(a), 0.1 * rng.random()]
+    rows = [(k, unit(0.02 * k)) for k in range(12)] + [(20 + k, unit(2 + 0.02 * k)) for k in range(6)] + [(40, unit(4.0)), (41, unit(5.0)), (50, unit(0.27))] + [(60, None)]
+    got = {r["id"]: r["topic"] for r in topics.density_cluster(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", eps=0.12, min_points=4).collect()}
+    assert {got[k] for k in range(12)} == {0} and {got[20 + k] for k in range(6)} == {1} and got[40] == got[41] == -1 and 60 not in got
+    assert topics.density_cluster(spark.createDataFrame([], "id long, v array<double>"), "id", "v", eps=0.1).count() == 0
+
+
+def test_wrapped_labels(spark):
+    rows = [("T1", "short"), ("T2", "one long label with & an ampersand in it"), ("T3", "another quite long label without that sign"), ("T4", "x" * 50)]
+    got = [r[0] for r in spark.createDataFrame(rows, "h string, l string").select(text.wrapped(F.col("h"), F.col("l"))).collect()]
+    assert got == ["T1: short", "T2: one long label with &\nan ampersand in it", "T3: another quite long label\nwithout that sign", "T4: " + "x" * 50]
+
+
+def test_long_reports_say_that_they_are_cut(spark):
+    df = spark.range(5)
+    assert files.markdown_table(df, 3).endswith("The first 3 rows.") and files.markdown_table(df, 3).count("\n| ") == 3 and "first" not in files.markdown_table(df, 5)
+
+
+def test_coverage_by_source_and_error(spark):
+    from plenum.operators import profiles
+
+    raw = spark.createDataFrame([("a", "x", 0, "u", "d1"), ("b", "x", 1, "u", "d2"), ("c", "y", 2, "v", "d1"), ("d", "y", 3, "w", "d9")], "record_id string, source string, _pos long, author string, date string")
+    done = raw.filter("_pos < 3").withColumn("annotation_error", F.when(F.col("_pos") == 1, "json_parse: {").when(F.col("_pos") == 2, "text_too_short"))
+    got = {r["source"]: tuple(r)[1:] for r in profiles.coverage_by(raw, done, "source", "record_id", F.col("_pos") >= 0).collect()}
+    assert got == {"x": (2, 2, 1, 1, 0, "WARN"), "y": (2, 2, 0, 1, 1, "FAIL")}
+    assert {tuple(r) for r in profiles.error_summary(done, "source").collect()} == {("x", "ok", None, 1), ("x", "failed", "json_parse", 1), ("y", "short", None, 1)}
+    assert {tuple(r) for r in profiles.coverage_by_author(raw, done, "source").collect()} == {("x", 2, 1, 1, 0), ("y", 2, 0, 1, 1)}
