@@ -25,15 +25,15 @@ def crosstab(rows: DataFrame, row: str, column: str, order: list[str]) -> DataFr
 
 
 def chi_square(rows: DataFrame, row: str, column: str) -> DataFrame:
-    """One row: Pearson's chi2, dof, n and Cramér's V of the table of two columns. Cells that expect nothing are left out."""
+    """One row: Pearson's chi2, dof, n and Cramér's V of the table of two columns. Cells that expect nothing are left out.
+
+    The sum of (o - e)^2 / e over all cells is n times the sum of o^2 / (row total times column total), less n, so that empty
+    cells need not be made.
+    """
     cells = rows.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("r"), F.col(column).alias("c")).agg(F.count("*").alias("o"))
-    r = cells.groupBy("r").agg(F.sum("o").alias("nr"))
-    c = cells.groupBy("c").agg(F.sum("o").alias("nc"))
-    # Categories cross categories: their number bounds it, not the rows'.
-    grid = r.crossJoin(c).join(cells, ["r", "c"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    grid = grid.withColumn("n", F.sum("o").over(Window.partitionBy()))
-    e = F.col("nr") * F.col("nc") / F.col("n")
-    agg = grid.agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("chi2"), F.countDistinct("r").alias("rows"), F.countDistinct("c").alias("columns"), F.max("n").alias("n"))
+    sums = cells.withColumn("nr", F.sum("o").over(Window.partitionBy("r"))).withColumn("nc", F.sum("o").over(Window.partitionBy("c")))  # categories, not rows
+    agg = sums.agg(F.sum(F.col("o").cast("double") * F.col("o") / (F.col("nr").cast("double") * F.col("nc"))).alias("s"), F.count_distinct("r").alias("rows"), F.count_distinct("c").alias("columns"), F.sum("o").alias("n"))
+    agg = agg.withColumn("chi2", F.greatest(F.lit(0.0), F.col("n") * (F.col("s") - 1)))
     k = F.least("rows", "columns") - 1
     return agg.select(
         F.round("chi2", 6).alias("chi2"), ((F.col("rows") - 1) * (F.col("columns") - 1)).cast("long").alias("dof"), "n",

@@ -107,13 +107,14 @@ def degree_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def label_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, q: modularity of the labels (node, label), every edge counted once."""
-    m = edges.agg(F.count("*").alias("m"))
-    j = edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("la")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("lb")), "dst")
-    inside = j.filter("la = lb").groupBy(F.col("la").alias("label")).agg(F.count("*").alias("inside"))
-    ends = j.select(F.explode(F.array("la", "lb")).alias("label")).groupBy("label").agg(F.count("*").alias("d"))
-    part = ends.join(inside, "label", "left").crossJoin(F.broadcast(m))
+def label_modularity(edges: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:
+    """One row, q: modularity of the labels (node, label), every edge counted once, or by its weight."""
+    w = F.col("weight") if weighted else F.lit(1)
+    m = edges.agg(F.sum(w).alias("m"))
+    j = edges.withColumn("_w", w).join(labels.select(F.col("node").alias("src"), F.col("label").alias("la")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("lb")), "dst")
+    inside = j.filter("la = lb").groupBy(F.col("la").alias("label")).agg(F.sum("_w").alias("inside"))
+    both = j.select(F.explode(F.array("la", "lb")).alias("label"), "_w").groupBy("label").agg(F.sum("_w").alias("d"))
+    part = both.join(inside, "label", "left").crossJoin(F.broadcast(m))  # one row
     q = F.coalesce("inside", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), F.lit(2))
     return part.agg(F.round(F.sum(q), 6).alias("q"))
 

@@ -282,6 +282,16 @@ def core_fit(g: Graph, rounds: int = 10) -> tuple[set[int], float]:
     return core, best
 
 
+def core_correlation(g: Graph, core: set[int]) -> float:
+    """The correlation over all pairs of nodes of having an edge with having an end in the core; 0 where either does not vary."""
+    nodes = sorted(g)
+    near = {v: {w for w, _ in g[v]} for v in nodes}
+    edge = np.array([b in near[a] for i, a in enumerate(nodes) for b in nodes[i + 1 :]], float)
+    ideal = np.array([a in core or b in core for i, a in enumerate(nodes) for b in nodes[i + 1 :]], float)
+    spread = edge.std() * ideal.std()
+    return float(((edge - edge.mean()) * (ideal - ideal.mean())).mean() / spread) if spread > 1e-12 else 0.0
+
+
 def core_periphery(edges: DataFrame, nulls: int | None = None, seed: int = 42) -> DataFrame:
     """One row: core size, its mean degree, fit, and the share of random graphs of as many edges that fit as well: 100 of them, or 20 for graphs of over 200 nodes. The random graphs are dealt over the partitions."""
     spark = edges.sparkSession

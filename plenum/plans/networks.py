@@ -291,3 +291,59 @@ def network_table(spark, sf_dir):
         own = network_metrics(graphs.coparticipation(e, ["k", "hour"], "actor"), e.select(F.col("actor").alias("node")).distinct().withColumn("grp", F.col("node") % 7)).withColumn("case", F.lit(f"case_{case}"))
         rows = own if rows is None else rows.unionByName(own)
     return metric_table(rows, "case")
+
+
+@query()
+def graph_layout(spark, sf_dir):
+    """Places of the actors of a graph for drawing: those of the largest component by springs, the others on a ring."""
+    from plenum.operators import layout
+
+    e = sparse(spark, sf_dir)
+    big = ends(giant_edges(graphs.top_subgraph(e, 200)))
+    inner = layout.scaled(layout.springs(big, e, iterations=60))
+    beside = graphs.degrees(e).orderBy(F.desc("strength"), "node").limit(200).select("node").join(big, "node", "left_anti")
+    return inner.unionByName(layout.ring(beside))
+
+
+@query(
+    """WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM p), d AS (SELECT *, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM p, c), r AS (SELECT quantile_cont(d, 0.95) AS r FROM d)
+  SELECT vec_id, round(cx + (x - cx) * 0.42 * CASE WHEN d > r THEN r / d ELSE 1 END, 6) AS x, round(cy + (y - cy) * 0.42 * CASE WHEN d > r THEN r / d ELSE 1 END, 6) AS y FROM d, r"""
+)
+def drawn_in_points(spark, sf_dir):
+    """Outliers at the 95th percentile of the distances, and all points towards the centre."""
+    from plenum.operators import layout
+
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return layout.draw_in(p).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT n_nationkey AS node, round(0.88 * cos(2 * pi() * i / n), 6) AS x, round(0.88 * sin(2 * pi() * i / n), 6) AS y FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation)")
+def ring_places(spark, sf_dir):
+    """Nodes around a circle, unmoved."""
+    from plenum.operators import layout
+
+    r = layout.ring(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")), depth=0.0, turn=0.0)
+    return r.select("node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {_SPARSE} SELECT true AS covers_all, true AS q_agrees, true AS beats_institutions, (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS n")
+def louvain_checks(spark, sf_dir):
+    """The partition has every node once, its modularity is what a sum over the edges gives, and it is better than that of the institutions."""
+    e = sparse(spark, sf_dir)
+    found, q = kernels.communities(e)
+    again = graphs.label_modularity(e, found.withColumnRenamed("community", "label"), weighted=True).first()["q"]
+    other = graphs.label_modularity(e, ends(e).withColumn("label", F.col("node") % 7), weighted=True).first()["q"]
+    n = ends(e).count()
+    return found.agg((F.count_distinct("node") == n).alias("covers_all"), F.lit(abs(again - q) < 1e-5).alias("q_agrees"), F.lit(q > other).alias("beats_institutions"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_SPARSE} SELECT true AS fit_agrees, true AS no_single_change_is_better, true AS p_is_a_share")
+def core_checks(spark, sf_dir):
+    """The fit of the core is the correlation of the edges with its pattern over all pairs, and no node that changes sides raises it."""
+    e = sparse(spark, sf_dir)
+    g = kernels.adjacency(e)
+    core, fit = kernels.core_fit(g)
+    best = kernels.core_correlation(g, core)
+    worse = all(kernels.core_correlation(g, core ^ {v}) <= best + 1e-9 for v in g if 0 < len(core ^ {v}) < len(g))
+    r = kernels.core_periphery(e).first()
+    return spark.range(1).select(F.lit(abs(best - fit) < 1e-9).alias("fit_agrees"), F.lit(worse).alias("no_single_change_is_better"), F.lit(0 < r["p_value"] <= 1).alias("p_is_a_share"))

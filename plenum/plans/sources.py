@@ -179,3 +179,39 @@ def united_metrics(spark, sf_dir):
     b = table(spark, sf_dir, "orders").agg(F.lit("second").alias("name"), F.count("*").alias("commits"))
     files.write_csv(files.union(a, b), path)
     return files.read_csv(spark, path, "name string, posts int, commits long")
+
+
+@query("SELECT 'node' AS kind, 'n' || n_nationkey AS a, n_name || ' </script> & co' AS b FROM nation UNION ALL SELECT 'edge', 'n' || n_nationkey, 'r' || n_regionkey FROM nation")
+def graph_page(spark, sf_dir):
+    """A graph as a page, and what the page holds."""
+    from plenum.sources.drawings import graph_page as page
+
+    path = scratch(spark, "page") + "/graph.html"
+    n = table(spark, sf_dir, "nation")
+    nodes = n.select(F.expr("'n' || n_nationkey").alias("id"), F.expr("n_name || ' </script> & co'").alias("label"), F.lit("#46a").alias("color"))
+    edges = n.select(F.expr("'n' || n_nationkey").alias("src"), F.expr("'r' || n_regionkey").alias("dst"))
+    page(spark, path, "Nations <all>", {"nations": (nodes, edges)}, {"nation": "#46a"})
+    held = F.regexp_extract("value", r'(?s)<script type="application/json" id="graphs">(.*?)</script>', 1)
+    g = spark.read.text(path, wholetext=True).select(F.from_json(held, "array<struct<nodes:array<struct<id:string,label:string>>,edges:array<struct<src:string,dst:string>>>>").alias("g")).select(F.explode("g").alias("g"))
+    return g.select(F.explode("g.nodes").alias("x")).select(F.lit("node").alias("kind"), F.col("x.id").alias("a"), F.col("x.label").alias("b")).unionByName(g.select(F.explode("g.edges").alias("x")).select(F.lit("edge").alias("kind"), F.col("x.src").alias("a"), F.col("x.dst").alias("b")))
+
+
+@query("WITH n AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, round(400.0 * n / max(n) OVER (), 2) AS width FROM n")
+def bar_figure(spark, sf_dir):
+    """Bars as SVG, and their lengths read back."""
+    from plenum.sources.drawings import bar_figure as figure
+
+    path = scratch(spark, "figure") + "/bars.svg"
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n"))
+    figure(spark, path, "Orders", n, "label", "n")
+    svg = spark.read.text(path, wholetext=True)
+    one = F.explode(F.arrays_zip(*[F.regexp_extract_all("value", F.lit(p), 1).alias(c) for c, p in (("label", r'text-anchor="end">([^<]*)<'), ("width", r'width="([0-9.]+)" height="16"'), ("n", r'"/><text [^>]*>([^<]*)<'))]))
+    return svg.select(one.alias("x")).select("x.label", F.col("x.n").cast("long").alias("n"), F.col("x.width").cast("double").alias("width"))
+
+
+@query("SELECT sha256(n_name || chr(10)) AS sha256, length(n_name) + 1 AS bytes, CAST(1 AS BIGINT) AS lines FROM nation")
+def written_checksums(spark, sf_dir):
+    """Digest, bytes and lines of files that were written, one for each nation."""
+    path = scratch(spark, "files")
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return files.checksums(spark, f"{path}/*/*.txt").select("sha256", "bytes", F.col("lines").cast("long").alias("lines"))

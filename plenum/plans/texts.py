@@ -100,6 +100,18 @@ def topic_kmeans(spark, sf_dir):
     return topics.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10, noise_share=0.05)
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\v\f]+'), lambda x: x <> '')[1:128] AS w FROM documents), v AS (SELECT doc_id, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS a, list_sum(list_transform(w, lambda x: length(x) - length(replace(x, 'e', '')))) AS b FROM w WHERE len(w) > 0)
+  SELECT doc_id, round(a / sqrt(a * a + b * b + n * n), 6) AS x, round(b / sqrt(a * a + b * b + n * n), 6) AS y, round(n / sqrt(a * a + b * b + n * n), 6) AS z FROM v UNION ALL SELECT doc_id, 0.0, 0.0, 0.0 FROM w WHERE coalesce(len(w), 0) = 0"""
+)
+def pooled_embeddings(spark, sf_dir):
+    """Unit means of token vectors, of an encoder that stands for a model."""
+    from plenum.operators.embed import embeddings
+
+    e = embeddings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return e.select(F.col("id").cast("long").alias("doc_id"), *[F.round(F.get("embedding", F.lit(k)), 6).alias(c) for k, c in enumerate("xyz")])
+
+
 #: Words that say nothing, in the languages of the documents.
 STOP = ["and", "are", "das", "dans", "der", "des", "die", "les", "los", "not", "que", "the", "und", "una", "with"]
 _STOPPED = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"

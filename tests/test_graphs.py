@@ -204,3 +204,34 @@ def test_network_metrics(spark):
     assert (r["n_nodes"], r["n_edges"], r["n_components"], r["giant_component_ratio"], r["n_louvain_communities"]) == (7, 7, 2, 0.8571, 2)
     assert len(r) == 25 and r["modularity_institution"] == pytest.approx(5 / 14, abs=1e-4)
     assert metric_table(spark.createDataFrame([r]).selectExpr("'a' as case", "*"), "case").count() == 25
+
+
+def test_layouts(spark):
+    from plenum.operators import layout
+
+    n = nodes(spark, range(1, 7))
+    pos = {r["node"]: (r["x"], r["y"]) for r in layout.springs(n, edges(spark, BRIDGE), iterations=200).collect()}
+    far = lambda a, b: math.dist(pos[a], pos[b])
+    assert far(1, 2) < far(1, 5) and far(5, 6) < far(2, 6) and len(pos) == 6
+    assert pos == {r["node"]: (r["x"], r["y"]) for r in layout.springs(n, edges(spark, BRIDGE), iterations=200).collect()}
+    assert layout.springs(nodes(spark, []), edges(spark, [])).count() == 0
+    points = spark.createDataFrame([(0.0, 0.0)] * 2 + [(1.0, 0.0), (-1.0, 0.0), (0.0, 10.0), (0.0, -10.0)], "x double, y double")
+    drawn = layout.draw_in(points, q=0.5, factor=1.0).collect()
+    assert max(math.hypot(r["x"], r["y"]) for r in drawn) == pytest.approx(1.0)
+    assert max(abs(r["y"]) for r in layout.scaled(points, q=1.0, radius=0.6).collect()) == pytest.approx(0.6)
+    assert [tuple(r) for r in layout.draw_in(points.filter("x = 0 and y = 0")).collect()] == [(0.0, 0.0)] * 2
+    r = layout.ring(n).collect()
+    assert all(0.88 <= math.hypot(x["x"], x["y"]) <= 1.08 for x in r) and len({round(x["x"], 3) for x in r}) == 6
+
+
+def test_core_fit_is_a_correlation(spark):
+    g = kernels.adjacency(edges(spark, [(0, i) for i in range(1, 8)] + [(1, 2)]))
+    core, fit = kernels.core_fit(g)
+    assert kernels.core_correlation(g, core) == pytest.approx(fit) and kernels.core_correlation(g, set(g)) == 0.0
+
+
+def test_weighted_modularity(spark):
+    e = spark.createDataFrame([(1, 2, 3.0), (3, 4, 1.0), (2, 3, 2.0)], "src long, dst long, weight double")
+    labels = nodes(spark, range(1, 5)).selectExpr("node", "node <= 2 as label")
+    g = kernels.adjacency(e)
+    assert graphs.label_modularity(e, labels, weighted=True).first()["q"] == pytest.approx(kernels.modularity(g, {1: 1, 2: 1, 3: 0, 4: 0}), abs=1e-6)

@@ -29,4 +29,6 @@ def test_stages_run_once(spark, tmp_path):
 def test_job(spark, sf_dir, tmp_path):
     assert jobs.main(["category_share", sf_dir, f"{tmp_path}/o", "json"]) == 0
     assert spark.read.json(f"{tmp_path}/o").count() == 10
+    assert jobs.main(["category_share", sf_dir, f"{tmp_path}/l", "json", "--limit", "3"]) == 0
+    assert spark.read.json(f"{tmp_path}/l").count() == 3
     assert jobs.main(["nothing"]) == 2

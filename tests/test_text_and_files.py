@@ -183,3 +183,29 @@ def test_coverage_by_source_and_error(spark):
     assert got == {"x": (2, 2, 1, 1, 0, "WARN"), "y": (2, 2, 0, 1, 1, "FAIL")}
     assert {tuple(r) for r in profiles.error_summary(done, "source").collect()} == {("x", "ok", None, 1), ("x", "failed", "json_parse", 1), ("y", "short", None, 1)}
     assert {tuple(r) for r in profiles.coverage_by_author(raw, done, "source").collect()} == {("x", 2, 1, 1, 0), ("y", 2, 0, 1, 1)}
+
+
+def test_embeddings_are_means_over_the_mask(spark):
+    import numpy as np
+
+    from plenum.operators import embed
+
+    v = np.array([[[3.0, 4.0], [100.0, 100.0]], [[0.0, 0.0], [0.0, 0.0]]])
+    assert embed.pooled(v, np.array([[1, 0], [0, 0]])).tolist() == [[0.6, 0.8], [0.0, 0.0]]
+    texts = spark.createDataFrame([(1, "ab cde"), (2, None), (3, "x " * 500 + "eeee")], "id long, t string")
+    got = {r["id"]: r["embedding"] for r in embed.embeddings(texts, "id", "t", batch=2).collect()}
+    want = np.array([5, 1, 2]) / np.sqrt(30)
+    assert np.allclose(got["1"], want) and got["2"] == [0.0, 0.0, 0.0] and got["3"][1] == 0.0  # only the first tokens count
+
+
+def test_drawings(spark, tmp_path):
+    from plenum.sources import drawings
+
+    n = spark.createDataFrame([("a", "</script><b>"), ("b", None)], "id string, label string")
+    e = spark.createDataFrame([("a", "b")], "src string, dst string")
+    drawings.graph_page(spark, f"file://{tmp_path}/g.html", "T <1>", {"one": (n, e), "two": (n, e)}, {"x & y": "red"})
+    page = (tmp_path / "g.html").read_text()
+    assert page.count("<canvas") == 2 and "T &lt;1&gt;" in page and "x &amp; y" in page and page.count("</script>") == 2
+    drawings.bar_figure(spark, f"file://{tmp_path}/b.svg", "B", spark.createDataFrame([("a", 2.0), ("b", 4.0), ("c", None)], "k string, v double"), "k", "v")
+    svg = (tmp_path / "b.svg").read_text()
+    assert 'width="200.00"' in svg and 'width="400.00"' in svg and svg.count("<rect") == 3
