@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+#: Labels of a confusion matrix, whose cells are the square of their number.
+MOST_LABELS = 1000
+
+
 def shares(rows: DataFrame, key: str, category: str, order: list[str], digits: int = 6) -> DataFrame:
     """Share of each category of order within each key, zeros too; the denominator is all rows of the key."""
     named = rows.groupBy(key).agg(F.count("*").alias("of"), *[F.count_if(F.col(category) == c).alias(f"c{k}") for k, c in enumerate(order)])
@@ -139,5 +143,7 @@ def confusion_matrix(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """a, b and n over the union of both raters' labels, zeros too."""
     p = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
     labels = p.select(F.explode(F.array("a", "b")).alias("label")).distinct()
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     grid = labels.select(F.col("label").alias("a")).crossJoin(labels.select(F.col("label").alias("b")))  # label set squared
     return grid.join(p.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

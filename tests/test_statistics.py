@@ -36,6 +36,12 @@ def test_kappa(spark):
     assert association.cohen_kappa(spark.createDataFrame([("a", "a")] * 3, "a string, b string"), "a", "b").first()["kappa"] == 1.0
 
 
+def test_confusion_over_free_text_is_refused(spark):
+    rows = spark.range(1200).selectExpr("'a' || id as a", "'b' as b")
+    with pytest.raises(ValueError):
+        association.confusion_matrix(rows, "a", "b")
+
+
 def test_divergence_of_disjoint_topics_is_ln_2(spark):
     t = inequality.divergence_table(spark.createDataFrame([("p", 5, 0), ("q", 0, 7)], "t string, a long, b long"), "t", "a", "b")
     assert t.first()["js_total"] == pytest.approx(math.log(2), abs=1e-6)
