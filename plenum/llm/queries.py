@@ -23,7 +23,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~held).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     model = toxicity.fit(docs.filter(~held).select(F.col("doc_id").alias("id"), "text"), labels)
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.toxicity(docs, model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.LIMIT).cast("int"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

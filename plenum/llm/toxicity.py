@@ -5,6 +5,11 @@ swapped for others of their kind and for none at all, and the squared changes of
 which group is mentioned nor that one is moves the score. (Swaps among groups alone would leave a score that rises with any of them.) Sentences without such a term have no swap, and the penalty does not act on
 them; the model says how many it acted on.
 
+The penalties keep logits near zero, so the score's scale is set by rows that the model has not seen: models of all
+but a part of the rows give every row, without its identity terms, a logit that its own label had no part in. The slope is that of a logistic curve
+through these (Platt's method), and the logit at which the labels are told apart with the fewest errors gets the score
+LIMIT: at that score and above a text is called toxic.
+
 It is fitted on at most about TRAIN_DOCS labelled rows (the documented bound): features are counted and
 chosen in Spark, and the driver gets one sparse row of chosen features for each. Every text is scored whole.
 
@@ -32,6 +37,8 @@ TRAIN_DOCS, FEATURES, LEAST_DOCS = 12_000, 2000, 4
 #: Least chi-square of a feature: one in a thousand of those without effect passes.
 SIGNIFICANT = 10.83
 COUNTERFACTUAL, SHRINK, STEPS = 1.0, 1e-4, 300
+#: The score from which a text is called toxic, and the parts of the rows that are held out in turn to set the scale.
+LIMIT, PARTS = 0.7, 4
 #: Words whose features a worker keeps.
 CACHE_WORDS = 300_000
 WORD = re.compile(r"\w+")
@@ -131,6 +138,63 @@ def minimise(objective: Objective) -> tuple[np.ndarray, float]:
     return w, b
 
 
+def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve over logits z that minimises log loss, with targets drawn in from 0 and 1 as by one more row of each label."""
+    ones = y.sum()
+    t = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+
+    def loss(a: float, b: float) -> float:
+        return float((np.logaddexp(0, a * z + b) - t * (a * z + b)).sum())
+
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -500, 500)))
+        e, h = p - t, p * (1 - p) + 1e-12
+        step = np.linalg.lstsq(np.array([[h @ (z * z), h @ z], [h @ z, h.sum()]]), np.array([e @ z, e.sum()]), rcond=None)[0]
+        size, now = 1.0, loss(a, b)
+        while size > 1e-10 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
+def parting(z: np.ndarray, y: np.ndarray) -> float:
+    """The logit at and above which calling rows 1 makes the fewest errors: the middle of the widest gap that does."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    inner = np.flatnonzero(np.diff(z) > 0) + 1  # a cut between two values
+    if not len(inner):
+        return float(z[0])
+    best = inner[errors[inner] == errors[inner].min()]
+    k = best[np.argmax(z[best] - z[best - 1])]
+    return float((z[k - 1] + z[k]) / 2)
+
+
+def scale(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset that turn logits into those of scores, LIMIT where they part the labels best. 1 and 0 where higher logits do not mean label 1."""
+    slope, _ = platt(z, y)
+    if slope <= 0:
+        return 1.0, 0.0
+    return slope, float(np.log(LIMIT / (1 - LIMIT))) - slope * parting(z, y)
+
+
+def _unseen_logits(x: list[np.ndarray], swaps: list[list[np.ndarray]], y: np.ndarray, size: int, strength: float) -> np.ndarray | None:
+    """Each row's logit, without its identity terms (the last of the swaps), by a model of the rows of other parts; null if the rows outside a part lack a label."""
+    part = np.arange(len(x)) % PARTS
+    if any(len(np.unique(y[part != k])) < 2 for k in range(PARTS)):
+        return None
+    z = np.zeros(len(x))
+    for k in range(PARTS):
+        pick = lambda rows, k=k: [r for r, h in zip(rows, part, strict=True) if h != k]
+        w, b = minimise(Objective(pick(x), [pick(s) for s in swaps], y[part != k], size, strength))
+        for i in np.flatnonzero(part == k):
+            z[i] = b + w[swaps[-1][i]].sum()
+    return z
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, counterfactual: float = COUNTERFACTUAL) -> Model:
     """docs: id and text; labels: id and label (0 or 1). Rows to train on are drawn among the labels, by a hash of the id, before they meet their texts."""
     labels = labels.filter("id is not null and label is not null").select("id", F.col("label").cast("int").alias("label")).distinct()
@@ -173,8 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, counte
     rows = sample.mapInPandas(sparse, "x array<int>, other array<int>, none array<int>, label int").collect()
     rows.sort(key=lambda r: (r["label"], r["x"]))
     x, other, none = ([np.array(r[c], int) for r in rows] for c in ("x", "other", "none"))
-    objective = Objective(x, [other, none], np.array([r["label"] for r in rows], float), len(names), counterfactual)
+    y = np.array([r["label"] for r in rows], float)
+    objective = Objective(x, [other, none], y, len(names), counterfactual)
     w, b = minimise(objective)
+    if (z := _unseen_logits(x, [other, none], y, len(names), counterfactual)) is not None:
+        slope, offset = scale(z, y)
+        w, b = slope * w, slope * b + offset
     return Model({f: float(w[k]) for k, f in enumerate(names) if w[k]}, float(b), len(rows), objective.changed_rows)
 
 

@@ -284,6 +284,22 @@ def test_gradient_is_that_of_the_loss():
     assert loss == pytest.approx(want)
 
 
+def test_the_scale_of_scores():
+    """The slope is that of the labels' shares; the limit lies where the labels part best."""
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=20_000)
+    y = (rng.random(len(z)) < 1 / (1 + np.exp(-(3 * z - 1)))).astype(float)
+    a, b = toxicity.platt(z, y)
+    assert a == pytest.approx(3, abs=0.15) and b == pytest.approx(-1, abs=0.1)
+    assert toxicity.scale(-z, y) == (1.0, 0.0)
+    cut = toxicity.parting(z, y)
+    errors = lambda c: ((z >= c) != (y > 0)).sum()
+    assert errors(cut) == min(errors(c) for c in np.linspace(-2, 2, 401).tolist() + [cut])
+    a, b = toxicity.scale(np.array([-3.0, -2.5, -1.0, 0.5]), np.array([0.0, 0.0, 1.0, 1.0]))
+    assert 1 / (1 + np.exp(-(a * -1.75 + b))) == pytest.approx(toxicity.LIMIT)
+    assert toxicity.parting(np.zeros(4), np.array([0.0, 1.0, 0.0, 1.0])) == 0.0
+
+
 def test_a_score_of_the_limit_is_toxic_and_a_long_text_is_scored_whole(spark):
     model = toxicity.Model({"=vile": 3.0}, float(np.log(0.7 / 0.3)) - 3.0)
     df = spark.createDataFrame([(1, "vile", "a"), (2, "fine " * 300_000 + "vile", "b"), (3, "fine", "c")], "doc_id long, text string, score string")
