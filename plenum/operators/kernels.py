@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.storage import cut
+from plenum.storage import cut, partitions
 
 #: Edges of a graph that is sent to workers (some 50 MB there), and of one whose power iteration runs on the driver.
 EDGE_LIMIT, LOCAL_EDGES = 2_000_000, 200_000
@@ -98,11 +98,12 @@ class Packed:
 
 def _sources(nodes: DataFrame, sample: int | None, seed: int) -> tuple[DataFrame, DataFrame, int, float]:
     """The nodes, those to start from, the number of nodes, and what a start stands for."""
-    own = nodes.select(F.col("node").cast("long").alias("node")).distinct()
-    n = own.count()
+    own = cut(nodes.select(F.col("node").cast("long").alias("node")).distinct())
+    n, parts = own.count(), partitions(nodes.sparkSession)
+    # By number, as few rows would else be one task's, however long each takes.
     if sample is None or sample >= n:
-        return own, own, n, 1.0
-    return own, own.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample), n, n / sample
+        return own, own.repartition(parts, "node"), n, 1.0
+    return own, own.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample).repartition(parts, "node"), n, n / sample
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, weighted: bool = False, inverse: bool = False, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -132,7 +133,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, weighted: bool = False, inve
 def harmonic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and harmonic: the mean inverse distance to all other nodes."""
     shared = nodes.sparkSession.sparkContext.broadcast(Packed(simple_edges(edges)))  # at most EDGE_LIMIT edges
-    own, _, n, _ = _sources(nodes, None, 0)
+    _, starts, n, _ = _sources(nodes, None, 0)
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
@@ -145,7 +146,7 @@ def harmonic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 out[j] = sum(len(own) / dist[own[0]] for own in layers[1:]) / max(1, n - 1)
             yield pd.DataFrame({"node": ids, "harmonic": out})
 
-    return own.mapInPandas(reach, "node long, harmonic double").withColumn("harmonic", F.round("harmonic", 6))
+    return starts.mapInPandas(reach, "node long, harmonic double").withColumn("harmonic", F.round("harmonic", 6))
 
 
 def eigenvector(edges: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
