@@ -5,9 +5,10 @@ necessary prefix is a single token: the one that is rarest over all documents. W
 document words on that token, the token's place in the window and the two lengths bound where the
 window can lie, and the candidate is verified word for word.
 
-The windows of one block of items are sent to every worker; a block holds at most BLOCK_WORDS words. A larger
-benchmark is joined block by block, each block in a pass of its own that keeps what it found of the
-documents it hit, after one pass that counts the words of all items.
+The windows of one block of items are sent to every worker; a block holds about BLOCK_WORDS words at most, or one item.
+A larger benchmark is dealt into blocks by hash and joined block by block: the driver holds one block at a time, and
+each has a pass of its own that keeps what it found of the documents it hit. Before, the words of all items are
+counted in the documents, BLOCK_WORDS distinct ones in a pass, and written.
 
 Defined cases: a null text has no words; an item without an id or without a word is no item; items may
 share windows or ids; ids may be of any type and are sorted as strings; an empty benchmark hits nothing; a row
@@ -73,25 +74,24 @@ def find(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[s
     return merged, items
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most BLOCK_WORDS words (or one item), in order of their ids."""
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    block, size = [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        n = len(words_of(r["t"]))
-        if block and size + n > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        if n:
-            block.append((r["i"], r["t"]))
-            size += n
-    if block:
-        yield block
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """i and t of the items."""
+    return benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
 
 
-def word_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[bytes, int]:
-    """How often each word of the vocabulary occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of at most BLOCK_WORDS words
+def _vocabulary(items: DataFrame) -> DataFrame:
+    """w: the distinct words of the items."""
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"w": sorted({w for t in batch["t"] for w in words_of(t)})}, columns=["w"])
+
+    return items.select("t").mapInPandas(distinct, "w binary").distinct()
+
+
+def word_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> DataFrame:
+    """w and n: how often words of the vocabulary, of at most BLOCK_WORDS words, occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -101,35 +101,46 @@ def word_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> di
                 found.update(filter(wanted, words_of(text)))
         yield pd.DataFrame({"w": list(found), "n": list(found.values())}, columns=["w", "n"]).astype({"n": "int64"})
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = {bytes(r["w"]): r["n"] for r in rows.collect()}  # a row for each word of the vocabulary at most
-    shared.unpersist()
-    return counts
+    return docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _frequency(counts: DataFrame) -> dict[bytes, int]:
+    """The rows of a block's words."""
+    return {bytes(r["w"]): r["n"] for r in counts.collect()}
+
+
+def _indexes(docs: DataFrame, items: DataFrame, text_col: str, window: int) -> tuple[int, Iterator[Index]]:
+    """The number of blocks, and the index of each."""
+    size = items.agg(F.coalesce(F.sum(_counter()(F.col("t"))), F.lit(0))).first()[0]
+    collected = lambda rows: [(r["i"], r["t"]) for r in rows.collect()]  # noqa: E731  the items of a block
+    if size <= BLOCK_WORDS:
+        own = collected(items)
+        vocabulary = {w for _, t in own for w in words_of(t)}
+        return 1, iter([build_index(own, _frequency(word_counts(docs, vocabulary, text_col)) if vocabulary else {}, window)])
+    blocks = -(-2 * size // BLOCK_WORDS)  # half full, so that few are over
+    dealt = cut(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int")))
+    words = cut(_vocabulary(dealt))
+    passes = -(-words.count() // BLOCK_WORDS)
+    counts = None
+    for k in range(passes):
+        some = words.filter(F.pmod(F.xxhash64("w"), F.lit(passes)) == k)
+        own = cut(word_counts(docs, {bytes(r["w"]) for r in some.collect()}, text_col))
+        counts = own if counts is None else counts.unionByName(own)
 
+    def each() -> Iterator[Index]:
+        for k in range(blocks):
+            block = dealt.filter(F.col("b") == k)
+            yield build_index(collected(block), _frequency(counts.join(_vocabulary(block), "w")), window)
 
-def _frequencies(docs: DataFrame, blocks: list[list[tuple[str, str]]], text_col: str) -> Iterator[dict[bytes, int]]:
-    """word_frequency of each block's words. Words are counted once for all blocks, at most about BLOCK_WORDS new ones in a pass."""
-    known: dict[bytes, int] = {}
-    for k, block in enumerate(blocks):
-        own = {w for _, text in block for w in words_of(text)}
-        if not own <= known.keys():
-            ahead: set[bytes] = set()
-            for later in blocks[k:]:
-                new = {w for _, text in later for w in words_of(text)} - known.keys()
-                if ahead and len(ahead | new) > BLOCK_WORDS:
-                    break
-                ahead |= new
-            known = {w: known[w] for w in own & known.keys()} | dict.fromkeys(ahead, 0) | word_frequency(docs, ahead, text_col)
-        yield {w: known[w] for w in own}
+    return blocks, each()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, result: str = "contamination", window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with a struct: n_words, n_hit, n_items, items_sha256, contaminated, spans and items."""
     sc = docs.sparkSession.sparkContext
-    blocks = list(_blocks(benchmark, item_id, item_text))  # the benchmark's texts, which are small beside the corpus
-    indexes = (build_index(block, frequency, window) for block, frequency in zip(blocks, _frequencies(docs, blocks, text_col), strict=True))
-    if len(blocks) <= 1:
-        index = sc.broadcast(next(indexes, {}))
+    blocks, indexes = _indexes(docs, _items(benchmark, item_id, item_text), text_col, window)
+    if blocks == 1:
+        index = sc.broadcast(next(indexes))
         return docs.withColumn(result, _folded(F.array(_finder(index)(F.col(text_col).cast("string")))))
     # Equal texts have equal findings: those of the texts that are hit are kept by two hashes of the text.
     one, two, found, n = free_names(docs, "one", "two", "found", "n")
@@ -137,6 +148,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, result: str = "contamin
     keyed = docs.withColumn(one, F.xxhash64(text)).withColumn(two, F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
     hits = None
     for index in indexes:
+        if not index:
+            continue
         shared = sc.broadcast(index)
         own = cut(keyed.select(one, two, _finder(shared)(text).alias(found)).filter(F.size(f"{found}.items") > 0).dropDuplicates([one, two]))
         shared.unpersist()

@@ -213,6 +213,19 @@ def test_pages_table(spark, monkeypatch):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_the_smallest_tables(spark, sf_dir):
+    """Each holds its article in an element of that name, whatever the host's group."""
+    import html as entities
+    import re
+
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()}
+    for r in rows.collect():
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        body = re.sub(r"<[^>]*>", " ", re.sub(r"</?(b|i|a)( [^>]*)?>", "", re.sub(r"<!--.*?-->", "", body, flags=re.S)))
+        assert got[r["page_id"]] == " ".join(entities.unescape(body).split())
+
+
 def fitted(df, **options):
     return toxicity.fit(df.select("id", "text"), df.select("id", "label"), **options)
 
