@@ -56,6 +56,21 @@ def test_histogram(docs, odd_rows, no_docs, plain, monkeypatch):
     assert empty.count() == 0 and token_counts.truncated_total(empty, 9).first()["tokens"] == 0 and token_counts.length_quantile(empty, 0.5).first()[0] is None
 
 
+def test_histogram_agrees_with_sql(spark, sf_dir):
+    """Suffix sums of the lengths of the smallest tables, by SQL over the lengths."""
+    import duckdb
+
+    lengths = token_counts.token_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
+    con = duckdb.connect()
+    con.register("lengths", lengths)
+    want = con.sql(
+        """WITH h AS (SELECT n_tokens, count(*) AS n_docs FROM lengths GROUP BY 1) SELECT n_tokens, n_docs, (SELECT count(*) FROM lengths l WHERE l.n_tokens <= h.n_tokens) AS docs_le, (SELECT count(*) FROM lengths l WHERE l.n_tokens >= h.n_tokens) AS docs_ge,
+        (SELECT sum(l.n_tokens) FROM lengths l WHERE l.n_tokens >= h.n_tokens) AS tokens_ge, (SELECT sum(least(l.n_tokens, h.n_tokens)) FROM lengths l) AS truncated_tokens FROM h"""
+    ).fetchall()
+    got = token_counts.length_histogram(spark.createDataFrame(lengths)).select("n_tokens", "n_docs", "docs_le", "docs_ge", "tokens_ge", "truncated_tokens").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-(2**62), 2**62), min_size=1, max_size=600))
 def test_elias_fano_round_trip(xs):
