@@ -29,3 +29,35 @@ DECONTAMINATION = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_
   c AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
   t AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY 1)
   SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
+
+
+def _crc_table() -> list[int]:
+    """What four zero bits after each nibble leave of it, under the reflected polynomial of CRC-32."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        out.append(c)
+    return out
+
+
+def _crc32(blob: str) -> str:
+    """SQL: the CRC-32 of a blob, nibble by nibble."""
+    digits = "'123456789ABCDEF'"
+    octets = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: 16 * instr({digits}, x[1]) + instr({digits}, x[2]))"
+    low = f"xor(a >> 4, {_crc_table()}[(xor(a, b) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda a, b: xor(({low}) >> 4, {_crc_table()}[(xor({low}, b >> 4) & 15) + 1])), 4294967295)"
+
+
+def _split(level: int) -> str:
+    """SQL: nodes of a level of the tree parted at the weighted median of their widest dimension."""
+    return f"""s{level} AS (SELECT node, sum(size) / 2.0 AS half, (max(d0) - min(d0)) / CAST(max(w0) AS DOUBLE) AS r0, (max(d1) - min(d1)) / CAST(max(w1) AS DOUBLE) AS r1, (max(d2) - min(d2)) / CAST(max(w2) AS DOUBLE) AS r2 FROM n{level} CROSS JOIN spread GROUP BY 1),
+  x{level} AS (SELECT n{level}.*, half, CASE WHEN r0 >= r1 AND r0 >= r2 THEN d0 WHEN r1 >= r2 THEN d1 ELSE d2 END AS x FROM n{level} JOIN s{level} USING (node)),
+  n{level + 1} AS (SELECT rid, doc_id, id, size, crc, d0, d1, d2, 2 * node + CASE WHEN sum(size) OVER (PARTITION BY node ORDER BY x, id) - sum(size) OVER (PARTITION BY node, x, id) < half THEN 0 ELSE 1 END AS node FROM x{level})"""
+
+
+SHARDING = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id, lang, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {_crc32("encode(coalesce(text, ''))")} AS crc FROM documents),
+  a AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k FROM (SELECT DISTINCT lang FROM d WHERE lang IS NOT NULL)), b AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k FROM (SELECT DISTINCT source FROM d WHERE source IS NOT NULL)),
+  n0 AS (SELECT rid, doc_id, id, size, crc, coalesce(a.k, -1) AS d0, coalesce(b.k, -1) AS d1, size AS d2, 0 AS node FROM d LEFT JOIN a ON a.lang = d.lang LEFT JOIN b ON b.source = d.source),
+  spread AS (SELECT greatest(1, max(d0) - min(d0)) AS w0, greatest(1, max(d1) - min(d1)) AS w1, greatest(1, max(d2) - min(d2)) AS w2 FROM n0), {_split(0)}, {_split(1)}, {_split(2)}
+  SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(node AS INTEGER) AS shard, row_number() OVER (PARTITION BY node ORDER BY id, size, crc) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM n3"""

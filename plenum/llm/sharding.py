@@ -11,7 +11,7 @@ Dimensions are integers: dense ranks of the text columns, and numbers as they ar
 
 Defined cases: null metadata is -1 and a null text has size 1; equal ids fall in the same place of the order
 and may lie on either side of a median only together; a text of any length is one row, which no split divides;
-an empty table gives no row; extra columns play no part.
+an empty table gives no row; slots are in the order of the ids; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -111,18 +111,22 @@ def kd_tree(rows: DataFrame, leaves: int, dimensions: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, shard: str, order: list[Column]) -> DataFrame:
-    """rows with slot: 0, 1, ... within each shard. Runs of about SLOT_ROWS rows are numbered each in a task, after the runs before them."""
-    runs = max(1, rows.count() // SLOT_ROWS)
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64(*order), F.lit(runs)))
-    before = Window.partitionBy(shard).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(shard, "_run").count().select(shard, "_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(shard, "_run").orderBy(*order)
-    return rows.withColumn("_k", F.row_number().over(within)).join(starts, [shard, "_run"]).withColumn("slot", F.col("_start") + F.col("_k") - 1).drop("_run", "_k", "_start")
+    """rows with slot: 0, 1, ... within each shard, in the order given. Ranges of about SLOT_ROWS rows are numbered each in a task, after those before them.
+
+    rows are written: equal ones are parted by their place.
+    """
+    keys = [F.col(shard), *order, F.col("_m")]
+    ranges = max(1, partitions(rows.sparkSession), rows.count() // SLOT_ROWS)
+    rows = cut(rows.withColumn("_m", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(shard, "_range").count().select(shard, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # a row for each range of a shard
+    within = Window.partitionBy(shard, "_range").orderBy(*order, "_m")
+    return rows.withColumn("_k", F.row_number().over(within)).join(starts, [shard, "_range"]).withColumn("slot", F.col("_start") + F.col("_k") - 1).drop("_range", "_k", "_start", "_m")
 
 
 def _shards(rows: DataFrame, leaves: int, categories: tuple[str, ...]) -> DataFrame:
     tree = kd_tree(rows, leaves, [*[f"d_{c}" for c in categories], "d_length"])
-    out = numbered(tree.withColumn("shard", F.col("leaf").cast("int")), "shard", [F.col("doc_id_"), F.col("text_crc32"), F.col("size")])
+    out = numbered(tree.withColumn("shard", F.col("leaf").cast("int")), "shard", [F.col("doc_id_"), F.col("size"), F.col("text_crc32")])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
