@@ -61,3 +61,68 @@ SHARDING = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(d
   n0 AS (SELECT rid, doc_id, id, size, crc, coalesce(a.k, -1) AS d0, coalesce(b.k, -1) AS d1, size AS d2, 0 AS node FROM d LEFT JOIN a ON a.lang = d.lang LEFT JOIN b ON b.source = d.source),
   spread AS (SELECT greatest(1, max(d0) - min(d0)) AS w0, greatest(1, max(d1) - min(d1)) AS w1, greatest(1, max(d2) - min(d2)) AS w2 FROM n0), {_split(0)}, {_split(1)}, {_split(2)}
   SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(node AS INTEGER) AS shard, row_number() OVER (PARTITION BY node ORDER BY id, size, crc) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM n3"""
+
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_M = 1 << 64
+
+
+def _u(x: int | str) -> str:
+    return f"CAST({x} AS UHUGEINT)"
+
+
+def _mul(x: str, p: int) -> str:
+    return f"(({x}) * {_u(p)} % {_u(_M)})"
+
+
+def _rotl(x: str, r: int) -> str:
+    return f"((({x}) * {_u(1 << r)}) % {_u(_M)} + ({x}) // {_u(1 << (64 - r))})"
+
+
+def _xor(x: str, y: str) -> str:
+    return _u(f"xor(CAST({x} AS UBIGINT), CAST({y} AS UBIGINT))")
+
+
+def _lane(first: str, n: int) -> str:
+    """The little-endian number of n octets of o from the place first."""
+    return " + ".join(f"{_u(f'o[{first} + {k}]')} * {_u(1 << 8 * k)}" for k in range(n))
+
+
+def _xxh64(seed: int) -> str:
+    """SQL: u (s, a text) to z (s, h: the unsigned XXH64 of its UTF-8), a step in each table."""
+    digits = "'123456789ABCDEF'"
+    add = f"% {_u(_M)}"
+    starts = [(seed + _P1 + _P2) % _M, (seed + _P2) % _M, seed, (seed - _P1) % _M]
+    rounds = [f"list_reduce(list_prepend({_u(v)}, list_transform(range(0, n // 32), lambda i: lp[4 * i + {k + 1}])), lambda a, x: {_mul(_rotl(f'((a + x) {add})', 31), _P1)})" for k, v in enumerate(starts)]
+    merged = []
+    for k in range(4):  # each accumulator is taken into the sum
+        own = _mul(_rotl(_mul(f"v{k + 1}", _P2), 31), _P1)
+        merged.append(f"g{k + 1} AS (SELECT * REPLACE (({_mul(_xor('acc', own), _P1)} + {_u(_P4)}) {add} AS acc) FROM g{k})")
+    return f"""o AS (SELECT s, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: 16 * instr({digits}, x[1]) + instr({digits}, x[2])) AS o FROM u),
+  l AS (SELECT s, o, len(o) AS n, list_transform(range(0, len(o) // 8), lambda i: {_mul(_lane('8 * i + 1', 8), _P2)}) AS lp FROM o),
+  long AS (SELECT *, {', '.join(f'{r} AS v{k + 1}' for k, r in enumerate(rounds))} FROM l WHERE n >= 32),
+  g0 AS (SELECT *, ({_rotl('v1', 1)} + {_rotl('v2', 7)} + {_rotl('v3', 12)} + {_rotl('v4', 18)}) {add} AS acc FROM long), {', '.join(merged)},
+  b0 AS (SELECT s, o, n, lp[4 * (n // 32) + 1:] AS rest, (acc + {_u('n')}) {add} AS acc FROM g4 UNION ALL SELECT s, o, n, lp, {_u((seed + _P5) % _M)} + {_u('n')} FROM l WHERE n < 32),
+  b1 AS (SELECT s, o, n, list_reduce(list_prepend(acc, list_transform(rest, lambda x: {_mul(_rotl('x', 31), _P1)})), lambda a, x: ({_mul(_rotl(_xor('a', 'x'), 27), _P1)} + {_u(_P4)}) {add}) AS acc FROM b0),
+  b2 AS (SELECT s, o, n, CASE WHEN n % 8 >= 4 THEN ({_mul(_rotl(_xor('acc', _mul(_lane('8 * (n // 8) + 1', 4), _P1)), 23), _P2)} + {_u(_P3)}) {add} ELSE acc END AS acc FROM b1),
+  b3 AS (SELECT s, list_reduce(list_prepend(acc, list_transform(o[n - n % 4 + 1:], lambda x: {_mul(_u('x'), _P5)})), lambda a, x: {_mul(_rotl(_xor('a', 'x'), 11), _P1)}) AS acc FROM b2),
+  c1 AS (SELECT s, {_mul(_xor('acc', f'(acc // {_u(1 << 33)})'), _P2)} AS acc FROM b3), c2 AS (SELECT s, {_mul(_xor('acc', f'(acc // {_u(1 << 29)})'), _P3)} AS acc FROM c1),
+  z AS (SELECT s, CAST({_xor('acc', f'(acc // {_u(1 << 32)})')} AS UBIGINT) AS h FROM c2)"""
+
+
+SIMHASH = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  e AS (SELECT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+  u AS (SELECT DISTINCT s FROM e), {_xxh64(42)},
+  f AS (SELECT rid, {' + '.join(f'CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {_u(1 << b)} ELSE 0 END' for b in range(64))} AS fp FROM e JOIN z USING (s) GROUP BY 1),
+  p AS (SELECT doc_id, CAST(coalesce(fp, 0) AS UBIGINT) AS fp FROM d LEFT JOIN f USING (rid)), q AS MATERIALIZED (SELECT fp, min(doc_id) AS doc FROM p GROUP BY 1),
+  k AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM q a JOIN q b ON bit_count(xor(a.fp, b.fp)) <= 3), r(node, root) AS (SELECT fp, fp FROM q UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.node), m AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
+  t AS (SELECT root, min(doc) AS component_id FROM m JOIN q ON q.fp = m.node GROUP BY 1)
+  SELECT doc_id, lower(lpad(hex(p.fp), 16, '0')) AS fingerprint, component_id FROM p JOIN m ON m.node = p.fp JOIN t USING (root)"""
+
+
+#: For pages that hold their article, and nothing beside it, in one element of that name, as those of the given tables do: what stands in that element. The operator is not told of it.
+ARTICLES = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+  b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a),
+  c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+  SELECT page_id, url, text, length(text) AS n_chars FROM c"""

@@ -74,4 +74,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op2_kd_sharding": oracles.SHARDING, "op4_quality_rules": oracles.QUALITY, "op6_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_html_extraction": oracles.ARTICLES, "op2_kd_sharding": oracles.SHARDING, "op4_quality_rules": oracles.QUALITY, "op6_decontamination": oracles.DECONTAMINATION, "op7_simhash": oracles.SIMHASH}

@@ -40,13 +40,42 @@ def test_columns_and_rows(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     want = con.sql(ORACLES[name])
     assert Counter(tuple(r) for r in df.select(*want.columns).collect()) == Counter(want.fetchall())
 
 
+def test_sql_of_hashes():
+    """XXH64 and CRC-32 in SQL against their libraries, for texts of every length of step."""
+    import zlib
+
+    import xxhash
+
+    from plenum.llm import oracles
+
+    texts = ["".join(chr(97 + (7 * k + j) % 26) if j % 9 else "é" for j in range(k)) for k in [*range(0, 45), 63, 64, 65, 200]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE u (s VARCHAR)")
+    con.executemany("INSERT INTO u VALUES (?)", [(t,) for t in texts])
+    got = dict(con.sql(f"WITH {oracles._xxh64(42)} SELECT * FROM z").fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+    got = dict(con.sql(f"SELECT s, {oracles._crc32('encode(s)')} FROM u").fetchall())
+    assert got == {t: zlib.crc32(t.encode()) for t in texts}
+
+
+def test_simhash_sql_on_odd_rows(spark, docs):
+    """Nulls, empty and long texts, repeated rows and ids."""
+    from plenum.llm import simhash
+
+    rows = docs.filter("length(text) < 3000 or text is null").select("doc_id", "text")
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas())
+    got = simhash.near_duplicates(rows).collect()
+    assert Counter(map(tuple, got)) == Counter(con.sql(ORACLES["op7_simhash"]).fetchall())
+
+
 def test_quality_sql_on_depleted_documents(spark, common_lines):
     """Where lines above the limits take most of a document, the SQL rejects what the operator rejects."""
     lines = [" ".join(f"w{k}x{n}" for n in range(10)) for k in "abcdefgh"]
