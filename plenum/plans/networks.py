@@ -9,7 +9,7 @@ from plenum.operators import graphs, kernels
 from plenum.operators.components import connected_components
 from plenum.operators.inequality import gini
 from plenum.plans.registry import EV, discourse, query
-from plenum.storage import table
+from plenum.storage import cut, table
 
 _SPARSE = f"{EV}, p AS (SELECT DISTINCT k, hour, actor FROM ev), e AS (SELECT a.actor AS src, b.actor AS dst, count(*) AS weight FROM p a JOIN p b ON a.k = b.k AND a.hour = b.hour AND a.actor < b.actor GROUP BY 1, 2), nodes AS (SELECT DISTINCT actor AS node FROM ev)"
 _BOTH = "both_ends AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
@@ -288,7 +288,7 @@ def network_table(spark, sf_dir):
     rows = None
     for case in (0, 1):
         e = discourse(spark, sf_dir).filter(F.col("case_id") == case)
-        own = network_metrics(graphs.coparticipation(e, ["k", "hour"], "actor"), e.select(F.col("actor").alias("node")).distinct().withColumn("grp", F.col("node") % 7)).withColumn("case", F.lit(f"case_{case}"))
+        own = network_metrics(cut(graphs.coparticipation(e, ["k", "hour"], "actor")), e.select(F.col("actor").alias("node")).distinct().withColumn("grp", F.col("node") % 7)).withColumn("case", F.lit(f"case_{case}"))
         rows = own if rows is None else rows.unionByName(own)
     return metric_table(rows, "case")
 
@@ -298,8 +298,8 @@ def graph_layout(spark, sf_dir):
     """Places of the actors of a graph for drawing: those of the largest component by springs, the others on a ring."""
     from plenum.operators import layout
 
-    e = sparse(spark, sf_dir)
-    big = ends(giant_edges(graphs.top_subgraph(e, 200)))
+    e = cut(sparse(spark, sf_dir))
+    big = cut(ends(giant_edges(cut(graphs.top_subgraph(e, 200)))))
     inner = layout.scaled(layout.springs(big, e, iterations=60))
     beside = graphs.degrees(e).orderBy(F.desc("strength"), "node").limit(200).select("node").join(big, "node", "left_anti")
     return inner.unionByName(layout.ring(beside))
