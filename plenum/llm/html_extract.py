@@ -14,7 +14,7 @@ are left out, and so are elements of the template that hold links alone. A name
 element itself lies under it. A host with fewer than three distinct pages in a group has no template; there
 the elements decide alone.
 
-Defined cases: a null or empty page gives an empty text; copies of a page count once for the vectors;
+Defined cases: ids are whole numbers of 64 bits, or missing; a null or empty page gives an empty text; copies of a page count once for the vectors;
 a page all of whose main text is on most pages of its host keeps that text; a url without a host counts as
 one host; rows are extracted as often as they occur; a text of any length is one run of blocks; extra
 columns play no part; an empty table gives no row.

@@ -8,7 +8,7 @@ fills. The search ends at a lower bound or where no pair of bins has a step. The
 open are dealt anew, into groups of the same size, and packed again, until one group held them all or a round
 saves less than GAIN of its bins: no task ever holds more than a group.
 
-Defined cases: a null text is empty, its piece is the end id; an empty table gives no row; equal rows
+Defined cases: ids are whole numbers of 64 bits, or missing; a null text is empty, its piece is the end id; an empty table gives no row; equal rows
 are packed each for itself, and dealt apart; a text of any length is cut into whole sequences and a rest;
 extra columns play no part.
 """

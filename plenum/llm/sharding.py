@@ -9,7 +9,7 @@ in the plan, so that no pass joins anything.
 
 Dimensions are integers: dense ranks of the text columns, and numbers as they are.
 
-Defined cases: null metadata is -1 and a null text has size 1; equal ids fall in the same place of the order
+Defined cases: ids are whole numbers of 64 bits, or missing; null metadata is -1 and a null text has size 1; equal ids fall in the same place of the order
 and may lie on either side of a median only together; a text of any length is one row, which no split divides;
 an empty table gives no row; slots are in the order of the ids; extra columns play no part.
 """

@@ -14,7 +14,7 @@ by its largest coordinate difference over the random references, and what surviv
 A meeting place yields a spanning forest of its links, not its pairs. One that holds more than PLACE
 fingerprints is dealt into parts and compared part by part, so no task takes it whole.
 
-Defined cases: null and empty texts have fingerprint zero, linked as any other; copies share one table
+Defined cases: ids are whole numbers of 64 bits, or missing; null and empty texts have fingerprint zero, linked as any other; copies share one table
 row; rows that repeat a doc_id repeat in the result; rows without an id are linked, but name no component
 unless it has no id at all; a text of any length is hashed whole; extra columns play no part; an empty table
 gives no row.

@@ -5,7 +5,7 @@ their ids end to end (16 bits each where all fit, else 32), the document boundar
 ids as Elias-Fano sequences with their select directories, and its first document's offset within its
 part. Readers get a document's place from select on the boundaries alone: no table of offsets is kept.
 
-Defined cases: a null text is empty and has the end id alone; empty tables give no block; documents
+Defined cases: ids are whole numbers of 64 bits, or missing; a null text is empty and has the end id alone; empty tables give no block; documents
 without an id come first, in blocks of their own kind; equal ids are all kept, by the hash of their texts;
 equal rows may fall to several parts; a text of any length is one document, never divided; extra columns
 play no part.
