@@ -126,3 +126,34 @@ ARTICLES = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coa
   b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a),
   c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
   SELECT page_id, url, text, length(text) AS n_chars FROM c"""
+
+
+#: Sources by what they can take for a unit of weight: those whose share would be above it are a prefix of that order, as a share grows with each that is clamped.
+MIXING = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), text)), 1, 15) AS place FROM documents),
+  s AS (SELECT source, source IS NULL AS last, sum(size) AS n FROM d GROUP BY 1),
+  w AS (SELECT source, n, 3 * n AS cap, 1 + (row_number() OVER (ORDER BY last, source) - 1) % 3 AS w FROM s),
+  o AS (SELECT *, sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / CAST(w AS DOUBLE), last, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget, sum(w) OVER (ORDER BY cap / CAST(w AS DOUBLE) DESC, last DESC, source DESC) AS shares FROM (SELECT *, source IS NULL AS last FROM w)),
+  f AS (SELECT *, w * budget > cap * shares OR n = 0 AS clamped FROM o),
+  t AS (SELECT f.*, CASE WHEN clamped THEN CAST(cap AS DOUBLE) ELSE CAST(w * b AS DOUBLE) / CAST(c AS DOUBLE) END AS target, CASE WHEN clamped THEN cap ELSE least(cap, (2 * w * b + c) // (2 * c)) END AS quota FROM f CROSS JOIN (SELECT max(budget) FILTER (NOT clamped AND shares = m) AS b, max(m) AS c FROM (SELECT *, max(shares) FILTER (NOT clamped) OVER () AS m FROM f)) AS level),
+  p AS (SELECT d.*, n, target, quota, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, rid) - size AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+  SELECT doc_id, source, size, CAST(n AS BIGINT) AS source_size, target, CAST(CASE WHEN n = 0 THEN 0 ELSE quota // n * size + greatest(0, least(size, quota % n - before)) END AS BIGINT) AS taken FROM p"""
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '{_TERM}') AS w FROM documents),
+  g AS (SELECT DISTINCT lang, source FROM d), x AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+  k AS (SELECT lang, term, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 30),
+  v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+  c AS (SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+  t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+  p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (t.n + 5 * v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (v.n + 5 * v) AS q FROM t JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p AS x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p AS y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3, 4),
+  r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q))
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+HARD_NEGATIVES = """WITH r AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r AS a JOIN r AS b ON a.rid <> b.rid AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+  p AS (SELECT arid, anchor_id, vec_id AS positive_id, score AS positive_score, rid AS prid FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.arid, prid ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.arid = p.arid AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import decontaminate, html_extract, language_id, oracles, packing, quality, sharding, simhash, token_counts, token_files, toxicity
+from plenum.llm import decontaminate, divergence, hard_negatives, html_extract, language_id, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_files, toxicity
 from plenum.storage import scratch, table
 
 
@@ -61,6 +61,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_kd_sharding": op2_kd_sharding,
@@ -72,6 +85,18 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_html_extraction": oracles.ARTICLES, "op2_kd_sharding": oracles.SHARDING, "op4_quality_rules": oracles.QUALITY, "op6_decontamination": oracles.DECONTAMINATION, "op7_simhash": oracles.SIMHASH}
+ORACLES: dict[str, str] = {
+    "op1_html_extraction": oracles.ARTICLES,
+    "op2_kd_sharding": oracles.SHARDING,
+    "op4_quality_rules": oracles.QUALITY,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op7_simhash": oracles.SIMHASH,
+    "op11_source_mixing": oracles.MIXING,
+    "op12_source_divergence": oracles.DIVERGENCE,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
+}

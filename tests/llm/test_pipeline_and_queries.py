@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_token_counts": ["n_tokens", "n_docs", "docs_le", "docs_ge", "tokens_ge", "truncated_tokens"],
     "op9_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op11_source_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 
 
@@ -33,14 +36,14 @@ COLUMNS = {
 def test_columns_and_rows(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert set(COLUMNS[name]) <= set(df.columns)
-    if name not in ("op8_token_counts", "op10_best_fit_packing"):
+    if name not in ("op8_token_counts", "op10_best_fit_packing", "op12_source_divergence", "op13_hard_negatives"):
         assert df.count() == spark.read.parquet(f"{sf_dir}/{'pages' if 'html' in name else 'documents'}.parquet").count()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     want = con.sql(ORACLES[name])
