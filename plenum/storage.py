@@ -27,10 +27,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder: a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, bare: bool = False) -> DataFrame:
+    """df, computed once and written to the shared folder: a lost executor costs no recomputation.
+
+    bare: the planner's estimate of df's size is not carried along. A join's is the product of its sides', so over long
+    loops it becomes a number of millions of digits, and planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    if not bare:
+        return out
+    rows = out._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
