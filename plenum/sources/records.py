@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.predicates import is_bot, strip
@@ -26,16 +26,19 @@ def commits(items: DataFrame, platform: str) -> DataFrame:
     return items.select(F.lit("commit").alias("source"), F.lit(platform).alias("platform"), F.substring("sha", 1, 10).alias("sha"), F.col("commit.author.date").alias("date"), F.coalesce("author.login", "commit.author.name").alias("author"), F.col("commit.message").alias("raw_text"), F.col("html_url").alias("url"))
 
 
+def _issue(platform: str, source: str, number: str) -> list[Column]:
+    return [
+        F.lit(source).alias("source"), F.lit(platform).alias("platform"), F.col("number").alias(number), F.col("created_at").alias("date"), F.col("closed_at"), F.col("user.login").alias("author"), F.col("title"),
+        F.coalesce("body", F.lit("")).alias("raw_text"), F.col("state"), F.transform("labels", lambda x: x["name"]).alias("labels"), F.col("html_url").alias("url"),
+    ]
+
+
 def issues(items: DataFrame, platform: str) -> DataFrame:
-    return items.select(
-        F.lit("issue").alias("source"), F.lit(platform).alias("platform"), F.col("number").alias("issue_number"), F.col("created_at").alias("date"), "closed_at", F.col("user.login").alias("author"), "title",
-        F.coalesce("body", F.lit("")).alias("raw_text"), "state", F.transform("labels", lambda x: x["name"]).alias("labels"), F.col("html_url").alias("url"),
-    )
+    return items.select(*_issue(platform, "issue", "issue_number"))
 
 
 def pulls(items: DataFrame, platform: str) -> DataFrame:
-    return issues(items, platform).withColumn("source", F.lit("pr")).withColumnRenamed("issue_number", "pr_number").join(
-        items.select(F.col("html_url").alias("url"), "merged_at", F.col("merged_at").isNotNull().alias("merged")), "url")
+    return items.select(*_issue(platform, "pr", "pr_number"), "merged_at", F.col("merged_at").isNotNull().alias("merged"))
 
 
 def comments(items: DataFrame, platform: str, source: str = "issue_comment") -> DataFrame:

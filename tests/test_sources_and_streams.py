@@ -106,3 +106,10 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("record_id").distinct().count() == 4
     batch = spark.read.schema("id string, ts timestamp, t string, c string").json(str(land))
     assert live.live_counts(batch, "ts", "c").agg({"n": "sum"}).first()[0] == 8
+
+
+def test_pulls_keep_items_without_and_with_one_url(spark):
+    items = spark.createDataFrame([(1, None, None), (2, "u", "2024-01-02"), (3, "u", None)], "number int, html_url string, merged_at string")
+    for name, kind in (("id", "string"), ("created_at", "string"), ("closed_at", "string"), ("title", "string"), ("body", "string"), ("state", "string"), ("user", "struct<login:string>"), ("labels", "array<struct<name:string>>")):
+        items = items.selectExpr("*", f"CAST(NULL AS {kind}) AS {name}")
+    assert sorted((r["pr_number"], r["url"], r["merged"]) for r in records.pulls(items, "host").collect()) == [(1, None, False), (2, "u", True), (3, "u", False)]
