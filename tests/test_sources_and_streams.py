@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from plenum.sources import clients, paged, records
+from plenum.sources import clients, cursors, paged, records
 from plenum.streaming import live
 
 
@@ -113,3 +113,30 @@ def test_pulls_keep_items_without_and_with_one_url(spark):
     for name, kind in (("id", "string"), ("created_at", "string"), ("closed_at", "string"), ("title", "string"), ("body", "string"), ("state", "string"), ("user", "struct<login:string>"), ("labels", "array<struct<name:string>>")):
         items = items.selectExpr("*", f"CAST(NULL AS {kind}) AS {name}")
     assert sorted((r["pr_number"], r["url"], r["merged"]) for r in records.pulls(items, "host").collect()) == [(1, None, False), (2, "u", True), (3, "u", False)]
+
+
+def test_cursor_reader(monkeypatch):
+    """Offsets are cursors; a batch asked for again gives what it gave, also when the last page has grown; a stream goes on where it stopped."""
+    pages = {None: (["a", "b"], "x"), "x": (["c"], "y"), "y": (["d"], None)}
+
+    def fetch(endpoint, after):
+        nodes, to = pages[after]
+        return {"nodes": [{"id": n, "tags": [n]} for n in nodes], "pageInfo": {"hasNextPage": to is not None, "endCursor": to}}
+
+    monkeypatch.setattr(cursors, "client", lambda name: fetch if name == "m:f" else lambda e, c: None)
+    r = cursors.CursorReader({"client": "m:f", "pages_per_batch": "2"}, ["id", "tags"])
+    rows, one = r.read(r.initialOffset())
+    assert [x[0] for x in rows] == ["a", "b", "c"] and one == {"after": "y", "taken": 0}
+    rows, two = r.read(one)
+    assert list(rows) == [("d", '["d"]')] and two == {"after": "y", "taken": 1}
+    assert list(r.read(two)[0]) == [] and r.read(two)[1] == two
+    pages["y"] = (["d", "e"], "z")
+    pages["z"] = (["f"], None)
+    assert [x[0] for x in r.readBetweenOffsets(one, two)] == ["d"]
+    assert [x[0] for x in r.readBetweenOffsets(r.initialOffset(), one)] == ["a", "b", "c"]
+    rows, three = r.read(two)
+    assert [x[0] for x in rows] == ["e", "f"] and three == {"after": "z", "taken": 1}
+    assert [x[0] for x in r.readBetweenOffsets(two, three)] == ["e", "f"]
+    assert [x[0] for x in r.readBetweenOffsets(r.initialOffset(), three)] == ["a", "b", "c", "d", "e", "f"]
+    none = cursors.CursorReader({"client": "other"}, ["id"])
+    assert none.read(none.initialOffset())[1] == none.initialOffset()
