@@ -16,8 +16,10 @@ def paired(rows: DataFrame, keys: list[str], actor: str, *values: str) -> DataFr
     """keys, src < dst, and the values of both as v_a and v_b: every pair of actors that share the keys, which rows have once each.
 
     Keys with more than BLOCK actors are parted: an actor goes to each cell of its block and another, and two of one block
-    meet in the cell of that block alone.
+    meet in the cell of that block alone. The rows are written first, as they are read up to four times.
     """
+    rows = cut(rows)
+
     def side(df: DataFrame, name: str, mark: str) -> DataFrame:
         return df.select(*keys, *[c for c in ("_lo", "_hi") if c in df.columns], F.col(actor).alias(name), *[F.col(v).alias(f"{v}_{mark}") for v in values], *([F.col("_own").alias(f"_own_{mark}")] if "_own" in df.columns else []))
 
