@@ -1,16 +1,16 @@
 """Sharding by k-d tree partitioning, in DataFrame functions alone.
 
 Every node of a level is split at the weighted median (by bytes) of its widest metadata dimension, until
-leaves reach the target bytes. Ties are parted by the document id, so a hot value does not keep a node
-whole. The medians of all nodes of a level come from the same few passes over a narrow table: each pass
+leaves reach the target bytes. Ties are parted by the document id, then by the text's checksum, then by the row's
+place in the written table, so neither a hot value nor a hot or missing id keeps a node whole. The medians of all nodes of a level come from the same few passes over a narrow table: each pass
 sums bytes by node and bucket and narrows every node's range to the bucket that holds its median.
 The driver sees at most nodes times BUCKETS sums at once; what it knows of the nodes goes back as arrays
 in the plan, so that no pass joins anything.
 
 Dimensions are integers: dense ranks of the text columns, and numbers as they are.
 
-Defined cases: ids are whole numbers of 64 bits, or missing; null metadata is -1 and a null text has size 1; equal ids fall in the same place of the order
-and may lie on either side of a median only together; a text of any length is one row, which no split divides;
+Defined cases: ids are whole numbers of 64 bits, or missing; null metadata is -1 and a null text has size 1; rows of one id may lie on
+either side of a median; a text of any length is one row, which no split divides;
 an empty table gives no row; slots are in the order of the ids; extra columns play no part.
 """
 
@@ -27,6 +27,8 @@ BUCKETS = 256
 SLOT_ROWS = 20_000
 #: Distinct values of a text column that one task ranks; more are ranked in ranges.
 RANKED = 100_000
+#: What parts rows of equal values, in this order; places are distinct.
+TIES = ["doc_id_", "text_crc32", "place_"]
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -85,8 +87,8 @@ def _medians(rows: DataFrame, low: dict[int, int], high: dict[int, int], before:
 
 
 def kd_tree(rows: DataFrame, leaves: int, dimensions: list[str]) -> DataFrame:
-    """rows with the leaf (0 to leaves - 1) of each. leaves is a power of two."""
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
+    """rows with the leaf (0 to leaves - 1) of each. leaves is a power of two; rows are written, so places are the same whenever they are read."""
+    rows = rows.withColumn("node", F.lit(0).cast("long")).withColumn("place_", F.monotonically_increasing_id())
     spread: dict[str, float] = {}
     for _ in range(leaves.bit_length() - 1):
         stats = rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(d).alias(f"{k}_{d}") for d in dimensions for k, f in (("lo", F.min), ("hi", F.max))]).collect()
@@ -100,13 +102,15 @@ def kd_tree(rows: DataFrame, leaves: int, dimensions: list[str]) -> DataFrame:
         high = {r["node"]: r[f"hi_{widest[r['node']]}"] for r in stats}
         medians = _medians(own.select("node", "x", F.col("size").alias("w")), low, high, dict.fromkeys(low, 0), half)
         own = own.withColumn("cut", of_node({n: x for n, (x, _) in medians.items()}))
-        # Among the rows that have the median itself, the document id parts.
-        tied = own.filter("x = cut").select("node", F.col("doc_id_").alias("x"), F.col("size").alias("w"))
-        ends = tied.groupBy("node").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        ids = _medians(tied, {r["node"]: r["lo"] for r in ends}, {r["node"]: r["hi"] for r in ends}, {n: b for n, (_, b) in medians.items()}, half)
-        own = own.withColumn("cut_id", of_node({n: x for n, (x, _) in ids.items()}))
-        right = (F.col("x") > F.col("cut")) | ((F.col("x") == F.col("cut")) & (F.col("doc_id_") > F.col("cut_id")))
-        rows = cut(own.withColumn("node", 2 * F.col("node") + right.cast("long")).drop("x", "cut", "cut_id"))
+        # Rows that have the median itself are parted by the first tie breaker, those that have its median by the next.
+        right, tied, below = F.col("x") > F.col("cut"), F.col("x") == F.col("cut"), medians
+        for t in TIES:
+            same = own.filter(tied).select("node", F.col(t).alias("x"), F.col("size").alias("w"))
+            ends = same.groupBy("node").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+            below = _medians(same, {r["node"]: r["lo"] for r in ends}, {r["node"]: r["hi"] for r in ends}, {n: b for n, (_, b) in below.items()}, half)
+            own = own.withColumn(f"cut{t}", of_node({n: x for n, (x, _) in below.items()}))
+            right, tied = right | (tied & (F.col(t) > F.col(f"cut{t}"))), tied & (F.col(t) == F.col(f"cut{t}"))
+        rows = cut(own.withColumn("node", 2 * F.col("node") + right.cast("long")).drop("x", "cut", *[f"cut{t}" for t in TIES]))
     return rows.withColumnRenamed("node", "leaf")
 
 
