@@ -10,7 +10,7 @@ but a part of the rows give every row, without its identity terms, a logit that
 through these (Platt's method), and the logit at which the labels are told apart with the fewest errors gets the score
 LIMIT: at that score and above a text is called toxic.
 
-It is fitted on at most about TRAIN_DOCS labelled rows (the documented bound): features are counted and
+It is fitted on at most TRAIN_DOCS labelled rows (the documented bound): features are counted and
 chosen in Spark, and the driver gets one sparse row of chosen features for each. Every text is scored whole.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias alone; without labelled
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -196,17 +196,25 @@ def _unseen_logits(x: list[np.ndarray], swaps: list[list[np.ndarray]], y: np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """docs: id and text; labels: id and label (0 or 1). Rows to train on are drawn among the labels, by a hash of the id, before they meet their texts."""
+    """docs: id and text; labels: id and label (0 or 1). train_docs / 2 rows of each label at most are drawn, by a hash of id and text; equal rows count once.
+
+    So one id for many rows, or an id with both labels, neither loses a label nor takes more rows. Rows without an id have no label.
+    """
     labels = labels.filter("id is not null and label is not null").select("id", F.col("label").cast("int").alias("label")).distinct()
-    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    own = docs.filter("id is not null").select("id", F.xxhash64("id", "text", F.lit("train")).alias("draw")).distinct()
+    labelled = cut(own.join(labels, "id"))  # numbers alone
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(sizes) < 2:
         share = float(next(iter(sizes), 0))
         return Model({}, 500.0 if share else -500.0)
-    # Half the rows of each label, or all of them.
-    half = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / 2 / n))])
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit("train")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    drawn = F.broadcast(labels.filter(draw < F.element_at(half, F.col("label"))))  # about train_docs rows at most
-    sample = cut(docs.select("id", "text").join(drawn, "id").select("text", "label"))
+    # Twice the half of each label, or all of it, then the first of them: ranks are told among few rows.
+    half = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (train_docs + 40) / n))])
+    even = F.pmod(F.col("draw"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))
+    drawn = labelled.filter(even < F.element_at(half, F.col("label"))).withColumn("rank", rank).filter(F.col("rank") <= train_docs / 2).select("id", "draw", "label")
+    drawn = F.broadcast(cut(drawn))  # train_docs rows at most
+    texts = docs.select("id", "text", F.xxhash64("id", "text", F.lit("train")).alias("draw")).join(drawn, ["id", "draw"])
+    sample = cut(texts.groupBy("id", "draw", "label").agg(F.first("text").alias("text")).select("text", "label"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -39,7 +39,7 @@ def test_tree_is_the_one_of_sorted_rows(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKETS", 4)  # several passes
     rng = random.Random(2)
     rows = [(k * 3 - 50, rng.randint(1, 900), rng.choice((0, 0, 0, 5, 9)), rng.choice((1, 2)), rng.randint(1, 500)) for k in range(300)]
-    df = spark.createDataFrame([(*r, r[0]) for r in rows], "doc_id long, size long, d_a long, d_b long, d_c long, doc_id_ long")
+    df = spark.createDataFrame([(*r, r[0], 0) for r in rows], "doc_id long, size long, d_a long, d_b long, d_c long, doc_id_ long, text_crc32 long")
     got = {r["doc_id"]: r["leaf"] for r in sharding.kd_tree(df, 8, ["d_a", "d_b", "d_c"]).collect()}
     assert got == tree(rows, 3, 8)
 
@@ -68,6 +68,20 @@ def test_shards_are_near_equal_though_one_value_holds_a_third(spark):
     assert len(leaves) == 16 and max(r[1] for r in leaves) <= 20_000 + 140
 
 
+@pytest.mark.parametrize("doc_id", [None, 9])
+@pytest.mark.parametrize("texts", [2000, 1])
+def test_shards_are_near_equal_without_ids_and_with_one_for_all(spark, doc_id, texts):
+    """Rows that agree in all values and in the id are parted by their texts, and equal rows by their places."""
+    rows = [(doc_id, f"{k % texts} " + "x" * 60, "en", "one") for k in range(2000)]
+    got = sharding.shard_to_target(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=8).collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 2000 and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 4 * 65
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_values_are_ranked_in_ranges(spark, monkeypatch):
     values = spark.createDataFrame([(f"v{k * 7 % 997:04}",) for k in range(997)], "c string").repartition(3)
     want = {f"v{k:04}": k for k in range(997)}
@@ -250,6 +264,21 @@ def test_held_out_rows_are_told(spark):
     assert sum((r["s"] >= 0.7) == bool(r["label"]) for r in out) / len(out) > 0.98
 
 
+def test_repeated_ids_and_rows_are_drawn_once(spark):
+    """An id of many texts does not exceed the bound, equal rows count once, rows without an id have no label."""
+    rows = [(k // 4, t, int(k // 4 % 5 == 0)) for k, (_, t, _) in enumerate(labelled(1200, 6))]
+    rows = [(k, t + (" vileword" if label else ""), label) for k, t, label in rows]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows * 3] + [(None, "kara")] * 50, "id long, text string")
+    labels = spark.createDataFrame([(k, label) for k, _, label in rows] + [(None, 1)], "id long, label int")
+    full, bound = toxicity.fit(docs, labels), toxicity.fit(docs, labels, train_docs=300)
+    assert full.rows == len({(k, t) for k, t, _ in rows})
+    assert bound.rows == 300  # both labels have more
+    assert all(m.score("kara vileword") > 0.7 > 0.3 > m.score("kara lose") for m in (full, bound))
+    hot = spark.createDataFrame([(7, t) for _, t, _ in rows], "id long, text string")
+    one = toxicity.fit(hot.unionByName(spark.createDataFrame([(8, "vileword kara")], "id long, text string")), spark.createDataFrame([(7, 0), (8, 1)], "id long, label int"), train_docs=200)
+    assert one.rows == 101
+
+
 def test_swapped_identities_have_near_scores(spark):
     """A group that occurs in toxic rows only does not make a row toxic."""
     rows = [(k, t + (" muslim" if label or k % 50 == 0 else " man" if k % 2 else ""), label) for k, t, label in labelled(1500, 4)]
