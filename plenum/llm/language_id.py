@@ -10,7 +10,7 @@ The trees are kept as they were met: a row of costs for each string of bytes tha
 and a row of escapes for each context, found by hashing. A byte that no language has after its context
 takes the escapes and goes one order down. Room grows with what the sample holds, not with the alphabet.
 
-The trees are fitted on a sample of labelled rows of at most about SAMPLE_DOCS whole texts a language (the
+The trees are fitted on a sample of labelled rows of at most SAMPLE_DOCS whole texts a language (the
 documented bound); every text is scored whole.
 
 Defined cases: a null text, or one without a letter, gets "und" and score 0; without labelled
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -188,17 +188,28 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
 
 
-def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
-    """train: id, text and lang of labelled rows. Takes about sample_docs rows of each language, by a hash of the id."""
-    train = train.filter("lang is not null and text is not null and length(text) > 0")
+def sampled(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """lang and text of sample_docs rows of each language at most, by a hash of id and text; equal rows count once.
+
+    So missing ids, or one id for all, draw as distinct ids do, and no language of the rows is lost.
+    """
+    draw = F.xxhash64(F.col("id"), F.col("text"), F.lit("sample"))
+    train = train.filter("lang is not null and text is not null and length(text) > 0").withColumn("draw", draw)
     # A row for each language: the label set bounds it.
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.countDistinct("draw").alias("n")).collect()}
     if not sizes:
-        return ContextTrees([], [], [], {}, None)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    sample = train.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counts = sample.mapInPandas(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        return train.select("lang", "text")
+    # Twice the rows that are taken, or all, then the first of them: ranks are told among few rows.
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * (sample_docs + 20) / n))])
+    even = F.pmod(F.col("draw"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    some = train.filter(even < F.element_at(share, F.col("lang"))).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return some.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select("lang", "text")
+
+
+def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
+    """train: id, text and lang of labelled rows, of which a sample is taken."""
+    counts = sampled(train, sample_docs).mapInPandas(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return ContextTrees.of(counts.toPandas())
 
 

@@ -17,6 +17,11 @@ def prose(lang: str, n: int, seed: int) -> str:
     return " ".join(w + ("." if k % 9 == 8 else "\n" if k % 23 == 22 else "") for k, w in enumerate(words))
 
 
+@pytest.fixture(scope="session", name="prose")
+def prose_():
+    return prose
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """(doc_id, text, lang, source): nulls, empty and very long texts, ties, repeats, other scripts."""

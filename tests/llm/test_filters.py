@@ -31,6 +31,21 @@ def test_languages(docs, odd_rows, no_docs):
     assert {r[0] for r in docs.select(language_id.identify(docs, none)["lang_pred"]).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "repeated"])
+def test_languages_without_ids_and_with_one_for_all(spark, prose, ids):
+    """No language is lost, and the sample keeps its bound, whatever the ids; copies of a row count once."""
+    texts = [(prose(lang, 40, k), lang) for k in range(120) for lang in ("en", "fr", "de")] + [(prose("en", 40, 0), "en")] * 500 + [(None, "fr"), ("", "de")]
+    of = {"null": lambda k: None, "one": lambda k: 9, "repeated": lambda k: k % 7}[ids]
+    train = spark.createDataFrame([(of(k), t, lang) for k, (t, lang) in enumerate(texts)], "id long, text string, lang string")
+    for bound, most in ((50, 50), (1000, 120 if ids != "repeated" else 127)):
+        model = language_id.fit(train, bound)
+        assert model.languages == ["de", "en", "fr"]
+        test = [(prose(lang, 30, 1000 + k), lang) for k in range(10) for lang in ("en", "fr", "de")]
+        assert sum(p == lang for p, (_, lang) in zip(model.predict([t for t, _ in test])["lang_pred"], test, strict=True)) >= 28
+        sizes = [r["n"] for r in language_id.sampled(train, bound).groupBy("lang").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 3 and max(sizes) <= most and min(sizes) >= min(bound, 120)
+
+
 def test_code_lengths_are_those_of_the_trees(spark):
     """Against escapes followed one by one."""
     texts = {"x": "abracadabra abra", "y": "banana bandana"}
