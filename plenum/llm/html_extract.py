@@ -48,10 +48,13 @@ MAIN_SHARE = 0.6
 #: What a word counts in an article, in a link, under a telling element, and in the template.
 ARTICLE, LINK, TELLING, REPEATED = 4.0, 0.2, 0.1, 0.02
 
+#: What follows the name in a tag. A quote opens a value after = alone; a value in quotes that holds < or > and ends
+#: in a space or in = is a quote that nothing closes, so the tag ends at the next >.
+WITHIN = r"""(?:[^>=]++|=\s*+(?:"(?:[^"<>]*+"|[^"]*+(?<![=\s])")|'(?:[^'<>]*+'|[^']*+(?<![=\s])'))?+)*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b" + WITHIN + r">.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>" + WITHIN + r")>|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
