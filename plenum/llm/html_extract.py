@@ -10,7 +10,7 @@ one gap holds all of it. Blocks whose text is in valid classes are template; wha
 The main element is the deepest one that the template has at most once on a page and that holds most of
 the data; links count little there, and so does text under elements that tell of navigation, adverts, forms
 or comments, while an article element speaks for its text. Within the main element the same telling elements
-are left out, and so are elements of the template that hold links alone. A name tells nothing where the main
+are left out, and so are elements of the template that hold links alone. A sub-heading that the template has stays if data follows it. A name tells nothing where the main
 element itself lies under it. A host with fewer than three distinct pages in a group has no template; there
 the elements decide alone.
 
@@ -53,7 +53,7 @@ ARTICLE, LINK, TELLING, REPEATED = 4.0, 0.2, 0.1, 0.02
 WITHIN = r"""(?:[^>=]++|=\s*+(?:"(?:[^"<>]*+"|[^"]*+(?<![=\s])")|'(?:[^'<>]*+'|[^']*+(?<![=\s])'))?+)*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b" + WITHIN + r">.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<raw>script|style|noscript|template|svg|annotation|iframe|object|textarea|select|title|canvas|audio|video)\b" + WITHIN + r">.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>" + WITHIN + r")>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -63,9 +63,10 @@ DIGITS = re.compile(r"\d{2,}")
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msubsup msup mtext nobr q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose end tag may be left out before another of them or before any block.
 ENDS_BEFORE_SAME = frozenset("li dt dd tr td th option".split())
+SUBHEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Elements that hold runs of text, and are no container of an article.
 TEXTUAL = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot tr th figure figcaption caption address".split())
 ASIDE = frozenset("nav header footer aside form menu dialog head button fieldset".split())
@@ -389,22 +390,31 @@ def _link_elements(pages: list[Page], template: Template, main: str) -> set[str]
 def _text(page: Page, template: Template | None, main: str, without: set[str]) -> str:
     """The data within the main element, and the heading before it."""
     out: list[str] = []
+    waiting: list[str] = []  # headings that the template has, too: they go with the data that follows them
     heading, headed = "", False
     for block in page.blocks():
         path, _, pieces = block
+        own = "".join([t for t, asides, _ in pieces if all(_inside(main, a) for a in asides)])
         if template is not None and template.has(block):
+            if _name(path) in SUBHEADINGS and _inside(path, main) and own and not own.isspace() and not any(_inside(path, e) for e in without):
+                waiting.append(own)
+            else:
+                waiting.clear()
             continue
-        own = "".join([t for t, asides, _ in pieces if all(_inside(main, a) for a in asides)])
         if not own or own.isspace():
+            if any(t and not t.isspace() for t, _, _ in pieces):
+                waiting.clear()
             continue
         if not _inside(path, main):
             if not out and _name(path) == "h1" and (_inside(main, _above(path)) or _inside(main, _above(_above(path)))):
                 heading = own
             continue
         if any(_inside(path, e) for e in without):
+            waiting.clear()
             continue
         headed = headed or _name(path) == "h1"
-        out.append(own)
+        out += [*waiting, own]
+        waiting.clear()
     if out and heading and not headed:
         out.insert(0, heading)
     text = " ".join(out)

@@ -169,6 +169,32 @@ def test_template_within_the_article_goes(element):
     assert "Share the story" in html_extract.extract_group(pages[:2])[0]  # too few pages for a template
 
 
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 70])
+def test_shared_headings_stay_with_what_follows_them(count):
+    """The same text however many pages a host has; a heading over links alone goes where the template has it."""
+    pages = [f"<body><nav><a>Home</a></nav><article><h1>Head {n}</h1><p>{story(n, 0)}</p><h2>Background</h2><h3>Early days</h3><p>{story(n, 1)}</p><h2>Conclusion</h2><p>{story(n, 2)}</p></article><footer>Foot</footer></body>" for n in range(count)]
+    assert html_extract.extract_group(pages) == [f"Head {n} {story(n, 0)} Background Early days {story(n, 1)} Conclusion {story(n, 2)}" for n in range(count)]
+    if count > 2:
+        linked = [p.replace("</article>", f'<h2>More to read</h2><div class="x9"><a href="/1">Next {n}</a></div></article>') for n, p in enumerate(pages)]
+        assert html_extract.extract_group(linked) == html_extract.extract_group(pages)
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<p title="5" tall">Hello there</p>', "Hello there"),
+        ('<p>A <a href="x>link</a> and <b class="y">bold</b> text</p>', "A link and bold text"),
+        ("<p data-x=don't>It's here, don't go</p><p>End</p>", "It's here, don't go End"),
+        ('<p title="a > b">kept</p> <a href="?q=">x</a> <a href="?q=" title="c=">y</a>', "kept x y"),
+        ('<p><a href="x>They said "hi" to me</a> end</p>', 'They said "hi" to me end'),
+        ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>", "If x=1 then"),
+        ('<p data-html="<b>no</b>">yes</p>', "yes"),
+    ],
+)
+def test_broken_quotes_leave_neither_markup_nor_holes(inner, text):
+    assert html_extract.extract_group([f"<body><nav>Menu</nav><article>{inner}</article></body>"]) == [text]
+
+
 def story(n: int, k: int) -> str:
     rng = random.Random(n * 100 + k)
     return " ".join(rng.choice(("river", "stone", "cloud", "maple", "harbour", "signal", "winter", "copper", "meadow", "lantern")) + rng.choice(("", "s", "ed", str(n))) for _ in range(30))
