@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -155,17 +157,27 @@ class _Text(HTMLParser):
             self.own.append(data)
 
 
-def html_text(html: Column) -> Column:
-    """raw_text and own_text: a post's text nodes joined by spaces, and those outside quotes."""
+#: An ampersand and, if one follows, what looks like a whole character reference.
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def html_text(html: Column, ended: bool = False) -> Column:
+    """raw_text and own_text: a post's text nodes joined by spaces, and those outside quotes.
+
+    ended: only references that a semicolon ends are decoded, where HTML also decodes some without it (&amp).
+    """
 
     @pandas_udf("raw_text string, own_text string")
     def parse(s: pd.Series) -> pd.DataFrame:
         out = []
         for h in s:
-            p = _Text()
-            p.feed(h or "")
+            h, p = h or "", _Text()
+            held = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in h)  # stands for other ampersands while the page is parsed
+            if ended:
+                h = _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else held + (m[1] or ""), h)
+            p.feed(h)
             p.close()
-            out.append((" ".join(p.all).strip(), " ".join(p.own).strip()))
+            out.append(tuple(" ".join(t).strip().replace(held, "&") for t in (p.all, p.own)))
         return pd.DataFrame(out, columns=["raw_text", "own_text"])
 
     return parse(html)
