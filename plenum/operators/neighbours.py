@@ -10,6 +10,7 @@ Approximate: each tree of the forest parts its nodes at their medians along a ra
 level, until a leaf holds about LEAF points; points on a median are dealt by a hash, so copies of a vector do not stay together.
 Leaves are compared whole. Then rounds of local joins: what is in the list of a point, or has it in its own, is compared
 with each other, and what is nearer than the last of a list enters it. Lists and leaves are bounded, so a round's work grows with the points.
+Vectors go to the joins as bytes, and a task sends the nearest alone of all pairs that its groups have.
 
 Defined cases: rows without an id or a vector take no part; ids are distinct; all vectors are of one length; a point
 is not its own neighbour; fewer points than K give lists of all others; ties go to the smaller id.
@@ -30,6 +31,8 @@ from plenum.storage import cut
 BITS = 20
 #: Numbers in the vectors of a wave, and points of a block of the product.
 WAVE, BLOCK = 2_000_000, 512
+#: Pairs that a task holds before it drops what is not among the nearest.
+PAIRS = 2_000_000
 #: Of the forest: trees, points of a leaf, rounds of local joins, and the length of the lists that they work on, as a multiple of K.
 TREES, LEAF, ROUNDS, WIDTH, SEED = 8, 64, 4, 3, 42
 
@@ -139,48 +142,82 @@ def forest_leaves(p: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int
     return cut(placed.select("id", "tree", "node"))
 
 
+def _packed(p: DataFrame) -> DataFrame:
+    """p with v as bytes, four a number; written once."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = _matrix(batch.column(1), batch.num_rows).astype("<i4")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "v"])
+
+    return cut(p.select("id", "v").mapInArrow(pack, "id long, v binary"))
+
+
 def _compared(k: int):
-    """Rows of ids, vectors and radii of a group each: what is nearer than the radius of the first of a pair, k at most of each."""
+    """Rows of ids, packed vectors and radii of a group each: what is nearer than the radius of the first of a pair, the k nearest at most of each that a task
+    has found among some PAIRS."""
+
+    def least(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+        src, dst, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((dst, d, src))
+        src, dst, d = src[order], dst[order], d[order]
+        new = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])) if len(src) else np.empty(0, bool)
+        src, dst, d = src[new], dst[new], d[new]
+        near = np.arange(len(src)) - np.searchsorted(src, src, "left") < k
+        return [src[near], dst[near], d[near]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [[np.empty(0, np.int64)] * 3], 0
         for batch in batches:
-            out = [[np.empty(0, np.int64)] * 3]
             for row in range(batch.num_rows):
                 group = batch.column(0)[row].values  # structs of id, v, radius
                 ids, n = group.field(0).to_numpy(), len(group)
                 radius = group.field(2).to_numpy(zero_copy_only=False)
-                v = _matrix(group.field(1), n)
+                v = np.frombuffer(b"".join(group.field(1).to_pylist()), "<i4").astype(np.float64).reshape(n, -1)
                 d = squares(v, v)
                 d[ids[:, None] == ids[None]] = np.inf
                 if n > k + 1:
                     radius = np.minimum(radius, np.partition(d, k - 1, axis=1)[:, k - 1])
                 i, j = np.nonzero((d <= radius[:, None]) & (d < np.inf))
-                out.append([ids[i], ids[j], d[i, j].astype(np.int64)])
-            src, dst, d = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(d)], names=["src", "dst", "d"])
+                held.append([ids[i], ids[j], d[i, j].astype(np.int64)])
+                size += len(i)
+                if size > PAIRS:
+                    held = [least(held)]
+                    size = len(held[0][0])
+                    if size > PAIRS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["src", "dst", "d"])
+                        held, size = [[np.empty(0, np.int64)] * 3], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in least(held)], names=["src", "dst", "d"])
 
     return compare
 
 
 def _within(groups: DataFrame, k: int) -> DataFrame:
-    """groups: key, id, v, radius. The near pairs of each group, which has few rows."""
+    """groups: key, id, v (packed), radius. The near pairs of each group, which has few rows."""
     rows = groups.groupBy("key").agg(F.collect_list(F.struct("id", "v", "radius")).alias("group"))
     return rows.select("group").mapInArrow(_compared(k), "src long, dst long, d long")
 
 
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each src, every pair once; written once, after a single shuffle by src."""
+    return cut(_top(found.repartition("src").distinct(), k))
+
+
 def forest_neighbours(p: DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """src, dst, d, rank: nearly the k nearest of each point; written once. The share that is right is measured by recall()."""
     far = F.lit(float("inf"))
     most, k = k, k * width
-    leaves = forest_leaves(p, trees, leaf, seed).join(p, "id").select(F.struct("tree", "node").alias("key"), "id", "v", far.alias("radius"))
-    best = cut(_top(_within(leaves, k).distinct(), k))
+    leaves, p = forest_leaves(p, trees, leaf, seed), _packed(p)
+    leaves = leaves.join(p, "id").select(F.struct("tree", "node").alias("key"), "id", "v", far.alias("radius"))
+    best = _merged(_within(leaves, k), k)
     for _ in range(rounds):
         own = best.groupBy("src").agg(F.max("d").alias("last"), F.count("*").alias("n")).select(F.col("src").alias("id"), F.when(F.col("n") < k, far).otherwise(F.col("last").cast("double")).alias("radius"))
         known = p.join(own, "id", "left").select("id", "v", F.coalesce("radius", far).alias("radius"))
         back = best.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("d", "src"))).filter(F.col("place") <= k)
         members = p.select(F.col("id").alias("key"), "id").unionByName(best.select(F.col("src").alias("key"), F.col("dst").alias("id"))).unionByName(back.select(F.col("dst").alias("key"), F.col("src").alias("id"))).distinct()
         found = _within(members.join(known, "id").select("key", "id", "v", "radius"), k)
-        now = cut(_top(found.unionByName(best.select("src", "dst", "d")).distinct(), k))
+        now = _merged(found.unionByName(best.select("src", "dst", "d")), k)
         moved = now.join(best, ["src", "dst"], "left_anti").limit(1).count()
         best = now
         if not moved:
